@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .kernels import shingle_sets
+from .kernels import mix, shingle_sets
 from .runtime import cut, documents, require, shuffle_partitions
 
 #: Shingles of a document's ascending hashes that step 2 looks at.
@@ -125,8 +125,12 @@ def _bucketed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, ids binary, known binary, tok binary, at binary")
 
 
-def _shared_counts(buckets: DataFrame) -> DataFrame:
-    """(doc_id, shared): hashes of a document that other documents have too, bucket by bucket."""
+def _shared_counts(buckets: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, shared): hashes of a document that other documents have too.
+
+    Buckets are closed one after another; what one finds goes out as one row for each
+    part of the documents, and is added up there.
+    """
 
     def close(chunks):
         tokens = np.concatenate([np.frombuffer(c[2], np.uint32) for c in chunks])
@@ -139,13 +143,18 @@ def _shared_counts(buckets: DataFrame) -> DataFrame:
         ids, counts, a = [], [], 0
         for c in chunks:
             at = np.frombuffer(c[3], np.int32)
-            doc, count = np.frombuffer(c[0], np.int64), np.frombuffer(c[1], np.int32).astype(np.int64)
+            doc, count = np.frombuffer(c[0], np.int64), np.frombuffer(c[1], np.int32)
             hit = at[shared[a : a + len(at)] & (at >= 0)]
             a += len(at)
-            count = count + np.bincount(hit, minlength=len(doc))
+            count = (count + np.bincount(hit, minlength=len(doc))).astype(np.int32)
             ids.append(doc[count > 0])
             counts.append(count[count > 0])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))], ["doc_id", "shared"])
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, ids[order[cuts[p] : cuts[p + 1]]].tobytes(), counts[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(cuts))]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "ids", "counts"])
 
     def run(batches):
         held, bucket = [], None
@@ -159,7 +168,28 @@ def _shared_counts(buckets: DataFrame) -> DataFrame:
         if held:
             yield close(held)
 
-    return buckets.sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, shared long")
+    def add(batches):
+        ids, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            more = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            counts = [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+            ids, place = np.unique(np.concatenate([ids, *more]), return_inverse=True)
+            sums = np.bincount(place, weights=np.concatenate([sums, *counts]), minlength=len(ids)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], ["doc_id", "shared"])
+
+    found = buckets.sortWithinPartitions("bucket").mapInArrow(run, "part int, ids binary, counts binary")
+    return found.repartition(parts, "part").mapInArrow(add, "doc_id long, shared long")
+
+
+def _copies(profile: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(class representatives with n, edges between copies); a large class meets in parts."""
+    keys = ["hi", "lo", "n"]
+    salted = profile.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    firsts = salted.groupBy(*keys, "salt").agg(F.min("doc_id").alias("first"))
+    reps = firsts.groupBy(*keys).agg(F.min("first").alias("rep"))
+    near = salted.join(firsts, [*keys, "salt"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    far = firsts.join(reps, keys).select(F.col("first").alias("u"), F.col("rep").alias("v"))
+    return reps, near.unionAll(far).filter("u != v")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -302,11 +332,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = require(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     profile = cut(_profiles(docs, width))
-    classes = profile.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    copies = profile.filter("n > 0").join(classes, ["hi", "lo", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-
     buckets = shuffle_partitions(spark)
-    shared = _shared_counts(_bucketed(docs, width, buckets).repartition(buckets, "bucket")).groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    classes, copies = _copies(profile, buckets)
+    shared = _shared_counts(_bucketed(docs, width, buckets).repartition(buckets, "bucket"), buckets)
     # one less than T - (n - looked at): rounding makes that bound fall by one between neighbouring sizes
     bound = F.ceil(F.col("n") * 4 / 5) - F.floor(F.col("n") / HALF) - 1
     live = classes.select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").filter(F.col("shared") >= bound)
