@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard, pii, quality_classifier, toxicity
+from . import decontaminate, ngram_jaccard, pii, quality_classifier, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
     "op4_pii": pii.query,
+    "op6_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op10_quality_classifier": quality_classifier.query,
 }
