@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_jaccard, pii, quality_classifier, toxicity
+from . import decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_pii": pii.query,
     "op6_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
