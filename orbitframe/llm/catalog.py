@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, toxicity
+from . import decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
+    "op2_sentencepiece": sentencepiece_lattice.query,
     "op3_quality_rules": quality_rules.query,
     "op4_pii": pii.query,
     "op6_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
+    "op9_secrets": secrets.query,
     "op10_quality_classifier": quality_classifier.query,
 }
 
