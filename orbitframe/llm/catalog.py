@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, toxicity
+from . import decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_pii": pii.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_token_files": token_files.query,
     "op8_toxicity": toxicity.query,
     "op9_secrets": secrets.query,
     "op10_quality_classifier": quality_classifier.query,
