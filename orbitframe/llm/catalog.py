@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
+from . import chat_quotes, decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
     "op2_sentencepiece": sentencepiece_lattice.query,
     "op3_quality_rules": quality_rules.query,
     "op4_pii": pii.query,
+    "op5_chat_quotes": chat_quotes.query,
     "op6_decontaminate": decontaminate.query,
     "op7_token_files": token_files.query,
     "op8_toxicity": toxicity.query,
