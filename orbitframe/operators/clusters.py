@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULTS
 from ..functions.vectors import dot, normalised
+from ..session import cut
 
 
 def bounded_sample(members: DataFrame, cap: int = DEFAULTS.cluster_cap, seed: int = 0) -> DataFrame:
@@ -51,14 +52,14 @@ def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, r
     Core points have ``min_samples`` neighbours, themselves included; cores within ``eps`` share a cluster, and
     a border point goes to the smallest cluster near it.
     """
-    near = neighbours(members, eps).persist()
+    near = cut(neighbours(members, eps))
     core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("a")
-    linked = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").persist()
-    label = core.withColumn("label", F.col("a")).persist()
+    linked = cut(near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi"))
+    label = cut(core.withColumn("label", F.col("a")))
     for _ in range(rounds):
         spread = linked.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
         # follow the label's own label, so that long chains shorten fast
-        jump = spread.join(spread.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.least("label", "next").alias("label")).persist()
+        jump = cut(spread.join(spread.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.least("label", "next").alias("label")))
         moved = jump.join(label.withColumnRenamed("label", "was"), "a").filter("label <> was")
         done = moved.isEmpty()
         label = jump

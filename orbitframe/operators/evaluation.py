@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def _ideal(n: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))).otherwise(F.lit(0.0))
@@ -41,7 +43,7 @@ def judged_by_reviews(latest: DataFrame) -> DataFrame:
     return latest.filter((F.col("decision") == "accept") & F.col("query_id").isNotNull()).select("query_id", F.col("result_id").alias("item_id"))
 
 
-def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0, rounds: int = 50) -> DataFrame:
+def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0, rounds: int = 500) -> DataFrame:
     """``(det_id, truth_id)``, one to one: detections in order of certainty take the first free truth they overlap.
 
     Boxes meet in grid cells (an equality join), and each round matches, for all places at once, the
@@ -57,16 +59,18 @@ def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0, roun
     met = celled(detections.select("det_id", "confidence", "min_x", "min_y", "max_x", "max_y"), "d_").join(celled(truth.select("truth_id", "min_x", "min_y", "max_x", "max_y"), "t_"), ["cx", "cy"])
     meets = (F.col("d_min_x") <= F.col("t_max_x")) & (F.col("d_max_x") >= F.col("t_min_x")) & (F.col("d_min_y") <= F.col("t_max_y")) & (F.col("d_max_y") >= F.col("t_min_y"))
     free = met.filter(meets).select(F.col("d_det_id").alias("det_id"), F.col("d_confidence").alias("confidence"), F.col("t_truth_id").alias("truth_id")).distinct()
+    free = cut(free)
     matched = None
     for _ in range(rounds):
         order = F.struct(F.negative("confidence"), "det_id")
         strongest = F.min(order).over(Window.partitionBy("truth_id"))
         firsts = free.withColumn("choice", F.min("truth_id").over(Window.partitionBy("det_id"))).withColumn("lead", strongest)
-        taken = firsts.filter((F.col("truth_id") == F.col("choice")) & (order == F.col("lead"))).select("det_id", "truth_id").persist()
+        taken = cut(firsts.filter((F.col("truth_id") == F.col("choice")) & (order == F.col("lead"))).select("det_id", "truth_id"))
         if taken.isEmpty():
             break
         matched = taken if matched is None else matched.unionByName(taken)
-        free = free.join(taken.select("det_id"), "det_id", "left_anti").join(taken.select("truth_id"), "truth_id", "left_anti").persist()
+        free = free.join(taken.select("det_id"), "det_id", "left_anti").join(taken.select("truth_id"), "truth_id", "left_anti")
+        free = cut(free)
     return detections.select("det_id").limit(0).withColumn("truth_id", F.lit(None).cast("long")) if matched is None else matched
 
 
