@@ -36,9 +36,12 @@ from .runtime import cut, documents, let, require
 
 SPACE = "▁"
 DICTIONARY = 3_000_000
-PIECE_CHARS = 2 << 20
+PIECE_CHARS = 1 << 19
+SEEN = 2_000_000
+SLICE_ROWS = 512
 UNKNOWN_PENALTY = 10.0
 RESULT = "doc_id long, ids array<int>"
+DECODED = "doc_id long, n_ids long, ids_crc32 long, decoded string"
 
 
 def default_model() -> str:
@@ -82,13 +85,12 @@ class Pieces:
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
     def joints(self) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each character of longer pieces (0: none; a space counts as SPACE), and which pairs stand side by side in a piece."""
+        """A number for each character of longer pieces (0: none), and which pairs stand side by side in a piece."""
         pairs = sorted({p[i : i + 2] for p, n in zip(self.pieces, self.normal, strict=True) if n for i in range(len(p) - 1)})
         place = {c: k + 1 for k, c in enumerate(sorted({c for pair in pairs for c in pair}))}
         number = np.zeros(0x110000, dtype=np.int16)
         for c, k in place.items():
             number[ord(c)] = k
-        number[ord(" ")] = place.get(SPACE, 0)
         beside = np.zeros((len(place) + 1, len(place) + 1), dtype=bool)
         for a, b in pairs:
             beside[place[a], place[b]] = True
@@ -96,7 +98,7 @@ class Pieces:
 
 
 def unit_runs(texts: list[str | None], joints: tuple[np.ndarray, np.ndarray]):
-    """By pieces of the batch: (first text, last text, code points, unit starts, unit ends, first unit of each text)."""
+    """By pieces of the batch: (first text, last text, characters, their code points, unit starts, unit ends, first unit of each text)."""
     number, beside = joints
     first = 0
     while first < len(texts):
@@ -105,34 +107,42 @@ def unit_runs(texts: list[str | None], joints: tuple[np.ndarray, np.ndarray]):
             size += len(texts[last] or "")
             last += 1
         spaced = [" " + t if t else "" for t in texts[first:last]]
-        points = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        joined = "".join(spaced).replace(" ", SPACE)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in spaced])))
-        points = np.where(points == 0x20, np.uint32(ord(SPACE)), points)
         kind = number[points]
         begins = np.ones(len(points), dtype=bool)
         begins[1:] = ~beside[kind[:-1], kind[1:]]
         begins[offsets[:-1][offsets[:-1] < len(points)]] = True
         starts = np.flatnonzero(begins)
-        yield first, last, points, starts, np.append(starts[1:], len(points)), np.searchsorted(starts, offsets)
+        yield first, last, joined, points, starts, np.append(starts[1:], len(points)), np.searchsorted(starts, offsets)
         first = last
 
 
-def _text(points: np.ndarray) -> str:
-    return points.tobytes().decode("utf-32-le", "surrogatepass")
+def _slices(batches):
+    """Smaller batches, so that Python holds few texts at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(first, SLICE_ROWS)
 
 
 def vocabulary(docs: DataFrame, joints) -> DataFrame:
-    """(unit, n): the distinct units of all texts and how often each occurs."""
+    """(unit, n): the distinct units of all texts, and how many tasks met each (more for one that a task forgot)."""
     sent = docs.sparkSession.sparkContext.broadcast(joints)
 
     def run(batches):
-        for batch in batches:
-            for _, _, points, starts, ends, _ in unit_runs(batch.column(0).to_pylist(), sent.value):
-                _, at, n = np.unique(hash_words(points, starts, ends), return_index=True, return_counts=True)
-                units = [_text(points[starts[i] : ends[i]]) for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n)], ["unit", "n"])
+        seen = np.zeros(0, np.uint64)
+        for batch in _slices(batches):
+            for _, _, joined, points, starts, ends, _ in unit_runs(batch.column(0).to_pylist(), sent.value):
+                hashes, at = np.unique(hash_words(points, starts, ends), return_index=True)
+                if len(seen):
+                    new = seen[np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)] != hashes
+                    hashes, at = hashes[new], at[new]
+                seen = np.sort(np.concatenate((seen if len(seen) < SEEN else seen[:0], hashes)), kind="stable")
+                units = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string())], ["unit"])
 
-    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "unit string").groupBy("unit").agg(F.count("*").alias("n"))
 
 
 def best_path(edges: Column, size: Column) -> Column:
@@ -156,24 +166,30 @@ def best_path(edges: Column, size: Column) -> Column:
 def merged_path(edges: Column, size: Column) -> Column:
     """Ids after merging, from single characters on, the best-scored edge over two neighbouring symbols again and again.
 
-    The state is the ascending list of symbol boundaries; a merge takes one out.
+    The state holds, for each position, the end of the symbol that starts there (-1: none does);
+    an edge joins two symbols if the end of the end of its start is its own.
     """
+    longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+
+    def merge(ends: Column, best: Column) -> Column:
+        middle = F.get(ends, best["start"])
+        return F.transform(ends, lambda end, at: F.when(at == best["start"], best["end"]).when(at == middle, F.lit(-1)).otherwise(end))
 
-    def mergeable(bounds: Column) -> Column:
-        at = lambda e: F.array_position(bounds, e["start"]).cast("int")
-        fits = lambda e: let(at(e), lambda p: (p > 0) & (F.get(bounds, p + 1) == e["end"]))
-        return F.array_max(F.transform(F.filter(edges, lambda e: (e["end"] - e["start"] > 1) & F.coalesce(fits(e), F.lit(False))), lambda e: F.struct(e["score"].alias("score"), F.negative(e["start"]).alias("back"))))
+    def fold(wide: Column) -> Column:
+        def step(state: Column) -> Column:
+            ends = state["ends"]
+            fits = F.filter(wide, lambda e: F.get(ends, F.get(ends, e["start"])) == e["end"])
+            # edges are sorted from the best on, so the first that fits is it
+            after = lambda f: F.when(F.size(f) == 0, F.struct(ends.alias("ends"), F.lit(True).alias("done"))).otherwise(F.struct(let(F.get(f, F.lit(0)), lambda best: merge(ends, best)).alias("ends"), F.lit(False).alias("done")))
+            return F.when(state["done"], state).otherwise(let(fits, after))
 
-    def step(state: Column) -> Column:
-        bounds = state["bounds"]
-        after = lambda best: F.get(bounds, F.array_position(bounds, F.negative(best["back"])).cast("int"))
-        more = let(mergeable(bounds), lambda best: F.struct(F.when(best.isNull(), bounds).otherwise(F.array_remove(bounds, after(best))).alias("bounds"), best.isNull().alias("done")))
-        return F.when(state["done"], state).otherwise(more)
+        start = F.struct(F.sequence(F.lit(1), size).alias("ends"), (F.size(wide) == 0).alias("done")).cast("struct<ends:array<int>,done:boolean>")
+        return F.aggregate(F.sequence(F.lit(1), size), start, lambda acc, _: step(acc), lambda acc: acc["ends"])
 
-    start = F.struct(F.sequence(F.lit(0), size).alias("bounds"), F.lit(False).alias("done")).cast("struct<bounds:array<int>,done:boolean>")
-    bounds = F.aggregate(F.sequence(F.lit(1), size), start, lambda acc, _: step(acc), lambda acc: acc["bounds"])
+    ordered = F.array_sort(F.transform(longer, lambda e: F.struct(F.negative(e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
     edge = lambda a, b: F.get(F.filter(edges, lambda e: (e["start"] == a) & (e["end"] == b)), F.lit(0))["id"]
-    return let(bounds, lambda x: F.transform(F.slice(x, 1, F.size(x) - 1), lambda a, i: edge(a, F.get(x, i + 1))))
+    kept = let(let(ordered, fold), lambda ends: F.filter(F.transform(ends, lambda end, at: F.struct(at.alias("start"), end.alias("end"))), lambda x: x["end"] > 0))
+    return F.transform(kept, lambda x: edge(x["start"], x["end"]))
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -187,7 +203,8 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     single = F.col("len") == 1
     edges = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | single)
     edge = F.struct("start", (F.col("start") + F.col("len")).alias("end"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), F.coalesce("id", F.negative(F.ascii("piece"))).alias("id"))
-    grouped = edges.groupBy(*names).agg(F.collect_list(edge).alias("edges"))
+    # a number as the first key makes the sort of the edges cheap
+    grouped = edges.groupBy(F.xxhash64("unit").alias("key"), *names).agg(F.collect_list(edge).alias("edges"))
     fold = merged_path if pieces.merges else best_path
     return grouped.select(*names, fold(F.col("edges"), F.length("unit")).alias("ids"))
 
@@ -221,7 +238,8 @@ def _packed(encoded: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray,
 def _sorted(hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(hashes, kind="stable")
     begins = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-    return hashes[order], np.concatenate(([0], np.cumsum(sizes[order], dtype=np.int64))), flat[_ranges(begins[:-1][order], sizes[order])]
+    small = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32
+    return hashes[order], np.concatenate(([0], np.cumsum(sizes[order], dtype=np.int64))).astype(np.uint32), flat[_ranges(begins[:-1][order], sizes[order])].astype(small)
 
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -242,6 +260,19 @@ def _lookup(dictionary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """``(doc_id, ids)`` of each row with an id."""
+    docs, assemble = _assembly(docs, model_path, dictionary)
+    return docs.mapInArrow(assemble, RESULT)
+
+
+def round_trip(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass of one worker a task."""
+    docs, assemble = _assembly(docs, model_path, dictionary)
+    back = _decoder(docs.sparkSession, model_path)
+    return docs.mapInArrow(lambda batches: back(assemble(batches)), DECODED)
+
+
+def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
+    """The documents with what their assembly needs, and the function that assembles their batches."""
     spark = docs.sparkSession
     docs = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     pieces = Pieces.load(model_path or default_model())
@@ -254,24 +285,24 @@ def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DIC
 
     def rest(batches):
         """The units of each text that the dictionary lacks."""
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_pylist()
-            for first, last, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), sent.value[0]):
+            for first, last, joined, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), sent.value[0]):
                 hashes = hash_words(points, starts, ends)
                 lost = ~_lookup(sent.value[1], hashes)[1]
                 row = np.repeat(np.arange(last - first), np.diff(bounds))[lost]
-                found = {(ids[first + r], _text(points[starts[i] : ends[i]])) for r, i in zip(row.tolist(), np.flatnonzero(lost).tolist(), strict=True)}
+                found = {(ids[first + r], joined[starts[i] : ends[i]]) for r, i in zip(row.tolist(), np.flatnonzero(lost).tolist(), strict=True)}
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], ["doc_id", "unit"])
 
     def assemble(batches):
         joints, dictionary = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for first, last, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), joints):
+            for first, last, joined, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), joints):
                 hashes = hash_words(points, starts, ends)
                 at, there = _lookup(dictionary, hashes)
-                sizes = np.where(there, np.diff(dictionary[1])[at] if len(dictionary[0]) else 0, 0)
-                begins = np.where(there, dictionary[1][at], 0)
+                begins = np.where(there, dictionary[1][at], 0).astype(np.int64)
+                sizes = np.where(there, dictionary[1][np.minimum(at + 1, len(dictionary[0]))], 0).astype(np.int64) - begins
                 flat = dictionary[2]
                 if not there.all():
                     own: dict[str, list[int]] = {}
@@ -279,7 +310,7 @@ def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DIC
                         own.update((x["unit"], _spelt(x["ids"], byte_ids)) for x in e or ())
                     more, base = [], len(flat)
                     for i in np.flatnonzero(~there):
-                        ids = own[_text(points[starts[i] : ends[i]])]
+                        ids = own[joined[starts[i] : ends[i]]]
                         begins[i], sizes[i] = base + len(more), len(ids)
                         more += ids
                     flat = np.concatenate((flat, np.array(more, dtype=np.int32)))
@@ -290,13 +321,17 @@ def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DIC
     if size > dictionary:
         lost = docs.mapInArrow(rest, "doc_id long, unit string").distinct().join(encoded.select("unit", "ids"), "unit")
         docs = docs.join(lost.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "ids")).alias("extra")), "doc_id", "left")
-    return docs.mapInArrow(assemble, RESULT)
+    return docs, assemble
 
 
 def decoded(ids: np.ndarray, pieces: list[str], byte_of: dict[int, int]) -> str:
     """The text of a sequence of ids: pieces joined, byte pieces as UTF-8, the first space dropped."""
+    ids = ids.tolist()
+    if byte_of.keys().isdisjoint(ids):
+        text = "".join(map(pieces.__getitem__, ids)).replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
     out, held = [], bytearray()
-    for i in ids.tolist():
+    for i in ids:
         if i in byte_of:
             held.append(byte_of[i])
             continue
@@ -311,26 +346,31 @@ def decoded(ids: np.ndarray, pieces: list[str], byte_of: dict[int, int]) -> str:
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``encoded(doc_id, ids, ...)`` with ``decoded``; null ids give an empty text."""
-    pieces = Pieces.load(model_path or default_model())
-    byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
-    sent = encoded.sparkSession.sparkContext.broadcast((pieces.pieces, byte_of))
+    """``encoded(doc_id, ids)`` to ``(doc_id, n_ids, ids_crc32, decoded)``; null ids give an empty text.
+
+    The crc32 is that of the ids as little-endian unsigned 32-bit integers.
+    """
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(encoded.sparkSession, model_path), DECODED)
 
-    @F.pandas_udf("string")
-    def text(ids):
-        return ids.map(lambda x: "" if x is None else decoded(x, *sent.value))
 
-    return encoded.withColumn("decoded", text("ids"))
+def _decoder(spark: SparkSession, model_path: str | None):
+    pieces = Pieces.load(model_path or default_model())
+    byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
+    sent = spark.sparkContext.broadcast((pieces.pieces, byte_of))
 
+    def run(batches):
+        for batch in _slices(batches):
+            rows = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column(1)]
+            columns = [batch.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in rows], pa.int64()), pa.array([decoded(x, *sent.value) for x in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "decoded"])
 
-def _crc(ids: str) -> Column:
-    return F.pandas_udf(lambda x: x.map(lambda i: zlib.crc32(i.astype("<u4").tobytes())), "long", F.PandasUDFType.SCALAR)(ids)
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text: ``n_ids``, the crc32 of the ids, and the decoded text's digest."""
-    back = decode(encode(documents(spark, sf_dir)))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), _crc("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    back = round_trip(documents(spark, sf_dir))
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
