@@ -9,7 +9,8 @@ of some documents or of the lengths alone touches only their pages.
 
 Encoding is the tokenizers library's. Pieces of the file's own splitting pattern are
 encoded independently by it, so each distinct piece is given to the library once for many texts and
-remembered (at most ``REMEMBERED`` pieces a worker, then the memory starts anew). Strings of special
+remembered by its 64-bit hash (at most ``REMEMBERED`` pieces a worker, then the memory starts anew).
+Texts with apostrophes, which the pattern splits by more rules, go to the library whole. Strings of special
 tokens in a text are ordinary text.
 
 Defined results: null and empty texts hold only the end id. Rows with a null id are left out.
@@ -19,6 +20,7 @@ empty files and no rows.
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
@@ -30,16 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kernels import hash_words
 from .runtime import documents, require
 
-#: Fixed: the splitting pattern of the byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that regular-expression libraries class differently as white space: such texts go to the library whole.
 UNSURE = r"[\x1c-\x1f\x85᠎​-‍﻿]"
 END_ID = 0
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
+SLICE_ROWS = 512
+GROUP_CHARS = 1 << 19
+STRING = 256
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -49,6 +53,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces:
+    """Ids of pieces by their hashes: sorted arrays that grow by merging."""
+
+    def __init__(self):
+        self.hashes, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+
+    def unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] != hashes
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+        begins = (np.cumsum(sizes) - sizes + len(self.flat)).astype(np.uint32)
+        flat = np.fromiter((k for i in ids for k in i), np.int32, int(sizes.sum()))
+        # two bytes an id for as long as all fit
+        self.flat = np.concatenate((self.flat, flat.astype(np.uint16) if self.flat.dtype == np.uint16 and (not len(flat) or flat.max() < 1 << 16) else flat))
+        order = np.argsort(np.concatenate((self.hashes, hashes)), kind="stable")
+        self.hashes = np.concatenate((self.hashes, hashes))[order]
+        self.begins = np.concatenate((self.begins, begins))[order]
+        self.sizes = np.concatenate((self.sizes, sizes))[order]
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        return self.begins[at].astype(np.int64), self.sizes[at].astype(np.int64)
+
+
 class Encoder:
     """A tokenizer with a memory of pieces; ``spec`` is the text of its file."""
 
@@ -59,36 +91,96 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = True
         split = json.loads(spec).get("pre_tokenizer") or {}
-        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not json.loads(spec).get("normalizer")
-        self.split = regex.compile(PATTERN).findall if plain else None
+        self.splits = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not json.loads(spec).get("normalizer")
         self.unsure = regex.compile(UNSURE).search
-        self.memory: dict[str, list[int]] = {}
+        self.classes = [regex.compile(c).match for c in (r"\p{L}", r"\p{N}", r"\s")]
+        self.kinds = np.full(0x110000, 255, dtype=np.uint8)
+        self.memory = Pieces()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.split is None:
-            return self._library(texts)
-        cut = [self.split(t) if not self.unsure(t) else None for t in texts]
-        new = list({p for c in cut if c for p in c} - self.memory.keys())
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory = {}
-            new = list({p for c in cut if c for p in c})
-        self.memory.update(zip(new, self._library(new), strict=True))
-        memory, out = self.memory, []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self._library([text])[0])
-            else:
-                ids: list[int] = []
-                for p in pieces:
-                    ids += memory[p]
-                out.append(ids)
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        """0 letter, 1 number, 2 white space, 3 other; looked up once for each character met."""
+        kind = self.kinds[points]
+        if (kind == 255).any():
+            for c in np.unique(points[kind == 255]).tolist():
+                self.kinds[c] = next((k for k, test in enumerate(self.classes) if test(chr(c))), 3)
+            kind = self.kinds[points]
+        return kind
+
+    def _starts(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pattern's pieces start, for texts without apostrophes: runs of one kind, the last white space
+        before other characters apart, and, if it is a space, joined to what follows."""
+        kind = self._kinds(points)
+        begins = np.ones(len(points), dtype=bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        own = np.zeros(len(points) + 1, dtype=bool)
+        own[offsets] = True
+        begins |= own[:-1]
+        after = np.flatnonzero(begins[1:] & ~own[1:-1] & (kind[1:] != 2) & (kind[:-1] == 2)) + 1
+        begins[after - 1] = True
+        begins[after[points[after - 1] == 0x20]] = False
+        return np.flatnonzero(begins)
+
+    def _new_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces; those that begin with a space go to the library strung together, as words of longer texts."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        strung = [i for i, p in enumerate(pieces) if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        runs = [strung[k : k + STRING] for k in range(0, len(strung), STRING)]
+        made = self.library.encode_batch(["".join([pieces[i] for i in run]) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, made, strict=True):
+            ids, words = e.ids, np.array(e.word_ids, dtype=np.int64)
+            cuts = np.searchsorted(words, np.arange(len(run) + 1)).tolist()
+            if len(words) and words[-1] == len(run) - 1:
+                for k, i in enumerate(run):
+                    out[i] = ids[cuts[k] : cuts[k + 1]]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._library([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
-
-def _groups(texts: list[str], chars: int = 2 << 20):
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        whole = [i for i, t in enumerate(texts) if not self.splits or "'" in t or self.unsure(t)]
+        if whole:
+            parts = [np.zeros(0, np.int32)] * len(texts)
+            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+                parts[i] = np.array(ids, dtype=np.int32)
+            rest = sorted(set(range(len(texts))) - set(whole))
+            flat, sizes = self.encode([texts[i] for i in rest]) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            for i, part in zip(rest, np.split(flat, np.cumsum(sizes)[:-1]) if rest else [], strict=True):
+                parts[i] = part
+            return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        starts = self._starts(points, offsets)
+        ends = np.append(starts[1:], len(points))
+        hashes = hash_words(points, starts, ends)
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.memory.hashes) + len(distinct) > REMEMBERED:
+            self.memory = Pieces()
+        new = np.flatnonzero(self.memory.unknown(distinct))
+        if len(new):
+            begin, end = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self.memory.add(distinct[new], self._new_ids([joined[a:b] for a, b in zip(begin, end, strict=True)]))
+        begins, sizes = self.memory.get(distinct)
+        begins, sizes = begins[back], sizes[back]
+        stops = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.arange(stops[-1]) + np.repeat(begins - stops[:-1], sizes)
+        return self.memory.flat[places], np.diff(stops[np.searchsorted(starts, offsets)])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(spec: str) -> Encoder:
+    """One encoder a worker process, so that its memory of pieces serves all its tasks."""
+    return Encoder(spec)
+
+
+def _groups(texts: list[str], chars: int = GROUP_CHARS):
     """Runs (first, last) of texts with about so many characters."""
     first = size = 0
     for i, t in enumerate(texts):
@@ -107,16 +199,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
         sent = spark.sparkContext.broadcast(file.read())
 
     def run(batches):
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(sent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in _groups(texts):
-                arrays = []
-                for ids in encoder.encode(texts[first:last]):
-                    arrays.append(np.array(ids if end_id is None else [*ids, end_id], dtype=np.int32))
-                edges = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-                values = np.concatenate(arrays)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(edges).astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(values))], ["doc_id", "n_tokens", "ids"])
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(low, SLICE_ROWS)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for first, last in _groups(texts):
+                    values, sizes = encoder.encode(texts[first:last])
+                    if end_id is not None:
+                        values = np.insert(values, np.cumsum(sizes), end_id)
+                        sizes = sizes + 1
+                    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, last - first), pa.array(sizes), pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.int32)))], ["doc_id", "n_tokens", "ids"])
 
     rows = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
