@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .runtime import cut, documents, let, require, table
+from .runtime import cut, documents, let, require, sized, table
 
 WIDTH = 5
 SIMILARITY = 0.8
 BITS = 64
 RADIUS = 19
 BROADCAST_SHINGLES = 1_000_000
+BROADCAST_WINDOWS = 1_000_000
 
 
 def _bit(value: Column, at: Column) -> Column:
@@ -82,18 +83,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         met = rows if met is None else met.unionAll(rows)
     if met is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, distance int, similarity double")
-    windows = cut(met.distinct()).groupBy("id").agg(F.collect_list(F.struct("start", "len")).alias("windows"))
-
-    # each document's windows, from its words once more
-    laid = hashed.join(windows, "id").select("id", F.explode(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"), F.slice("h", w["start"] + 1, w["len"]).alias("h")))).alias("w")).select("id", "w.*")
+    windows = cut(met.distinct())
+    laid_in = windows.groupBy("id").agg(F.collect_list(F.struct("start", "len")).alias("windows"))
+    # a document here has one window at least, so their number bounds this side too
+    laid_in = F.broadcast(laid_in) if windows.count() <= BROADCAST_WINDOWS else laid_in
+
+    # the windows' words, from the texts once more: only texts with windows are cut into words
+    texts = require(docs, "doc_id", "text").withColumn("id", F.col("doc_id").cast("long")).join(laid_in, "id")
+    texts = texts.select("id", "windows", W.hashes(W.words(F.lower("text"))).alias("h"))
+    window = lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"), F.slice("h", w["start"] + 1, w["len"]).alias("h"))
+    laid = texts.select(F.col("id"), F.explode(F.transform("windows", window)).alias("w")).select("id", "w.*")
     laid = cut(laid.filter(F.size("h") > 0).withColumn("print", simhash(F.col("h"))))
     asked = laid.select("id", "start", "len", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("id", "start", "len", "print", "b.*")
     index = items.select("item_id", F.col("n").alias("len"), "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "len", "item_print", "b.*")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = asked.join(index, ["len", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
     near = near.select("id", "start", "len", "item_id", "distance").distinct()
-    texts = laid.select("id", "start", "len", "h")
-    checked = near.join(texts, ["id", "start", "len"]).join(weighed, "item_id").join(items.select("item_id", "width").distinct(), "item_id")
+    checked = near.join(laid.select("id", "start", "len", "h"), ["id", "start", "len"]).join(weighed, "item_id").join(items.select("item_id", "width").distinct(), "item_id")
     inside = F.coalesce(*[F.when(is_k, W.shingles(F.col("h"), k)) for k, is_k in wide.items()])
     shared = let(inside, lambda s: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.when(F.array_contains(s, p["s"]), p["w"]).otherwise(0.0)))
     checked = checked.withColumn("similarity", shared / F.col("total")).filter(F.col("similarity") >= similarity - 1e-12)
@@ -108,4 +114,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
     bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(sized(bad), "doc_id", "left_anti")

@@ -27,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that are broadcast rather than shuffled to: a join with at most so many of them sends about 16 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """``ids`` (few narrow columns), cut, and marked for broadcast if there are at most BROADCAST_IDS rows.
+
+    Joined with documents, a small set then leaves the texts where they are; a large one is joined by a shuffle.
+    """
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it by name inside ``body``.
 
