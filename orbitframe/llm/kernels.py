@@ -1,18 +1,20 @@
 """Vectorised word hashing over Arrow batches.
 
 All functions work on the UTF-8 bytes of a whole batch at once; a batch is cut
-into pieces of a few MB so that memory stays bounded by the longest text.
+into pieces of about a MB so that memory stays bounded by the longest text.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 LONG_WORD = 48
 _R = np.uint64(0x9E3779B97F4A7C15)
 #: One odd multiplier for each place in a shingle.
@@ -34,6 +36,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept for later tasks, and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(function):
+    """``function`` over batches, with :func:`release` at its end."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .kernels import mix, shingle_sets
-from .runtime import cut, documents, require, shuffle_partitions
+from .kernels import mix, shingle_sets, tidy
+from .runtime import cut, documents, require, shuffle_partitions, sized
 
 #: Shingles of a document's ascending hashes that step 2 looks at.
 HALF = 2
@@ -77,7 +77,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 lo.append(int.from_bytes(d[8:], "little", signed=True))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["doc_id", "n", "hi", "lo"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, hi long, lo long")
 
 
 def _bucketed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _bucketed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "ids", "known", "tok", "at"])
 
-    return docs.mapInArrow(run, "bucket int, ids binary, known binary, tok binary, at binary")
+    return docs.mapInArrow(tidy(run), "bucket int, ids binary, known binary, tok binary, at binary")
 
 
 def _shared_counts(buckets: DataFrame, parts: int) -> DataFrame:
@@ -177,8 +177,8 @@ def _shared_counts(buckets: DataFrame, parts: int) -> DataFrame:
             sums = np.bincount(place, weights=np.concatenate([sums, *counts]), minlength=len(ids)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], ["doc_id", "shared"])
 
-    found = buckets.sortWithinPartitions("bucket").mapInArrow(run, "part int, ids binary, counts binary")
-    return found.repartition(parts, "part").mapInArrow(add, "doc_id long, shared long")
+    found = buckets.sortWithinPartitions("bucket").mapInArrow(tidy(run), "part int, ids binary, counts binary")
+    return found.repartition(parts, "part").mapInArrow(tidy(add), "doc_id long, shared long")
 
 
 def _copies(profile: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +199,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             rows = [(ids[i], len(s), s.tobytes()) for i, s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, shingles binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, shingles binary")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
                 part = slice(a, a + 256)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], n[part])), pa.array(np.concatenate(flat[part]))], ["doc_id", "token"])
 
-    return sets.mapInArrow(run, "doc_id long, token long")
+    return sets.mapInArrow(tidy(run), "doc_id long, token long")
 
 
 def merge_short(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -338,9 +338,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one less than T - (n - looked at): rounding makes that bound fall by one between neighbouring sizes
     bound = F.ceil(F.col("n") * 4 / 5) - F.floor(F.col("n") / HALF) - 1
     live = classes.select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").filter(F.col("shared") >= bound)
-    live = cut(live.groupBy("doc_id").agg(F.max("n").alias("n")))
+    live = sized(live.select("doc_id").distinct())
 
-    sets = cut(_sets(docs.join(live.select("doc_id"), "doc_id", "left_semi"), width).filter("n > 0").dropDuplicates(["doc_id"]))
+    sets = cut(_sets(docs.join(live, "doc_id", "left_semi"), width).filter("n > 0").dropDuplicates(["doc_id"]))
     tokens = _tokens(sets)
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     kept = tokens.join(often, "token").join(sets.select("doc_id", "n"), "doc_id")
@@ -370,5 +370,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class of near copies the document with the smallest id stays."""
-    kept = ngram_jaccard_join(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = ngram_jaccard_join(docs).filter("component_id <> doc_id").select("doc_id")
+    return docs.join(sized(gone), "doc_id", "left_anti")
