@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, NOT_SPACE, hash_words, pieces, word_spans
+from .kernels import ALNUM, NOT_SPACE, hash_words, pieces, tidy, word_spans
 from .runtime import documents, require, table
 from .toxicity import in_hold_out
 
@@ -86,7 +86,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "sums"])
 
     schema = "block int, sums binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()  # BLOCKS rows of fixed size
+    rows = docs.select("text").mapInArrow(tidy(count), schema).repartition("block").mapInArrow(tidy(add), schema).collect()  # BLOCKS rows of fixed size
     out = np.zeros((BLOCKS, buckets * DIMENSIONS // BLOCKS))
     for r in rows:
         out[r.block] = np.frombuffer(r.sums, np.int64)
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hold_out
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     texts = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text")  # max_train small rows
-    got = sorted(texts.mapInArrow(embed, "doc_id long, label double, x binary").collect())  # max_train short vectors
+    got = sorted(texts.mapInArrow(tidy(embed), "doc_id long, label double, x binary").collect())  # max_train short vectors
     order = np.random.default_rng(3).permutation(len(got))
     x = np.array([np.frombuffer(got[i].x) for i in order]).reshape(-1, DIMENSIONS)
     return vectors, train(x, np.array([got[i].label for i in order]))
@@ -182,7 +182,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probabilities(pooled(batch.column(1), own)))], ["doc_id", "score"])
 
-    return require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

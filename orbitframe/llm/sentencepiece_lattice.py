@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import hash_words
+from .kernels import hash_words, tidy
 from .runtime import cut, documents, let, require
 
 SPACE = "▁"
 DICTIONARY = 3_000_000
-PIECE_CHARS = 1 << 19
+PIECE_CHARS = 1 << 18
 SEEN = 2_000_000
 SLICE_ROWS = 512
 UNKNOWN_PENALTY = 10.0
@@ -142,7 +142,7 @@ def vocabulary(docs: DataFrame, joints) -> DataFrame:
                 units = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.string())], ["unit"])
 
-    return docs.select("text").mapInArrow(run, "unit string").groupBy("unit").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "unit string").groupBy("unit").agg(F.count("*").alias("n"))
 
 
 def best_path(edges: Column, size: Column) -> Column:
@@ -215,9 +215,10 @@ def _spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
     return [k for i in ids for k in ([i] if i >= 0 else [byte_ids[b] for b in chr(-i).encode("utf-8", "surrogatepass")])]
 
 
-def _packed(encoded: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending unit hashes, offsets and ids of at most DICTIONARY rows."""
+def _packed(encoded: DataFrame, pieces: Pieces) -> tuple[np.ndarray, ...]:
+    """Ascending unit hashes with begins and sizes of their ids, and the ids, of at most DICTIONARY rows: some 24 bytes a unit."""
     byte_ids = pieces.byte_ids
+    narrow = np.uint16 if len(pieces.pieces) <= 1 << 16 else np.int32
 
     def run(batches):
         for batch in batches:
@@ -225,21 +226,15 @@ def _packed(encoded: DataFrame, pieces: Pieces) -> tuple[np.ndarray, np.ndarray,
             points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             edges = np.concatenate(([0], np.cumsum([len(u) for u in units])))
             ids = [_spelt(i, byte_ids) for i in batch.column(1).to_pylist()]
-            flat = np.array([k for i in ids for k in i], dtype=np.int32)
-            sizes = np.array([len(i) for i in ids], dtype=np.int32)
-            packed = (hash_words(points, edges[:-1], edges[1:]), sizes, flat)
+            packed = (hash_words(points, edges[:-1], edges[1:]), np.array([len(i) for i in ids], dtype=np.uint32), np.array([k for i in ids for k in i], dtype=narrow))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["hash", "sizes", "flat"])
 
-    rows = encoded.select("unit", "ids").mapInArrow(run, "hash binary, sizes binary, flat binary").collect()
-    join = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows]) if rows else np.zeros(0, t)
-    return _sorted(join(0, np.uint64), join(1, np.int32), join(2, np.int32))
-
-
-def _sorted(hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = encoded.select("unit", "ids").mapInArrow(tidy(run), "hash binary, sizes binary, flat binary").collect()
+    hashes, sizes, flat = (np.frombuffer(b"".join([r[k] for r in rows]), t) for k, t in enumerate((np.uint64, np.uint32, narrow)))
+    del rows
     order = np.argsort(hashes, kind="stable")
-    begins = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-    small = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32
-    return hashes[order], np.concatenate(([0], np.cumsum(sizes[order], dtype=np.int64))).astype(np.uint32), flat[_ranges(begins[:-1][order], sizes[order])].astype(small)
+    begins = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.uint32)
+    return hashes[order], begins[order], sizes[order], flat
 
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -261,14 +256,14 @@ def _lookup(dictionary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """``(doc_id, ids)`` of each row with an id."""
     docs, assemble = _assembly(docs, model_path, dictionary)
-    return docs.mapInArrow(assemble, RESULT)
+    return docs.mapInArrow(tidy(assemble), RESULT)
 
 
 def round_trip(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """What ``decode(encode(docs))`` gives, in one pass of one worker a task."""
     docs, assemble = _assembly(docs, model_path, dictionary)
     back = _decoder(docs.sparkSession, model_path)
-    return docs.mapInArrow(lambda batches: back(assemble(batches)), DECODED)
+    return docs.mapInArrow(tidy(lambda batches: back(assemble(batches))), DECODED)
 
 
 def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
@@ -301,9 +296,8 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
             for first, last, joined, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), joints):
                 hashes = hash_words(points, starts, ends)
                 at, there = _lookup(dictionary, hashes)
-                begins = np.where(there, dictionary[1][at], 0).astype(np.int64)
-                sizes = np.where(there, dictionary[1][np.minimum(at + 1, len(dictionary[0]))], 0).astype(np.int64) - begins
-                flat = dictionary[2]
+                begins, sizes, flat = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), dictionary[3]
+                begins[there], sizes[there] = dictionary[1][at[there]], dictionary[2][at[there]]
                 if not there.all():
                     own: dict[str, list[int]] = {}
                     for e in extra[first:last]:
@@ -319,7 +313,7 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(edges), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
     if size > dictionary:
-        lost = docs.mapInArrow(rest, "doc_id long, unit string").distinct().join(encoded.select("unit", "ids"), "unit")
+        lost = docs.mapInArrow(tidy(rest), "doc_id long, unit string").distinct().join(encoded.select("unit", "ids"), "unit")
         docs = docs.join(lost.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "ids")).alias("extra")), "doc_id", "left")
     return docs, assemble
 
@@ -350,7 +344,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
     The crc32 is that of the ids as little-endian unsigned 32-bit integers.
     """
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(encoded.sparkSession, model_path), DECODED)
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decoder(encoded.sparkSession, model_path)), DECODED)
 
 
 def _decoder(spark: SparkSession, model_path: str | None):

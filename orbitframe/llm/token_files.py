@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import hash_words
+from .kernels import hash_words, tidy
 from .runtime import documents, require
 
 #: Characters that regular-expression libraries class differently as white space: such texts go to the library whole.
@@ -213,7 +213,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(first, last - first), pa.array(sizes), pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.int32)))], ["doc_id", "n_tokens", "ids"])
 
     rows = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(run), SCHEMA)
     writer = rows.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true")
     writer.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.dictionary.page.size", 1 << 20).parquet(path)
 
@@ -246,7 +246,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edges).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
 
-    return rows.select("file", "doc_id", "ids").mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    return rows.select("file", "doc_id", "ids").mapInArrow(tidy(run), "file string, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, mix, pieces, words_of
-from .runtime import documents, require, table
+from .kernels import ALNUM, mix, pieces, release, tidy, words_of
+from .runtime import documents, require, sized, table
 
 BITS = 20
-MAX_TRAIN = 20_000
+MAX_TRAIN = 12_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
 HOLD_OUT = (3, 1)
@@ -68,7 +68,7 @@ def _examples(rows: DataFrame) -> DataFrame:
                 found = [(keys[cuts[i] : cuts[i + 1]] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for i in range(last - first)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first:last], pa.int64()), pa.array(labels[first:last], pa.int32()), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
-    return rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary")
+    return rows.select("doc_id", "label", "text").mapInArrow(tidy(run), "doc_id long, label int, features binary")
 
 
 class Ftrl:
@@ -89,16 +89,29 @@ class Ftrl:
         self.n[features] = n + g * g
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The int arrays of a binary column, without copies."""
+    out = []
+    for chunk in column.chunks:
+        edges = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = chunk.buffers()[2]
+        out += [np.frombuffer(data, np.int32, (b - a) // 4, a) if b > a else np.zeros(0, np.int32) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return out
+
+
 def _learn(group: pa.Table) -> pa.Table:
     order = np.argsort(group.column("turn").to_numpy(), kind="stable")
-    labels, features = group.column("label").to_pylist(), group.column("features").to_pylist()
+    labels, features = group.column("label").to_pylist(), _views(group.column("features"))
     model = Ftrl(1 + (1 << BITS))
     for _ in range(EPOCHS):
         for i in order:
-            model.learn(np.concatenate(([0], np.frombuffer(features[i], np.int32) + 1)), labels[i])
+            model.learn(np.concatenate(([0], features[i] + 1)), labels[i])
     w = model.weights(slice(None))
     at = np.flatnonzero(w)
-    return pa.table([pa.array(at), pa.array(w[at])], ["feature", "weight"])
+    out = pa.table([pa.array(at), pa.array(w[at])], ["feature", "weight"])
+    del model, features
+    release()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", hold_out: tuple[int, int] | None = HOLD_OUT, max_train: int = MAX_TRAIN) -> dict[int, float]:
@@ -136,7 +149,7 @@ def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
                 out[first:last] = np.bincount(keys >> BITS, weights=own[keys & ((1 << BITS) - 1)], minlength=last - first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out + bias, -30, 30))))], ["doc_id", "score"])
 
-    return require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,4 +165,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored as toxic go."""
     bad = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(sized(bad), "doc_id", "left_anti")
