@@ -3,7 +3,8 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every
 step is an aggregation and a join on node ids, so nothing is gathered. Aggregations combine
 before the shuffle; nodes with over a thousandth of all edges (at most 2000 of them), such as the
-centre of a large component, are joined by broadcast, so that their edges stay spread.
+centre of a large component, are joined by broadcast, so that their edges stay spread; this costs
+more stages, so nodes of up to ``LEAST_HUB`` edges are left to the shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from .runtime import cut
 
 
 HUB_SHARE = 1000
-LEAST_HUB = 1000
+LEAST_HUB = 100_000
 
 
 def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
