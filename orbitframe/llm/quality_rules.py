@@ -1,8 +1,9 @@
 """Quality rules: base counts, and a log-likelihood ratio of hashed n-grams.
 
 DataFrame expressions only. Two multinomials over ``2**BITS`` hashed word unigrams
-and bigrams are counted: one of the trusted target (at most ``MAX_TRUSTED`` of the documents labelled good,
-those with the smallest id hashes: a documented bound), one of the raw corpus (all documents). A document's score is the sum of ln(p_target / p_raw) over its n-grams,
+and bigrams are counted: one of the trusted target (all documents labelled good), one of the raw
+corpus (all documents). To learn which documents are trusted, their ids are broadcast if a count shows few enough
+(``runtime.sized``); otherwise ids and buckets of n-grams (two bytes each) are shuffled, never texts. A document's score is the sum of ln(p_target / p_raw) over its n-grams,
 divided by their number. A document that the base rules keep is kept if its score is at least
 ``THRESHOLD``. Both tables have a fixed size; counting is pre-aggregated in each task
 before the shuffle, and scoring is a map over the documents.
@@ -21,12 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .runtime import documents, let, require, table
+from .runtime import documents, let, require, sized, table
 
 BITS = 14
 SMOOTHING = 1.0
 THRESHOLD = -0.06
-MAX_TRUSTED = 50_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -67,11 +67,11 @@ def ngram_buckets(hashed: Column) -> Column:
     return F.when(F.size(hashed) > 0, both).otherwise(F.array().cast("array<int>"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED) -> list[float]:
-    """ln(p_target / p_raw) of each bucket, smoothed: the raw counts of all documents, the target's of at most ``max_trusted``."""
-    chosen = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    rows = docs.join(F.broadcast(chosen.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")  # max_trusted ids
-    grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode_outer(ngram_buckets(W.hashes(W.words(F.col("text"))))).alias("bucket"))
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
+    """ln(p_target / p_raw) of each bucket, smoothed: the raw counts of all documents, the target's of all ``trusted`` ones."""
+    buckets = docs.select("doc_id", ngram_buckets(W.hashes(W.words(F.col("text")))).cast("array<smallint>").alias("buckets"))
+    rows = buckets.join(sized(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")
+    grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode_outer("buckets").alias("bucket"))
     counted = grams.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")).collect()  # 2**BITS rows at most
     size = 1 << BITS
     raw, target = [SMOOTHING] * size, [SMOOTHING] * size

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbitframe.llm import (
-    chat_quotes, components, decontaminate, kernels, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity,
+    chat_quotes, components, decontaminate, kernels, ngram_jaccard, pii, quality_classifier, quality_rules, runtime, secrets, sentencepiece_lattice, token_files, toxicity,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,6 +194,15 @@ def test_quality_rules_awkward(spark, awkward, empty):
     assert {r.score for r in quality_rules.quality_rules(awkward, few_labels(spark, "quality").limit(0)).collect()} == {0.0}
 
 
+def test_quality_rules_count_all_trusted(spark, monkeypatch):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 7).cast("string")).alias("text"))
+    assert set(quality_rules.log_ratios(rows, rows.select("doc_id"))) == {0.0}
+    half = rows.filter("doc_id % 2 = 0").select("doc_id")
+    few = quality_rules.log_ratios(rows, half)
+    monkeypatch.setattr(runtime, "BROADCAST_IDS", 10)
+    assert quality_rules.log_ratios(rows, half) == few and len(set(few)) > 1
+
+
 # --- 4
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
