@@ -43,11 +43,19 @@ def judged_by_reviews(latest: DataFrame) -> DataFrame:
     return latest.filter((F.col("decision") == "accept") & F.col("query_id").isNotNull()).select("query_id", F.col("result_id").alias("item_id"))
 
 
-def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0, rounds: int = 500) -> DataFrame:
+BOX = ("min_x", "min_y", "max_x", "max_y")
+
+
+def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0) -> DataFrame:
     """``(det_id, truth_id)``, one to one: detections in order of certainty take the first free truth they overlap.
 
-    Boxes meet in grid cells (an equality join), and each round matches, for all places at once, the
-    pairs in which a detection's first free truth has no more certain free taker.
+    Detections with the same box are a class, and boxes meet truths in grid cells (an equality join), so pairs are of
+    classes and truths. The k-th most certain detection of a class can have the k-th truth of its list at the earliest,
+    and starts there. In each round every detection asks for the truth at its place; a truth asked by detections of several classes keeps
+    the most certain one, the others go on by a place, and those behind them in their class stay behind them. A place never passes
+    what the detection gets in the end, so when nobody has to go on, the matching is that of one detection after another.
+    There is no limit of rounds: each one that isn't the last moves a place, and lists are finite.
+    Repeated rows of an id are one detection with all their boxes and the highest certainty; rows with a null id are left out.
     ``detections(det_id, confidence, min_x, ...)``, ``truth(truth_id, min_x, ...)``.
     """
 
@@ -56,22 +64,30 @@ def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0, roun
         out = df.withColumn("cx", F.explode(span("min_x", "max_x"))).withColumn("cy", F.explode(span("min_y", "max_y")))
         return out.select("cx", "cy", *[F.col(c).alias(prefix + c) for c in df.columns])
 
-    met = celled(detections.select("det_id", "confidence", "min_x", "min_y", "max_x", "max_y"), "d_").join(celled(truth.select("truth_id", "min_x", "min_y", "max_x", "max_y"), "t_"), ["cx", "cy"])
+    found = detections.filter("det_id is not null").groupBy("det_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct(*BOX))).alias("boxes"))
+    classes = cut(found.select("boxes").distinct().withColumn("class", F.monotonically_increasing_id()))  # a number for each class, fixed by the cut
+    boxes = classes.select("class", F.explode("boxes").alias("b")).select("class", "b.*")
+    met = celled(boxes, "d_").join(celled(truth.filter("truth_id is not null").select("truth_id", *BOX), "t_"), ["cx", "cy"])
     meets = (F.col("d_min_x") <= F.col("t_max_x")) & (F.col("d_max_x") >= F.col("t_min_x")) & (F.col("d_min_y") <= F.col("t_max_y")) & (F.col("d_max_y") >= F.col("t_min_y"))
-    free = met.filter(meets).select(F.col("d_det_id").alias("det_id"), F.col("d_confidence").alias("confidence"), F.col("t_truth_id").alias("truth_id")).distinct()
-    free = cut(free)
-    matched = None
-    for _ in range(rounds):
-        order = F.struct(F.negative("confidence"), "det_id")
-        strongest = F.min(order).over(Window.partitionBy("truth_id"))
-        firsts = free.withColumn("choice", F.min("truth_id").over(Window.partitionBy("det_id"))).withColumn("lead", strongest)
-        taken = cut(firsts.filter((F.col("truth_id") == F.col("choice")) & (order == F.col("lead"))).select("det_id", "truth_id"))
-        if taken.isEmpty():
-            break
-        matched = taken if matched is None else matched.unionByName(taken)
-        free = free.join(taken.select("det_id"), "det_id", "left_anti").join(taken.select("truth_id"), "truth_id", "left_anti")
-        free = cut(free)
-    return detections.select("det_id").limit(0).withColumn("truth_id", F.lit(None).cast("long")) if matched is None else matched
+    pairs = met.filter(meets).select(F.col("d_class").alias("class"), F.col("t_truth_id").alias("truth_id")).distinct()
+    listed = cut(pairs.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("truth_id"))))
+    lengths = listed.groupBy("class").agg(F.count("*").alias("length"))
+
+    certain = [F.negative("confidence").asc_nulls_last(), F.col("det_id")]
+    rows = found.join(classes, "boxes").select("det_id", "confidence", "class").join(lengths, "class")
+    # only the first detections of a class, as many as its truths, can get one: first those of each of 64 parts, so that no task ranks a whole class
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("det_id"), F.lit(64)))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("class", "part").orderBy(*certain))).filter("k <= length").drop("part")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy(*certain))).filter("k <= length")
+    asking = cut(rows.withColumn("place", F.col("k")))
+    ahead = Window.partitionBy("class").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        asked = asking.join(listed, ["class", "place"])
+        asked = cut(asked.withColumn("lost", (F.row_number().over(Window.partitionBy("truth_id").orderBy(*certain)) > 1).cast("int")))
+        if asked.filter("lost = 1").isEmpty():
+            return asked.select("det_id", "truth_id")
+        moved = asked.withColumn("place", F.col("k") + F.max(F.col("place") + F.col("lost") - F.col("k")).over(ahead))
+        asking = moved.filter("place <= length").select(*asking.columns)
 
 
 def change_metrics(detections: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:

@@ -195,6 +195,32 @@ def test_truth_matching_and_metrics(spark):
     assert (r.tp, r.fp, r.fn, r.type_accuracy, r.median_delay_days) == (2, 1, 0, 0.5, 4)
 
 
+def test_truth_matching_of_many_in_one_box(spark):
+    d = spark.range(700).selectExpr("id as det_id", "(id * 37 % 700) / 700.0D as confidence", "0.0D as min_x", "0.0D as min_y", "1.0D as max_x", "1.0D as max_y")
+    t = spark.range(600).selectExpr("id as truth_id", "0.5D as min_x", "0.5D as min_y", "2.0D as max_x", "2.0D as max_y")
+    order = sorted(range(700), key=lambda k: -(k * 37 % 700))
+    assert dict(values(evaluation.match_truth(d, t), "det_id", "truth_id")) == dict(zip(order, range(600)))  # noqa: B905
+
+
+def test_truth_matching_against_one_after_another(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        box = lambda w: (x := r.randrange(8) * 1.0, y := r.randrange(8) * 1.0, x + w, y + w)
+        d = [(k, r.choice([0.2, 0.5, 0.5, 0.9, None]), *box(2.0)) for k in range(300)]
+        t = [(k, *box(1.0)) for k in range(200)]
+        free, want = dict.fromkeys(range(200)), {}
+        for k, _, a, b, c, e in sorted(d, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])):
+            first = next((m for m, p, q, u, v in t if m in free and a <= u and c >= p and b <= v and e >= q), None)
+            if first is not None:
+                want[k] = first
+                del free[first]
+        sides = "min_x double, min_y double, max_x double, max_y double"
+        got = evaluation.match_truth(spark.createDataFrame(d, f"det_id long, confidence double, {sides}"), spark.createDataFrame(t, f"truth_id long, {sides}"), cell=3.0)
+        assert sorted(values(got, "det_id", "truth_id")) == sorted(want.items())
+
+
 def test_clusters(spark):
     rows = [(k, [1.0, 0.01 * k]) for k in range(6)] + [(10 + k, [0.01 * k, 1.0]) for k in range(6)] + [(99, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "tile_id long, vector array<double>")
