@@ -12,8 +12,13 @@ from ..session import cut
 
 
 def bounded_sample(members: DataFrame, cap: int = DEFAULTS.cluster_cap, seed: int = 0) -> DataFrame:
-    """At most ``cap`` members, chosen by a hash of their id: the same ones on every run, all of them up to the cap."""
-    return members.orderBy(F.xxhash64("tile_id", F.lit(seed)), "tile_id").limit(cap)
+    """At most ``cap`` members, chosen by a hash of their id: the same ones on every run, all of them up to the cap.
+
+    Each row says how many members there were (``total_matching``), and whether some were left out (``sampled``).
+    """
+    total = members.agg(F.count("*").alias("total_matching"))  # one row
+    chosen = members.orderBy(F.xxhash64("tile_id", F.lit(seed)), "tile_id").limit(cap)
+    return chosen.crossJoin(F.broadcast(total)).withColumn("sampled", F.col("total_matching") > cap)
 
 
 def kmeans_labels(members: DataFrame, n_clusters: int, seed: int = 0) -> DataFrame:
@@ -100,9 +105,13 @@ def hull_candidates(points: DataFrame, by: str, directions: int = 64) -> DataFra
     return points.groupBy(by).agg(F.array_distinct(F.array(*far)).alias("p")).select(by, F.explode("p").alias("p")).select(by, "p.x", "p.y")
 
 
-def discover(members: DataFrame, algorithm: str = "kmeans", n_clusters: int = 8, eps: float = 0.15, min_cluster_size: int = 5, cap: int = DEFAULTS.cluster_cap) -> DataFrame:
-    """Cluster summaries of ``members(tile_id, vector, x, y)``; none if there are too few members."""
-    rows = bounded_sample(members, cap).persist()
+def discover(members: DataFrame, algorithm: str = "kmeans", n_clusters: int = 8, eps: float = 0.15, min_cluster_size: int = 5, cap: int | None = None) -> DataFrame:
+    """Cluster summaries of ``members(tile_id, vector, x, y)``; none if there are too few members.
+
+    All members are clustered, unless the caller asks for a :func:`bounded_sample` by ``cap``; ``total_matching`` and ``sampled`` tell.
+    """
+    cut_to = members if cap is None else bounded_sample(members, cap).drop("total_matching", "sampled")
+    rows = cut_to.persist()
     if algorithm == "dbscan":
         labelled = rows.join(dbscan_labels(rows, eps, min_cluster_size).drop("is_core"), "tile_id")
     elif algorithm == "kmeans":
@@ -110,4 +119,6 @@ def discover(members: DataFrame, algorithm: str = "kmeans", n_clusters: int = 8,
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}; have kmeans, dbscan")
     enough = rows.limit(max(2, min_cluster_size)).count() >= max(2, min_cluster_size)
-    return summaries(labelled if enough else labelled.limit(0))
+    total = members.agg(F.count("*").alias("total_matching"))  # one row
+    out = summaries(labelled if enough else labelled.limit(0)).crossJoin(F.broadcast(total))
+    return out.withColumn("sampled", F.lit(False) if cap is None else F.col("total_matching") > cap).orderBy(F.desc("size"), "cluster_id")

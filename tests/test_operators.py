@@ -232,6 +232,15 @@ def test_clusters(spark):
     assert sum(r["size"] for r in clusters.discover(placed, "kmeans", n_clusters=3).collect()) == 13
 
 
+def test_clusters_are_of_all_members(spark):
+    many = spark.range(50_100).select(F.col("id").alias("tile_id"), F.array(F.cos("id"), F.sin("id")).alias("vector"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    rows = clusters.discover(many, "kmeans", n_clusters=3).collect()
+    assert sum(r["size"] for r in rows) == 50_100 and {(r.total_matching, r.sampled) for r in rows} == {(50_100, False)}
+    rows = clusters.discover(many, "kmeans", n_clusters=3, cap=100).collect()
+    assert sum(r["size"] for r in rows) == 100 and {(r.total_matching, r.sampled) for r in rows} == {(50_100, True)}
+    assert set(values(clusters.bounded_sample(many.limit(20), 20), "total_matching", "sampled")) == {(20, False)}
+
+
 def test_lineage(spark):
     edges = spark.createDataFrame([("search_result", "r", "tile", "t"), ("tile", "t", "scene", "s"), ("search_result", "r", "search_query", "q")], "child_type string, child_id string, parent_type string, parent_id string")
     up = lineage.ancestors(spark.createDataFrame([("search_result", "r")], "start_type string, start_id string"), edges)
