@@ -11,7 +11,11 @@ number of words are compared with it:
 2. *Fingerprints.* Windows and items get 64-bit SimHashes of their words. The bits are cut
    into ``RADIUS + 1`` blocks: fingerprints within the radius agree in one block at least,
    so an equality join on (item size, block, value) finds them all.
-3. *Exact check.* A candidate counts if the item's shingles found in the window carry at
+3. *Rarest shingles.* The check weighs shingles and fingerprints don't, so a window that passes can lie at any
+   distance, and no radius finds all. Such a window lacks at most ``1 - SIMILARITY`` of the item's weight, so it has one of
+   the item's heaviest shingles that together exceed this share. An equality join of windows' shingles with these
+   adds all pairs that the fingerprints miss: no laid window that passes the check is lost.
+4. *Exact check.* A candidate counts if the item's shingles found in the window carry at
    least 0.8 of the weight of all its shingles. A shingle weighs one over the number of items
    that have it. Shingles have five words (an item of fewer words is one shingle).
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words as W
 from .runtime import cut, documents, let, require, sized, table
@@ -98,7 +103,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     index = items.select("item_id", F.col("n").alias("len"), "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "len", "item_print", "b.*")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = asked.join(index, ["len", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
-    near = near.select("id", "start", "len", "item_id", "distance").distinct()
+    # item's shingles from the heaviest on, until they weigh more than a passing window can lack
+    heavier = Window.partitionBy("item_id").orderBy(F.desc("part.w"), "part.s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = weighed.select("item_id", "total", F.explode("parts").alias("part"))
+    lead = parts.withColumn("before", F.coalesce(F.sum("part.w").over(heavier), F.lit(0.0))).filter(F.col("before") <= (1 - similarity) * F.col("total") + 1e-9)
+    lead = lead.select("item_id", F.col("part.s").alias("s")).join(items.select("item_id", F.col("n").alias("len"), "item_print").distinct(), "item_id")
+    held = laid.select("id", "start", "len", "print", F.explode(F.array_distinct(F.coalesce(*[F.when(F.least("len", F.lit(WIDTH)) == k, W.shingles(F.col("h"), k)) for k in wide]))).alias("s"))
+    rare = held.join(lead, ["len", "s"]).withColumn("distance", distance)
+    near = near.select("id", "start", "len", "item_id", "distance").unionAll(rare.select("id", "start", "len", "item_id", "distance")).distinct()
     checked = near.join(laid.select("id", "start", "len", "h"), ["id", "start", "len"]).join(weighed, "item_id").join(items.select("item_id", "width").distinct(), "item_id")
     inside = F.coalesce(*[F.when(is_k, W.shingles(F.col("h"), k)) for k, is_k in wide.items()])
     shared = let(inside, lambda s: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.when(F.array_contains(s, p["s"]), p["w"]).otherwise(0.0)))

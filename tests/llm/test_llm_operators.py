@@ -290,6 +290,31 @@ def test_decontamination_against_brute_force(spark, sf_dir, texts):
     assert {(r.doc_id, r.item_id) for r in decontaminate.query(spark, sf_dir).collect()} == want
 
 
+def test_decontamination_of_items_that_share_a_template(spark):
+    """A document with only an item's own half has 0.9 of its weight, and a word cosine near 0.5."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 9)))
+    some = lambda n: [word() for _ in range(n)]
+    items, rows = [], []
+    for group in range(6):
+        template = some(30)
+        for k in range(10):
+            own = some(34)
+            items.append((group * 10 + k, " ".join(template + own)))
+            rows.append((group * 10 + k, " ".join(some(60) + own + some(20))))
+    items += [(60, "short item"), (61, "short item of just these six words")]
+    rows += [(1000 + k, " ".join(some(80))) for k in range(20)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    cut = {i: t.split() for i, t in items if i < 60}
+    share = Counter(s for w in cut.values() for s in runs(w))
+    want = {(d, i) for d, t in rows for i, w in cut.items() for words in [t.split()] if max(sum(1 / share[s] for s in runs(w) & runs(words[a : a + len(w)])) for a in range(max(1, len(words) - len(w) + 1))) >= 0.8 * sum(1 / share[s] for s in runs(w))}
+    found = decontaminate.decontaminate(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) == 60
+    assert sum(r.distance > decontaminate.RADIUS for r in found) > 0  # what the fingerprints alone lose
+    print("by fingerprint alone:", sum(r.distance <= decontaminate.RADIUS for r in found), "of", len(found))
+
+
 def test_decontamination_awkward(spark, awkward, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, "ONE two"), (3, None), (4, ""), (5, "tie tie tie tie tie tie"), (None, "word")], "item_id long, text string").withColumn("n", F.lit(1))
     got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(awkward, bench).collect()}
