@@ -70,6 +70,8 @@ def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, r
         label = jump
         if done:
             break
+    else:
+        raise RuntimeError(f"labels still move after {rounds} rounds")
     border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("root"))
     roots = label.select(F.col("label").alias("root")).distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("root")) - 1)
     tagged = members.select(F.col("tile_id").alias("a")).join(border, "a", "left").join(roots, "root", "left").join(label.select("a", F.lit(True).alias("is_core")), "a", "left")

@@ -241,6 +241,13 @@ def test_clusters_are_of_all_members(spark):
     assert set(values(clusters.bounded_sample(many.limit(20), 20), "total_matching", "sampled")) == {(20, False)}
 
 
+def test_dbscan_raises_if_labels_still_move(spark):
+    chain = spark.range(24).select(F.col("id").alias("tile_id"), F.array(F.cos(F.col("id") / 10), F.sin(F.col("id") / 10)).alias("vector"))
+    assert {r.cluster_id for r in clusters.dbscan_labels(chain, 0.006, 2).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        clusters.dbscan_labels(chain, 0.006, 2, rounds=1)
+
+
 def test_lineage(spark):
     edges = spark.createDataFrame([("search_result", "r", "tile", "t"), ("tile", "t", "scene", "s"), ("search_result", "r", "search_query", "q")], "child_type string, child_id string, parent_type string, parent_id string")
     up = lineage.ancestors(spark.createDataFrame([("search_result", "r")], "start_type string, start_id string"), edges)
