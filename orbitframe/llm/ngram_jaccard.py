@@ -10,17 +10,17 @@ token, or a hot group of copies in one task:
    T = ceil(0.8 n) of its n shingles with it. Of the smaller half of the hashes
    it therefore shares T - n/2 at least. Chunks of documents send their hashes
    to hash buckets (a hash met twice in a chunk is sent once, so a frequent
-   shingle costs one entry a chunk), buckets report which are shared, and
-   documents short of the bound are out of the join.
+   shingle costs one entry a chunk; there are more buckets for more hashes), buckets
+   report which are shared, and documents short of the bound are out of the join.
 3. *Rarest-first prefixes.* For the rest, document frequencies are counted
    and each document keeps the n - T + 1 rarest shingles; linked documents share one
-   of these. Documents that share one belong to the same candidate group.
-4. *Search against leaders.* Within inverted lists each document is first
-   compared with the list's smallest document. A group all of which is then
-   connected needs no more comparisons, whatever its size.
-5. *Search of the rest.* In the other groups the documents outside the largest
-   connected part are queries against all documents of the group, in
-   block pairs of bounded size.
+   of these, that is, meet in one inverted list.
+4. *Search against leaders.* Each document is first compared with the smallest document
+   of each of its lists. A list all of whose documents are then
+   connected needs no more comparisons, however long it is.
+5. *Search of the rest.* In the other lists (those with the same documents count once) the documents outside
+   the largest connected part are queries against all documents of the list, in
+   pairs of blocks of bounded size and of sizes that can link.
 
 Steps 4 and 5 search blocks with DivideSkip: of the query's inverted lists the L
 longest are put aside, the short ones are merged (a heap; a sort of the
@@ -31,8 +31,9 @@ Shingles are compared by 64-bit hashes.
 
 Defined results: null and empty texts, and texts without words, have
 ``n_shingles`` 0 and their own id as ``component_id``. A text of fewer than five words
-is one shingle of its whole sequence. Repeated rows of a ``doc_id`` give one row (the sets
-of its rows each take part). Rows with a null id are left out. Other columns are ignored.
+is one shingle of its whole sequence. Repeated rows of a ``doc_id`` give one row: the sets
+of its rows each take part, and what links to one of them is connected with all; ``n_shingles`` is that of the largest.
+Rows with a null id are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,13 +48,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import runtime
 from .components import connected_components
 from .kernels import mix, shingle_sets, tidy
-from .runtime import cut, documents, require, shuffle_partitions, sized
+from .runtime import cut, documents, drop, require, shuffle_partitions, sized, spread_join
 
 #: Shingles of a document's ascending hashes that step 2 looks at.
 HALF = 2
 BLOCK = 512
+#: Hashes in a bucket, and documents in a part of what buckets found, on the average at most: what a task of step 2 holds.
+BUCKET_HASHES, PART_DOCS = 2_000_000, 2_000_000
+#: Sizes of linked sets differ by a factor of 1.25 at most, so by one of these steps.
+SIZE_STEP = 1.26
 #: The tuning constant of DivideSkip's L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
 HEAP_POSTINGS = 2048
@@ -181,37 +187,46 @@ def _shared_counts(buckets: DataFrame, parts: int) -> DataFrame:
     return found.repartition(parts, "part").mapInArrow(tidy(add), "doc_id long, shared long")
 
 
-def _copies(profile: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    """(class representatives with n, edges between copies); a large class meets in parts."""
-    keys = ["hi", "lo", "n"]
-    salted = profile.filter("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    firsts = salted.groupBy(*keys, "salt").agg(F.min("doc_id").alias("first"))
-    reps = firsts.groupBy(*keys).agg(F.min("first").alias("rep"))
-    near = salted.join(firsts, [*keys, "salt"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    far = firsts.join(reps, keys).select(F.col("first").alias("u"), F.col("rep").alias("v"))
-    return reps, near.unionAll(far).filter("u != v")
+def _classes(profile: DataFrame) -> DataFrame:
+    """(hi, lo, n, rep, size): the smallest document of each class, and how many rows it has."""
+    return profile.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+
+
+def _repeat_links(profile: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (u, v) between the classes of ids that have several sets, if there are such ids."""
+    key = F.struct("hi", "lo", "n")
+    repeated = cut(profile.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("doc_id"))
+    if repeated.isEmpty():
+        return None
+    owned = cut(profile.join(sized(repeated), "doc_id").join(classes, ["hi", "lo", "n"]).select("doc_id", "rep").distinct())
+    return owned.join(owned.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v")).filter("u <> v")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, n, shingles); ``key`` tells apart the sets of a repeated id."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [(ids[i], len(s), s.tobytes()) for i, s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n", "shingles"])
+            rows = [(ids[i], int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), len(s), s.tobytes()) for i, s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "key", "n", "shingles"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, shingles binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, shingles binary")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
+    """(doc_id, key, n, token): a row for each shingle of each set."""
+
     def run(batches):
         for batch in batches:
-            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flat = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            ids, keys, n = (batch.column(k).to_numpy() for k in range(3))
+            flat = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
             for a in range(0, len(flat), 256):
                 part = slice(a, a + 256)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], n[part])), pa.array(np.concatenate(flat[part]))], ["doc_id", "token"])
+                columns = [np.repeat(x[part], n[part]) for x in (ids, keys, n)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(flat[part]))], ["doc_id", "key", "n", "token"])
 
-    return sets.mapInArrow(tidy(run), "doc_id long, token long")
+    return sets.mapInArrow(tidy(run), "doc_id long, key long, n long, token long")
 
 
 def merge_short(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -307,24 +322,39 @@ def _blocks(count) -> F.Column:
 def _leader_units(pairs: DataFrame) -> DataFrame:
     """Each leader against the documents of its lists, so many documents a unit."""
     sizes = pairs.groupBy("leader").agg(_blocks(F.count("*")).alias("blocks"))
-    rows = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", F.lit(False).alias("is_query"))
+    several = sized(sizes.filter("blocks > 1"))
+    one = F.coalesce("blocks", F.lit(1))
+    rows = pairs.join(several, "leader", "left").select("leader", F.pmod(F.xxhash64("doc_id"), one).cast("int").alias("block"), "doc_id", F.lit(False).alias("is_query"))
     asks = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("doc_id"), F.lit(True).alias("is_query"))
     return rows.unionAll(asks).select(F.struct("leader", "block").alias("unit"), "doc_id", "is_query")
 
 
-def _rest_units(members: DataFrame) -> DataFrame:
-    """``members(doc_id, grp, component)``: in groups of several components, all documents
-    outside the largest one against the whole group, by pairs of blocks."""
-    parts = members.groupBy("grp", "component").agg(F.count("*").alias("size"))
-    tops = parts.groupBy("grp").agg(F.max(F.struct("size", F.negative("component").alias("c"))).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("all"))
-    tops = tops.filter("parts > 1").select("grp", F.negative("top.c").alias("main"), _blocks(F.col("all")).alias("blocks"), _blocks(F.col("all") - F.col("top.size")).alias("asks"))
-    rows = members.join(tops, "grp")
-    query = F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")
+def _open_lists(prefix: DataFrame, total: int) -> DataFrame:
+    """``prefix(token, doc_id, key, n, component)`` of the lists whose documents aren't all connected; of lists with the same documents, one."""
+    mark = lambda seed: F.bit_xor(F.xxhash64("doc_id", "key", F.lit(seed)))
+    lists = prefix.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), mark(1).alias("x"), mark(2).alias("y"))
+    lists = cut(lists.filter("a <> b").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"))
+    return cut(spread_join(prefix, lists, ["token"], "size", total).select("token", "doc_id", "n", "component"))
+
+
+def _rest_units(members: DataFrame, total: int) -> DataFrame:
+    """In each list, all documents outside its largest connected part against the whole list, by pairs of blocks.
+
+    Documents are dealt by size too: a query asks those of its own step of sizes and of the two beside it.
+    """
+    parts = members.groupBy("token", "component").agg(F.count("*").alias("size"))
+    mains = cut(parts.groupBy("token").agg(F.max_by("component", F.struct("size", F.negative("component"))).alias("main"), F.sum("size").alias("all")))
+    rows = spread_join(members, mains, ["token"], "all", total).withColumn("step", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
+    rows = cut(rows.select("token", "doc_id", "step", (F.col("component") != F.col("main")).alias("asks")))
+    asked = rows.filter("asks").select("token", "doc_id", F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("step"))
+    plan = rows.groupBy("token", "step").agg(F.count("*").alias("n_docs")).join(asked.groupBy("token", "step").agg(F.count("*").alias("n_asks")), ["token", "step"])
+    plan = cut(plan.select("token", "step", _blocks(F.col("n_docs")).alias("blocks"), _blocks(F.col("n_asks")).alias("asks"), "n_docs", "n_asks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = rows.select("grp", block.alias("block"), every("asks").alias("ask"), "doc_id", F.lit(False).alias("is_query"))
-    asks = rows.filter("component != main").select("grp", every("blocks").alias("block"), query.alias("ask"), "doc_id", F.lit(True).alias("is_query"))
-    return index.unionAll(asks).select(F.struct("grp", "block", "ask").alias("unit"), "doc_id", "is_query")
+    index = spread_join(rows.drop("asks"), plan, ["token", "step"], "n_docs", total)
+    index = index.select("token", "step", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), every("asks").alias("ask"), "doc_id", F.lit(False).alias("is_query"))
+    queries = spread_join(asked, plan, ["token", "step"], "n_asks", 3 * total)
+    queries = queries.select("token", "step", every("blocks").alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int").alias("ask"), "doc_id", F.lit(True).alias("is_query"))
+    return index.unionAll(queries).select(F.struct("token", "step", "block", "ask").alias("unit"), "doc_id", "is_query")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -332,36 +362,52 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = require(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     profile = cut(_profiles(docs, width))
-    buckets = shuffle_partitions(spark)
-    classes, copies = _copies(profile, buckets)
-    shared = _shared_counts(_bucketed(docs, width, buckets).repartition(buckets, "bucket"), buckets)
+    n_docs, n_hashes = profile.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = shuffle_partitions(spark)
+    buckets, parts = max(least, n_hashes // HALF // BUCKET_HASHES), max(least, n_docs // PART_DOCS)
+    classes = cut(_classes(profile))
+    shared = _shared_counts(_bucketed(docs, width, buckets).repartition(buckets, "bucket"), parts)
     # one less than T - (n - looked at): rounding makes that bound fall by one between neighbouring sizes
     bound = F.ceil(F.col("n") * 4 / 5) - F.floor(F.col("n") / HALF) - 1
     live = classes.select(F.col("rep").alias("doc_id"), "n").join(shared, "doc_id").filter(F.col("shared") >= bound)
     live = sized(live.select("doc_id").distinct())
 
-    sets = cut(_sets(docs.join(live, "doc_id", "left_semi"), width).filter("n > 0").dropDuplicates(["doc_id"]))
+    sets = cut(_sets(docs.join(live, "doc_id", "left_semi"), width).filter("n > 0").dropDuplicates(["doc_id", "key"]))
     tokens = _tokens(sets)
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    kept = tokens.join(often, "token").join(sets.select("doc_id", "n"), "doc_id")
-    rarest = Window.partitionBy("doc_id").orderBy("df", "token")
-    kept = kept.withColumns({"shared": F.count("*").over(Window.partitionBy("doc_id")), "place": F.row_number().over(rarest)})
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    kept = spread_join(tokens, often, ["token"], "df", total)
+    own = Window.partitionBy("doc_id", "key")
+    kept = kept.withColumns({"shared": F.count("*").over(own), "place": F.row_number().over(own.orderBy("df", "token"))})
     need = F.ceil(F.col("n") * 4 / 5)
     # shingles of one document only come first in the order, so they use up places of the prefix
     prefix = kept.filter((F.col("shared") >= need) & (F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - need + 1))
-    prefix = cut(prefix.select("token", "doc_id"))
-    leaders = prefix.groupBy("token").agg(F.min("doc_id").alias("leader"))
-    pairs = cut(prefix.join(leaders, "token").select("leader", "doc_id").filter("leader != doc_id").distinct())
+    prefix = cut(prefix.select("token", "doc_id", "key", "n"))
+    drop(often)
+    leaders = cut(prefix.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).filter("size > 1"))
+    pairs = cut(spread_join(prefix, leaders, ["token"], "size", total).select("leader", "doc_id").filter("leader != doc_id").distinct())
 
     first = cut(_search(_leader_units(pairs), sets))
-    groups = connected_components(pairs.select(F.col("leader").alias("u"), F.col("doc_id").alias("v"))).withColumnRenamed("component", "grp")
-    linked = connected_components(first)
-    members = groups.join(linked, "node", "left").select(F.col("node").alias("doc_id"), "grp", F.coalesce("component", "node").alias("component"))
-    second = cut(_search(_rest_units(cut(members)), sets))
-
-    found = connected_components(copies.unionAll(first).unionAll(second))
-    sizes = profile.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    linked = cut(connected_components(first))
+    at = F.broadcast(linked) if linked.count() <= runtime.BROADCAST_IDS else linked
+    members = prefix.join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = _open_lists(members, total)
+    more = [] if members.isEmpty() else [cut(_search(_rest_units(members, total), sets))]
+    repeats = _repeat_links(profile, classes)
+    more += [] if repeats is None else [repeats]
+    found = linked
+    if more:
+        edges = linked.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        for m in more:
+            edges = edges.unionAll(m)
+        found = cut(connected_components(edges))
+    for done in (pairs, leaders, prefix, members, sets):
+        drop(done)
+
+    moved = found.filter("node <> component").withColumnRenamed("node", "rep")
+    classes = cut(classes.join(moved, "rep", "left").filter("size > 1 or component is not null").select("hi", "lo", "n", "size", F.coalesce("component", "rep").alias("component")))
+    rows = spread_join(profile, classes, ["hi", "lo", "n"], "size", n_docs, "left")
+    return rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

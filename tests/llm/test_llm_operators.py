@@ -98,6 +98,21 @@ def test_jaccard_join_of_a_dense_group(spark):
     assert got == brute_components({k: shingles(t) for k, t in rows})
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    """Each set of a repeated id takes part, and connects what links to any of them."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " w"), (3, b + " w"), (5, c), (9, c), (9, d), (7, d), (None, a)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (36, 1), 2: (37, 1), 3: (37, 1), 5: (36, 5), 9: (36, 5), 7: (36, 5)}
+
+
+def test_jaccard_join_without_broadcasts(spark, sf_dir, texts, monkeypatch):
+    """What large tables do: joins by shuffle, hot keys apart."""
+    monkeypatch.setattr(runtime, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(runtime, "HOT_SHARE", 50)
+    test_jaccard_join_against_brute_force(spark, sf_dir, texts)
+
+
 def test_jaccard_join_awkward(awkward, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(awkward).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3)
@@ -114,7 +129,10 @@ def test_divide_skip_finds_what_counting_finds():
         assert sorted(index.search(q).tolist()) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(runtime, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(runtime, "HOT_SHARE", 10)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (50, None)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 130)}
