@@ -15,11 +15,11 @@ token, or a hot group of copies in one task:
 3. *Rarest-first prefixes.* For the rest, document frequencies are counted
    and each document keeps the n - T + 1 rarest shingles; linked documents share one
    of these, that is, meet in one inverted list.
-4. *Search against leaders.* Each document is first compared with the smallest document
-   of each of its lists. A list all of whose documents are then
-   connected needs no more comparisons, however long it is.
-5. *Search of the rest.* In the other lists (those with the same documents count once) the documents outside
-   the largest connected part are queries against all documents of the list, in
+4. *Search against leaders.* Each document is first compared with the smallest document, the leader,
+   of each of its lists. The lists of one leader count as one; if all its documents are then
+   connected it needs no more comparisons, however long it is.
+5. *Search of the rest.* In a leader's other lists the documents outside
+   the largest connected part are queries against all documents of the lists, in
    pairs of blocks of bounded size and of sizes that can link.
 
 Steps 4 and 5 search blocks with DivideSkip: of the query's inverted lists the L
@@ -55,7 +55,8 @@ from .runtime import cut, documents, drop, require, shuffle_partitions, sized, s
 
 #: Shingles of a document's ascending hashes that step 2 looks at.
 HALF = 2
-BLOCK = 512
+#: Documents of a unit: of a leader's lists, and of either side of a pair of blocks, on the average.
+LEADER_BLOCK, BLOCK = 128, 256
 #: Hashes in a bucket, and documents in a part of what buckets found, on the average at most: what a task of step 2 holds.
 BUCKET_HASHES, PART_DOCS = 2_000_000, 2_000_000
 #: Sizes of linked sets differ by a factor of 1.25 at most, so by one of these steps.
@@ -286,7 +287,7 @@ class DivideSkip:
 def _search(units: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) found in units of queries and indexed documents, enough of them to connect what links.
 
-    ``units(unit, doc_id, is_query)``; a unit holds at most some 2 * BLOCK documents.
+    ``units(unit, doc_id, is_query)``; a unit holds some 2 * BLOCK documents.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -315,13 +316,13 @@ def _search(units: DataFrame, sets: DataFrame) -> DataFrame:
     return units.join(sets.select("doc_id", "shingles"), "doc_id").groupBy("unit").applyInArrow(run, "u long, v long")
 
 
-def _blocks(count) -> F.Column:
-    return F.ceil(count / F.lit(BLOCK)).cast("int")
+def _blocks(count, size: int = BLOCK) -> F.Column:
+    return F.ceil(count / F.lit(size)).cast("int")
 
 
 def _leader_units(pairs: DataFrame) -> DataFrame:
     """Each leader against the documents of its lists, so many documents a unit."""
-    sizes = pairs.groupBy("leader").agg(_blocks(F.count("*")).alias("blocks"))
+    sizes = pairs.groupBy("leader").agg(_blocks(F.count("*"), LEADER_BLOCK).alias("blocks"))
     several = sized(sizes.filter("blocks > 1"))
     one = F.coalesce("blocks", F.lit(1))
     rows = pairs.join(several, "leader", "left").select("leader", F.pmod(F.xxhash64("doc_id"), one).cast("int").alias("block"), "doc_id", F.lit(False).alias("is_query"))
@@ -329,32 +330,34 @@ def _leader_units(pairs: DataFrame) -> DataFrame:
     return rows.unionAll(asks).select(F.struct("leader", "block").alias("unit"), "doc_id", "is_query")
 
 
-def _open_lists(prefix: DataFrame, total: int) -> DataFrame:
-    """``prefix(token, doc_id, key, n, component)`` of the lists whose documents aren't all connected; of lists with the same documents, one."""
-    mark = lambda seed: F.bit_xor(F.xxhash64("doc_id", "key", F.lit(seed)))
-    lists = prefix.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), mark(1).alias("x"), mark(2).alias("y"))
-    lists = cut(lists.filter("a <> b").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"))
-    return cut(spread_join(prefix, lists, ["token"], "size", total).select("token", "doc_id", "n", "component"))
+def _open_lists(pairs: DataFrame, linked: DataFrame, total: int) -> DataFrame:
+    """``(leader, doc_id, n, component)`` of the leaders whose documents aren't all connected."""
+    members = pairs.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = cut(members.select("leader", "doc_id", "n", "component"))
+    states = members.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
+    out = cut(spread_join(members, cut(states.filter("a <> b").select("leader", "size")), ["leader"], "size", total).drop("size"))
+    drop(members)
+    return out
 
 
 def _rest_units(members: DataFrame, total: int) -> DataFrame:
-    """In each list, all documents outside its largest connected part against the whole list, by pairs of blocks.
+    """For each leader, all documents of its lists outside their largest connected part against all, by pairs of blocks.
 
     Documents are dealt by size too: a query asks those of its own step of sizes and of the two beside it.
     """
-    parts = members.groupBy("token", "component").agg(F.count("*").alias("size"))
-    mains = cut(parts.groupBy("token").agg(F.max_by("component", F.struct("size", F.negative("component"))).alias("main"), F.sum("size").alias("all")))
-    rows = spread_join(members, mains, ["token"], "all", total).withColumn("step", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
-    rows = cut(rows.select("token", "doc_id", "step", (F.col("component") != F.col("main")).alias("asks")))
-    asked = rows.filter("asks").select("token", "doc_id", F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("step"))
-    plan = rows.groupBy("token", "step").agg(F.count("*").alias("n_docs")).join(asked.groupBy("token", "step").agg(F.count("*").alias("n_asks")), ["token", "step"])
-    plan = cut(plan.select("token", "step", _blocks(F.col("n_docs")).alias("blocks"), _blocks(F.col("n_asks")).alias("asks"), "n_docs", "n_asks"))
+    parts = members.groupBy("leader", "component").agg(F.count("*").alias("size"))
+    mains = cut(parts.groupBy("leader").agg(F.max_by("component", F.struct("size", F.negative("component"))).alias("main"), F.sum("size").alias("all")))
+    rows = spread_join(members, mains, ["leader"], "all", total).withColumn("step", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
+    rows = cut(rows.select("leader", "doc_id", "step", (F.col("component") != F.col("main")).alias("asks")))
+    asked = rows.filter("asks").select("leader", "doc_id", F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("step"))
+    plan = rows.groupBy("leader", "step").agg(F.count("*").alias("n_docs")).join(asked.groupBy("leader", "step").agg(F.count("*").alias("n_asks")), ["leader", "step"])
+    plan = cut(plan.select("leader", "step", _blocks(F.col("n_docs")).alias("blocks"), _blocks(F.col("n_asks")).alias("asks"), "n_docs", "n_asks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = spread_join(rows.drop("asks"), plan, ["token", "step"], "n_docs", total)
-    index = index.select("token", "step", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), every("asks").alias("ask"), "doc_id", F.lit(False).alias("is_query"))
-    queries = spread_join(asked, plan, ["token", "step"], "n_asks", 3 * total)
-    queries = queries.select("token", "step", every("blocks").alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int").alias("ask"), "doc_id", F.lit(True).alias("is_query"))
-    return index.unionAll(queries).select(F.struct("token", "step", "block", "ask").alias("unit"), "doc_id", "is_query")
+    index = spread_join(rows.drop("asks"), plan, ["leader", "step"], "n_docs", total)
+    index = index.select("leader", "step", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), every("asks").alias("ask"), "doc_id", F.lit(False).alias("is_query"))
+    queries = spread_join(asked, plan, ["leader", "step"], "n_asks", 3 * total)
+    queries = queries.select("leader", "step", every("blocks").alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "asks").cast("int").alias("ask"), "doc_id", F.lit(True).alias("is_query"))
+    return index.unionAll(queries).select(F.struct("leader", "step", "block", "ask").alias("unit"), "doc_id", "is_query")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -385,13 +388,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = cut(prefix.select("token", "doc_id", "key", "n"))
     drop(often)
     leaders = cut(prefix.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).filter("size > 1"))
-    pairs = cut(spread_join(prefix, leaders, ["token"], "size", total).select("leader", "doc_id").filter("leader != doc_id").distinct())
+    pairs = cut(spread_join(prefix, leaders, ["token"], "size", total).select("leader", "doc_id", "n").distinct())
+    drop(prefix)
+    drop(leaders)
 
-    first = cut(_search(_leader_units(pairs), sets))
+    first = cut(_search(_leader_units(pairs.filter("leader != doc_id").select("leader", "doc_id").distinct()), sets))
     linked = cut(connected_components(first))
-    at = F.broadcast(linked) if linked.count() <= runtime.BROADCAST_IDS else linked
-    members = prefix.join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = _open_lists(members, total)
+    members = _open_lists(pairs, F.broadcast(linked) if linked.count() <= runtime.BROADCAST_IDS else linked, total)
     more = [] if members.isEmpty() else [cut(_search(_rest_units(members, total), sets))]
     repeats = _repeat_links(profile, classes)
     more += [] if repeats is None else [repeats]
@@ -401,7 +404,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for m in more:
             edges = edges.unionAll(m)
         found = cut(connected_components(edges))
-    for done in (pairs, leaders, prefix, members, sets):
+    for done in (pairs, members, sets):
         drop(done)
 
     moved = found.filter("node <> component").withColumnRenamed("node", "rep")
