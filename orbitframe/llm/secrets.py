@@ -16,7 +16,7 @@ whether a complementary one is near, so each cell keeps, for each role, just the
 of its parts before the join, and frequent parts make no pairs.
 
 Defined results: null and empty texts have no spans and the digest of an empty string.
-Repeated rows are scanned each. Other columns are ignored.
+Repeated rows are scanned each, and so are rows with a null id, which stays null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .runtime import cut, documents, require
+from .runtime import cut, documents, let, require
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "endpoint", "weak")
@@ -35,7 +35,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 IDENTIFIER = r"(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}"
 ENDPOINT = r"(?i)(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh|ftp)://[^\s\"'<>]{3,200}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,100}(?::[0-9]{2,5})?)"
-WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,30}[0-9])(?=[A-Za-z0-9+/_-]{0,30}[A-Za-z])[A-Za-z0-9+/_-]{16,128}(?![A-Za-z0-9+/_-])"
+#: A run of 16 characters or more; one with a digit and a letter counts.
+WEAK = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 SCOPE = 300
 ROLE = {"assign": "secret", "hex": "secret", "weak": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
 
@@ -55,9 +56,9 @@ def weak_parts(text: Column, base: Column) -> Column:
     """Weak candidates of each role that don't overlap a base span."""
     found = F.concat(
         F.when(text.rlike(r"[:=]"), F.concat(S.matches(text, IDENTIFIER, "identifier", 3), S.matches(text, ENDPOINT, "endpoint", 4))).otherwise(S.no_spans()),
-        F.when(text.rlike("[0-9]"), S.matches(text, WEAK, "weak", 5)).otherwise(S.no_spans()),
+        F.when(text.rlike("[0-9]"), F.filter(S.matches(text, WEAK, "weak", 5), lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))).otherwise(S.no_spans()),
     )
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: S.overlaps(s, b)))
+    return let(found, lambda f: S.clear_of(f, base))
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
