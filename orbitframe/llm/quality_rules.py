@@ -9,7 +9,7 @@ divided by their number. A document that the base rules keep is kept if its scor
 before the shuffle, and scoring is a map over the documents.
 
 Defined results: null and empty texts have zero counts, score 0, and fail the base rules.
-Repeated rows count and are judged each. A doc_id with several labels is trusted if one of
+Repeated rows count and are judged each, and so are rows with a null id, which stays null (and isn't trusted). A doc_id with several labels is trusted if one of
 them says so. Without trusted documents both multinomials are uniform in effect: every score is
 0 and the base rules decide. Other columns are ignored.
 """
@@ -29,6 +29,7 @@ SMOOTHING = 1.0
 THRESHOLD = -0.06
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+PACKED_BITS = 12
 
 
 def _position_bits(n: Column) -> Column:
@@ -38,20 +39,27 @@ def _position_bits(n: Column) -> Column:
 def repeated_words(hashed: Column) -> Column:
     """How many words are in a run of three words that occurs twice or more in the text.
 
-    The runs' hashes and places are packed in one number each (as many low bits as places need,
-    the rest hash) and sorted, so that equal runs lie side by side.
+    The runs' hashes are sorted with their places, so that equal runs lie side by side. In texts of less than ``2**PACKED_BITS`` words both are packed
+    in one number (as many low bits as places need, the rest hash); longer ones would leave too few bits, and sort structs of two 64-bit hashes and the place.
     """
+    places = lambda h: F.sequence(F.lit(0), F.size(h) - 3)
+    run = lambda h, i, *seed: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2), *seed)
+    covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
 
-    def run(h: Column) -> Column:
-        bits = _position_bits(F.size(h))
-        packed = lambda b: F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)), b).bitwiseOR(i.cast("long")))
-        key = lambda a, i, b: F.call_function("shiftrightunsigned", F.get(a, i), b)
-        twice = lambda a, b: F.filter(a, lambda x, i: (key(a, i, b) == key(a, i + 1, b)) | ((i > 0) & (key(a, i, b) == key(a, F.greatest(i - 1, F.lit(0)), b))))
+    def twice(a: Column, key) -> Column:
+        return F.filter(a, lambda x, i: (key(F.get(a, i)) == key(F.get(a, i + 1))) | ((i > 0) & (key(F.get(a, i)) == key(F.get(a, F.greatest(i - 1, F.lit(0)))))))
+
+    def short(h: Column) -> Column:
+        packed = lambda b: F.transform(places(h), lambda i: F.call_function("shiftleft", run(h, i), b).bitwiseOR(i.cast("long")))
+        key = lambda b: lambda x: F.call_function("shiftrightunsigned", x, b)
         place = lambda x, b: (x - F.call_function("shiftleft", F.call_function("shiftrightunsigned", x, b), b)).cast("int")
-        covered = lambda a, b: F.size(F.array_distinct(F.flatten(F.transform(twice(a, b), lambda x: let(place(x, b), lambda p: F.array(p, p + 1, p + 2))))))
-        return let(bits, lambda b: let(F.sort_array(packed(b)), lambda a: covered(a, b)))
+        return let(_position_bits(F.size(h)), lambda b: let(F.sort_array(packed(b)), lambda a: covered(F.transform(twice(a, key(b)), lambda x: place(x, b)))))
+
+    def long(h: Column) -> Column:
+        runs = F.transform(places(h), lambda i: F.struct(run(h, i).alias("x"), run(h, i, F.lit(1)).alias("y"), i.alias("at")))
+        return let(F.sort_array(runs), lambda a: covered(F.transform(twice(a, lambda x: F.struct(x["x"], x["y"])), lambda x: x["at"])))
 
-    return F.when(F.size(hashed) >= 3, let(hashed, run)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(hashed) < 3, F.lit(0)).when(F.size(hashed) < 1 << PACKED_BITS, let(hashed, short)).otherwise(let(hashed, long)).cast("long")
 
 
 def repeated_lines(text: Column) -> Column:
