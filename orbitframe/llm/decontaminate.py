@@ -9,8 +9,9 @@ number of words are compared with it:
    hash join; the benchmark's side is broadcast only if it is at most
    ``BROADCAST_SHINGLES`` rows, and shuffled otherwise. Nothing else of a document is moved.
 2. *Fingerprints.* Windows and items get 64-bit SimHashes of their words. The bits are cut
-   into ``RADIUS + 1`` blocks: fingerprints within the radius agree in one block at least,
-   so an equality join on (item size, block, value) finds them all.
+   into ``BLOCKS`` wide blocks: of fingerprints within the radius, one block at least differs in
+   ``RADIUS / BLOCKS`` bits at most. Items are indexed by all values so close to their blocks', so an equality join on
+   (item size, block, value) finds them all, and unrelated ones meet in less than one of a hundred cases.
 3. *Rarest shingles.* The check weighs shingles and fingerprints don't, so a window that passes can lie at any
    distance, and no radius finds all. Such a window lacks at most ``1 - SIMILARITY`` of the item's weight, so it has one of
    the item's heaviest shingles that together exceed this share. An equality join of windows' shingles with these
@@ -27,6 +28,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +40,7 @@ from .runtime import cut, documents, let, require, sized, table
 WIDTH = 5
 SIMILARITY = 0.8
 BITS = 64
-RADIUS = 19
+BLOCKS, RADIUS = 4, 11
 BROADCAST_SHINGLES = 1_000_000
 BROADCAST_WINDOWS = 1_000_000
 
@@ -53,11 +56,18 @@ def simhash(hashed: Column) -> Column:
     return let(hashed, lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(h, b))))
 
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """``radius + 1`` structs (block, value) that cover all bits."""
-    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.array(*parts)
+def blocks(fingerprint: Column) -> Column:
+    """``BLOCKS`` structs (block, value) that cover all bits."""
+    width = BITS // BLOCKS
+    mask = F.lit((1 << width) - 1).cast("long")
+    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, k * width).bitwiseAND(mask).alias("value")) for k in range(BLOCKS)])
+
+
+def probes(fingerprint: Column, radius: int = RADIUS) -> Column:
+    """The blocks, and all values that differ from one of them in ``radius // BLOCKS`` bits at most."""
+    flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(BITS // BLOCKS), n)]
+    near = lambda x: F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.struct(x["block"].alias("block"), x["value"].bitwiseXOR(f).alias("value")))
+    return F.flatten(F.transform(blocks(fingerprint), near))
 
 
 def _hashed(df: DataFrame, id_col: str) -> DataFrame:
@@ -99,8 +109,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     window = lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"), F.slice("h", w["start"] + 1, w["len"]).alias("h"))
     laid = texts.select(F.col("id"), F.explode(F.transform("windows", window)).alias("w")).select("id", "w.*")
     laid = cut(laid.filter(F.size("h") > 0).withColumn("print", simhash(F.col("h"))))
-    asked = laid.select("id", "start", "len", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("id", "start", "len", "print", "b.*")
-    index = items.select("item_id", F.col("n").alias("len"), "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "len", "item_print", "b.*")
+    asked = laid.select("id", "start", "len", "print", F.explode(blocks(F.col("print"))).alias("b")).select("id", "start", "len", "print", "b.*")
+    index = items.select("item_id", F.col("n").alias("len"), "item_print", F.explode(probes(F.col("item_print"), radius)).alias("b")).select("item_id", "len", "item_print", "b.*")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = asked.join(index, ["len", "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= radius)
     # item's shingles from the heaviest on, until they weigh more than a passing window can lack
@@ -115,12 +125,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     inside = F.coalesce(*[F.when(is_k, W.shingles(F.col("h"), k)) for k, is_k in wide.items()])
     shared = let(inside, lambda s: F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.when(F.array_contains(s, p["s"]), p["w"]).otherwise(0.0)))
     checked = checked.withColumn("similarity", shared / F.col("total")).filter(F.col("similarity") >= similarity - 1e-12)
-    best = checked.groupBy("id", "item_id").agg(F.max_by(F.struct("start", "len", "distance", "similarity"), F.struct("similarity", F.negative("start"))).alias("b"))
+    best = checked.groupBy("id", "item_id").agg(F.max_by(F.struct("start", "len", "distance", "similarity"), F.struct(F.round("similarity", 9), F.negative("start"))).alias("b"))
     return best.select(F.col("id").alias("doc_id"), "item_id", F.col("b.start").alias("start_word"), F.col("b.len").alias("n_words"), F.col("b.distance").cast("int").alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    """The matches without the fingerprints' distance, which SQL can't tell."""
+    found = decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
