@@ -11,18 +11,21 @@ The result is that of the public library for the same model file.
    positions, the path with the largest sum of scores (ties: the longer last piece). For a
    BPE model sums of scores don't give the model's own segmentation, so there the fold is over
    merges: of the edges that join two neighbouring symbols the best-scored one, leftmost
-   in ties, until none does. Characters without a piece are spelt in byte pieces.
+   in ties, until none does. Characters without a piece are spelt in byte pieces. A fold looks at all edges of a unit in each step,
+   so the few units of over ``LONG_UNIT`` characters (unbroken runs) are encoded by :func:`encode_long` instead, in
+   a time that grows with their length only.
 3. *Assembly.* The encodings of the ``DICTIONARY`` most frequent units (a fixed bound) are
    broadcast. If there are more units, the rest of a document's units are joined to it by the shuffle.
 
 Units are told apart by 64-bit hashes in the last step.
 
 Defined results: null and empty texts have no ids; decoding no ids gives an empty text.
-Repeated rows are encoded each; rows with a null id are left out. Other columns are ignored.
+Repeated rows are encoded each, and so are rows with a null id, which stays null. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -37,6 +40,7 @@ from .runtime import cut, documents, let, require
 SPACE = "▁"
 DICTIONARY = 3_000_000
 PIECE_CHARS = 1 << 18
+LONG_UNIT = 200
 SEEN = 2_000_000
 SLICE_ROWS = 512
 UNKNOWN_PENALTY = 10.0
@@ -192,21 +196,83 @@ def merged_path(edges: Column, size: Column) -> Column:
     return F.transform(kept, lambda x: edge(x["start"], x["end"]))
 
 
+def encode_long(unit: str, table: dict[str, tuple[int, float]], longest: int, unknown: float, merges: bool) -> list[int]:
+    """What the folds give for one unit: merges taken from a heap, or Viterbi with a look back of the longest piece."""
+    spell = lambda c: table[c][0] if c in table else -ord(c)
+    n = len(unit)
+    if not merges:
+        total, back = [0.0], [0]
+        for end in range(1, n + 1):
+            options = []
+            for start in range(max(0, end - longest), end):
+                found = table.get(unit[start:end])
+                if found or end - start == 1:
+                    options.append((total[start] + (found[1] if found else unknown), -start))
+            best = max(options)
+            total.append(best[0])
+            back.append(-best[1])
+        out, at = [], n
+        while at:
+            piece = unit[back[at] : at]
+            out.append(table[piece][0] if piece in table else -ord(piece))
+            at = back[at]
+        return out[::-1]
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # by start of a symbol; before has the end's place too
+    alive = [True] * n
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(start: int) -> None:
+        if end[start] < n:
+            stop = end[end[start]]
+            found = table.get(unit[start:stop]) if stop - start <= longest else None
+            if found:
+                heapq.heappush(heap, (-found[1], start, stop))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, start, stop = heapq.heappop(heap)
+        if not alive[start] or end[start] >= n or end[end[start]] != stop:
+            continue
+        alive[end[start]] = False
+        end[start] = stop
+        if stop < n:
+            before[stop] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    return [table[unit[i : end[i]]][0] if end[i] - i > 1 else spell(unit[i]) for i in range(n) if alive[i]]
+
+
+def _encode_long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """``units(unit, n)`` with ``ids``."""
+    table = {p: (i, s) for i, (p, s, ok) in enumerate(zip(pieces.pieces, pieces.scores, pieces.normal, strict=True)) if ok}
+    sent = units.sparkSession.sparkContext.broadcast((table, pieces.longest, pieces.unknown_score, pieces.merges))
+
+    def run(batches):
+        for batch in _slices(batches):
+            ids = [encode_long(u, *sent.value) for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
+
+    return units.mapInArrow(tidy(run), "unit string, n long, ids array<int>")
+
+
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units(unit, ...)`` with ``ids``; a character without a piece is minus its code point."""
+    """``units(unit, n)`` with ``ids``; a character without a piece is minus its code point."""
     table = F.broadcast(pieces.table(units.sparkSession))  # the model's own fixed size
-    names = units.columns
+    units = units.select("unit", "n")
     length = F.length("unit")
     spots = F.explode(F.sequence(F.lit(0), length - 1)).alias("start")
     sized = F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), length - F.col("start")))).alias("len")
-    parts = units.select(*names, spots).select(*names, "start", sized).withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len")))
+    parts = units.filter(length <= LONG_UNIT).select("unit", "n", spots).select("unit", "n", "start", sized).withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len")))
     single = F.col("len") == 1
     edges = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | single)
     edge = F.struct("start", (F.col("start") + F.col("len")).alias("end"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), F.coalesce("id", F.negative(F.ascii("piece"))).alias("id"))
     # a number as the first key makes the sort of the edges cheap
-    grouped = edges.groupBy(F.xxhash64("unit").alias("key"), *names).agg(F.collect_list(edge).alias("edges"))
+    grouped = edges.groupBy(F.xxhash64("unit").alias("key"), "unit", "n").agg(F.collect_list(edge).alias("edges"))
     fold = merged_path if pieces.merges else best_path
-    return grouped.select(*names, fold(F.col("edges"), F.length("unit")).alias("ids"))
+    folded = grouped.select("unit", "n", fold(F.col("edges"), F.length("unit")).alias("ids"))
+    return folded.unionAll(_encode_long_units(units.filter(length > LONG_UNIT), pieces))
 
 
 def _spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
@@ -254,7 +320,7 @@ def _lookup(dictionary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
-    """``(doc_id, ids)`` of each row with an id."""
+    """``(doc_id, ids)`` of each row."""
     docs, assemble = _assembly(docs, model_path, dictionary)
     return docs.mapInArrow(tidy(assemble), RESULT)
 
@@ -269,11 +335,11 @@ def round_trip(docs: DataFrame, model_path: str | None = None, dictionary: int =
 def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
     """The documents with what their assembly needs, and the function that assembles their batches."""
     spark = docs.sparkSession
-    docs = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    docs = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = Pieces.load(model_path or default_model())
     joints = pieces.joints()
     byte_ids = pieces.byte_ids
-    encoded = cut(encode_units(vocabulary(docs, joints), pieces))
+    encoded = cut(encode_units(cut(vocabulary(docs, joints)), pieces))
     size = encoded.count()
     frequent = encoded if size <= dictionary else encoded.orderBy(F.desc("n"), "unit").limit(dictionary)
     sent = spark.sparkContext.broadcast((joints, _packed(frequent, pieces)))
@@ -281,13 +347,13 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
     def rest(batches):
         """The units of each text that the dictionary lacks."""
         for batch in _slices(batches):
-            ids = batch.column(0).to_pylist()
+            keys = batch.column(0).to_pylist()
             for first, last, joined, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), sent.value[0]):
                 hashes = hash_words(points, starts, ends)
                 lost = ~_lookup(sent.value[1], hashes)[1]
                 row = np.repeat(np.arange(last - first), np.diff(bounds))[lost]
-                found = {(ids[first + r], joined[starts[i] : ends[i]]) for r, i in zip(row.tolist(), np.flatnonzero(lost).tolist(), strict=True)}
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], ["doc_id", "unit"])
+                found = {(keys[first + r], joined[starts[i] : ends[i]]) for r, i in zip(row.tolist(), np.flatnonzero(lost).tolist(), strict=True)}
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], ["key", "unit"])
 
     def assemble(batches):
         joints, dictionary = sent.value
@@ -313,8 +379,11 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(edges), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
     if size > dictionary:
-        lost = docs.mapInArrow(tidy(rest), "doc_id long, unit string").distinct().join(encoded.select("unit", "ids"), "unit")
-        docs = docs.join(lost.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "ids")).alias("extra")), "doc_id", "left")
+        # rows of one key get the units of all of them, so equal keys do no harm
+        key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
+        lost = docs.select(key, "text").mapInArrow(tidy(rest), "key long, unit string").distinct().join(encoded.select("unit", "ids"), "unit")
+        lost = lost.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
+        docs = docs.select("doc_id", "text", key).join(lost, "key", "left").select("doc_id", "text", "extra")
     return docs, assemble
 
 
