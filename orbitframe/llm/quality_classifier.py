@@ -11,7 +11,7 @@
    calibrates its probabilities.
 
 Defined results: null, empty and tokenless texts are the zero vector, and get
-its score. Repeated rows are scored each. A doc_id with several labels takes the largest;
+its score. Repeated rows are scored each, and so are rows with a null id (never held out, never learnt from). A doc_id with several labels takes the largest;
 null labels are left out. Without labelled rows every score is 0.5. Other columns are ignored.
 """
 

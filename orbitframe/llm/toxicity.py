@@ -11,7 +11,7 @@ documented bound; all of them where there are fewer); their features are made by
 tasks and learnt in one. Scoring covers every document in one map-only pass.
 
 Defined results: null, empty and wordless texts get the score of the intercept alone.
-Repeated rows are scored each. A doc_id with several labels counts as toxic if one of
+Repeated rows are scored each, and so are rows with a null id (never held out, never learnt from; the stage can't name them and keeps them). A doc_id with several labels counts as toxic if one of
 them says so; null labels are left out. With no labelled rows, or labels of one kind only,
 the model is that of the rows it has (all zero without any: score 0.5). Other columns are ignored.
 """
@@ -38,7 +38,7 @@ _PAIR = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0x
 def in_hold_out(doc_id: Column, hold_out: tuple[int, int]) -> Column:
     """Whether crc32 of the id as text has that remainder."""
     mod, rest = hold_out
-    return F.crc32(doc_id.cast("string")) % mod == rest
+    return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
 def feature_ids(texts: pa.Array):
