@@ -37,10 +37,10 @@ weights AS (SELECT s, 1.0 / count(*) AS w FROM own GROUP BY s),
 totals AS (SELECT item_id, sum(w) AS total FROM own JOIN weights USING (s) GROUP BY item_id),
 docs AS (SELECT doc_id, words, len(words) AS size FROM (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents)),
-cut AS (SELECT doc_id, width, size, at, array_to_string(words[at + 1:at + width], ' ') AS s FROM (
-  SELECT doc_id, words, size, width, unnest(generate_series(0, size - width)) AS at FROM docs CROSS JOIN (SELECT DISTINCT width FROM items) WHERE size >= width)),
-windows AS (SELECT DISTINCT c.doc_id, greatest(0, least(c.at - p.j, c.size - p.n)) AS start, p.n FROM cut c JOIN (SELECT DISTINCT s, width, j, n FROM places) p ON p.s = c.s AND p.width = c.width),
-held AS (SELECT DISTINCT w.doc_id, w.start, w.n, o.item_id, c.s FROM windows w JOIN cut c ON c.doc_id = w.doc_id AND c.at >= w.start AND c.at + c.width <= w.start + w.n
+cut AS (SELECT doc_id, width, size, spot, array_to_string(words[spot + 1:spot + width], ' ') AS s FROM (
+  SELECT doc_id, words, size, width, unnest(generate_series(0, size - width)) AS spot FROM docs CROSS JOIN (SELECT DISTINCT width FROM items) WHERE size >= width)),
+windows AS (SELECT DISTINCT c.doc_id, greatest(0, least(c.spot - p.j, c.size - p.n)) AS start, p.n FROM cut c JOIN (SELECT DISTINCT s, width, j, n FROM places) p ON p.s = c.s AND p.width = c.width),
+held AS (SELECT DISTINCT w.doc_id, w.start, w.n, o.item_id, c.s FROM windows w JOIN cut c ON c.doc_id = w.doc_id AND c.spot >= w.start AND c.spot + c.width <= w.start + w.n
   JOIN places o ON o.s = c.s AND o.width = c.width AND o.n = w.n),
 scored AS (SELECT doc_id, start, n, item_id, sum(w) / any_value(total) AS similarity FROM held JOIN weights USING (s) JOIN totals USING (item_id) GROUP BY doc_id, start, n, item_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS r FROM scored WHERE similarity >= 0.8 - 1e-12)
