@@ -35,12 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import hash_words, tidy
-from .runtime import cut, documents, let, require
+from .runtime import cut, documents, let, require, shuffle_partitions
 
 SPACE = "▁"
 DICTIONARY = 3_000_000
 PIECE_CHARS = 1 << 18
 LONG_UNIT = 200
+UNITS_A_TASK = 40_000
 SEEN = 2_000_000
 SLICE_ROWS = 512
 UNKNOWN_PENALTY = 10.0
@@ -257,14 +258,18 @@ def _encode_long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return units.mapInArrow(tidy(run), "unit string, n long, ids array<int>")
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units(unit, n)`` with ``ids``; a character without a piece is minus its code point."""
+def encode_units(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """``units(unit, n)`` with ``ids``; a character without a piece is minus its code point.
+
+    Units are dealt out before they explode, in ``parts`` parts, so that their edges need not be shuffled.
+    """
     table = F.broadcast(pieces.table(units.sparkSession))  # the model's own fixed size
     units = units.select("unit", "n")
     length = F.length("unit")
     spots = F.explode(F.sequence(F.lit(0), length - 1)).alias("start")
     sized = F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), length - F.col("start")))).alias("len")
-    parts = units.filter(length <= LONG_UNIT).select("unit", "n", spots).select("unit", "n", "start", sized).withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len")))
+    dealt = units.filter(length <= LONG_UNIT).repartition(parts, "unit")
+    parts = dealt.select("unit", "n", spots).select("unit", "n", "start", sized).withColumn("piece", F.col("unit").substr(F.col("start") + 1, F.col("len")))
     single = F.col("len") == 1
     edges = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | single)
     edge = F.struct("start", (F.col("start") + F.col("len")).alias("end"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), F.coalesce("id", F.negative(F.ascii("piece"))).alias("id"))
@@ -339,7 +344,8 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
     pieces = Pieces.load(model_path or default_model())
     joints = pieces.joints()
     byte_ids = pieces.byte_ids
-    encoded = cut(encode_units(cut(vocabulary(docs, joints)), pieces))
+    units = cut(vocabulary(docs, joints))
+    encoded = cut(encode_units(units, pieces, max(shuffle_partitions(spark), units.count() // UNITS_A_TASK)))
     size = encoded.count()
     frequent = encoded if size <= dictionary else encoded.orderBy(F.desc("n"), "unit").limit(dictionary)
     sent = spark.sparkContext.broadcast((joints, _packed(frequent, pieces)))
