@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,21 +36,42 @@ def kmeans_labels(members: DataFrame, n_clusters: int, seed: int = 0) -> DataFra
     return model.transform(rows).drop("_x")
 
 
-def neighbours(members: DataFrame, eps: float, planes: int = 0) -> DataFrame:
+#: Vectors on either side of a block.
+BLOCK = 1024
+
+
+def neighbours(members: DataFrame, eps: float) -> DataFrame:
     """(a, b) with a cosine distance of at most ``eps``, both ways, itself included.
 
     Exact: vectors are dealt to bands of their projection on a fixed direction; unit vectors within ``eps`` differ by
-    at most sqrt(2 eps) in length, so each band meets itself and the next one only, in an equality join.
+    at most sqrt(2 eps) in length, so each band meets itself and the two beside it only. Bands meet in pairs of blocks
+    of bounded size, each pair of vectors in one of them, by a matrix product.
     """
     width = (2 * eps) ** 0.5
     unit = members.select("tile_id", normalised(F.col("vector")).alias("v"))
     # the direction: alternating signs over all dimensions, of unit length
-    n = F.size("v")
-    side = F.aggregate(F.transform(F.col("v"), lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(n.cast("double"))
-    banded = unit.withColumn("band", F.floor(side / width))
-    right = banded.select(F.col("tile_id").alias("b"), F.col("v").alias("w"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    met = banded.select(F.col("tile_id").alias("a"), "v", "band").join(right, "band")
-    return met.filter(1 - dot(F.col("v"), F.col("w")) <= eps).select("a", "b")
+    side = F.aggregate(F.transform(F.col("v"), lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(F.size("v").cast("double"))
+    banded = cut(unit.withColumn("band", F.floor(side / width)))
+    blocks = max(1, -(-banded.count() // BLOCK))
+    own = F.pmod(F.xxhash64("tile_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = banded.select("tile_id", "v", own.alias("p"), every.alias("q"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1).alias("bands"))
+    left = left.select("tile_id", "v", "p", "q", F.explode("bands").alias("band"), F.lit(True).alias("left"))
+    right = banded.select("tile_id", "v", every.alias("p"), own.alias("q"), "band", F.lit(False).alias("left"))
+    kind = members.schema["tile_id"].dataType
+
+    def run(group: pa.Table) -> pa.Table:
+        first = group.column("left").to_numpy(zero_copy_only=False)
+        ids = group.column("tile_id").combine_chunks()
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        if not len(a) or not len(b):
+            return pa.table([ids.slice(0, 0), ids.slice(0, 0)], ["a", "b"])
+        v = np.array(group.column("v").to_pylist(), dtype=np.float64)
+        near = np.nonzero(1 - v[a] @ v[b].T <= eps)
+        return pa.table([ids.take(pa.array(a[near[0]])), ids.take(pa.array(b[near[1]]))], ["a", "b"])
+
+    rows = left.unionByName(right).select(F.struct("band", "p", "q").alias("unit"), "tile_id", "v", "left")
+    return rows.groupBy("unit").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
 def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, rounds: int = 40) -> DataFrame:

@@ -30,14 +30,23 @@ def parent_edges(results: DataFrame, tiles: DataFrame, evidence: DataFrame) -> D
 def ancestors(starts: DataFrame, edges: DataFrame, depth: int = LONGEST_PATH) -> DataFrame:
     """``starts(start_type, start_id)`` with every entity they derive from, themselves included, and its least ``hops``.
 
-    Unrolled to the bounded depth: one join a hop, all starts at once.
+    Unrolled to the bounded depth. Going up, only the distinct entities of each level are kept; coming down, each gets what its
+    parents derive from. Entities that many starts share are thus followed once, and all starts meet only in the last join.
     """
-    now = starts.select("start_type", "start_id", F.col("start_type").alias("entity_type"), F.col("start_id").cast("string").alias("entity_id"), F.lit(0).alias("hops"))
-    found, up = now, edges.select(F.col("child_type").alias("entity_type"), F.col("child_id").alias("entity_id"), "parent_type", "parent_id")
-    for hop in range(1, depth + 1):
-        now = now.join(up, ["entity_type", "entity_id"]).select("start_type", "start_id", F.col("parent_type").alias("entity_type"), F.col("parent_id").alias("entity_id"), F.lit(hop).alias("hops")).distinct()
-        found = found.unionByName(now)
-    return found.groupBy("start_type", "start_id", "entity_type", "entity_id").agg(F.min("hops").alias("hops"))
+    up = edges.select(F.col("child_type").alias("type"), F.col("child_id").alias("id"), "parent_type", "parent_id")
+    levels = [starts.select(F.col("start_type").alias("type"), F.col("start_id").cast("string").alias("id")).distinct()]
+    steps_up = []
+    for _ in range(depth):
+        steps_up.append(up.join(levels[-1], ["type", "id"], "left_semi"))
+        levels.append(steps_up[-1].select(F.col("parent_type").alias("type"), F.col("parent_id").alias("id")).distinct())
+    own = lambda level: level.select("type", "id", F.col("type").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(0).alias("hops"))
+    found = own(levels[-1])
+    for level, step in zip(reversed(levels[:-1]), reversed(steps_up), strict=True):
+        above = found.withColumnsRenamed({"type": "parent_type", "id": "parent_id"})
+        more = step.join(above, ["parent_type", "parent_id"]).select("type", "id", "entity_type", "entity_id", (F.col("hops") + 1).alias("hops"))
+        found = own(level).unionByName(more).groupBy("type", "id", "entity_type", "entity_id").agg(F.min("hops").alias("hops"))
+    same = starts.schema["start_id"].dataType
+    return found.select(F.col("type").alias("start_type"), F.col("id").cast(same).alias("start_id"), "entity_type", "entity_id", "hops")
 
 
 def steps(reached: DataFrame, records: DataFrame) -> DataFrame:

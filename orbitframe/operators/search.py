@@ -27,10 +27,14 @@ class SearchParams:
     temporal_intent: bool = False
     context: list[str] = field(default_factory=list)
     change_types: list[str] = field(default_factory=list)
+    #: Name and version of the model whose vectors are searched; None: the table holds one model's only.
+    model: tuple[str, str] | None = None
 
 
-def similar(tiles: DataFrame, embeddings: DataFrame, query: Column, k: int, where: TileFilter) -> DataFrame:
-    """The ``k`` tiles that pass the filter and are most similar: tile columns and ``sim``. Ties go by vector id."""
+def similar(tiles: DataFrame, embeddings: DataFrame, query: Column, k: int, where: TileFilter, model: tuple[str, str] | None = None) -> DataFrame:
+    """The ``k`` tiles that pass the filter and are most similar by the model's vectors: tile columns and ``sim``. Ties go by vector id."""
+    if model is not None:
+        embeddings = embeddings.filter((F.col("model_name") == model[0]) & (F.col("model_version") == model[1]))
     vectors = embeddings.select("tile_id", "vector_id", "vector")
     scored = where.apply(tiles).join(vectors, "tile_id").withColumn("sim", dot(F.col("vector"), query)).drop("vector")
     return scored.orderBy(F.desc("sim"), "vector_id").limit(k)
@@ -104,7 +108,7 @@ def search(tiles: DataFrame, embeddings: DataFrame, query: Column, params: Searc
     if params.where.bbox:
         check_bbox(params.where.bbox, on_earth=False)
     check_dates(params.where.date_from, params.where.date_to)
-    pool, applicable = components(similar(tiles, embeddings, query, params.top_k * settings.pool_factor, params.where), params)
+    pool, applicable = components(similar(tiles, embeddings, query, params.top_k * settings.pool_factor, params.where, params.model), params)
     penalty = None
     if rejects is not None and settings.reject_penalty > 0:
         pool = pool.join(rejects, "tile_id", "left")

@@ -60,16 +60,18 @@ def change_diagnostics(spark, sf_dir):
     return temporal.diagnostics(P.observations(spark, sf_dir), min_quality=0.3)
 
 
-@register("search_verified_change", f"""WITH {CONSENSUS}
-SELECT t.event_id AS tile_id, f.location_key, f.change_type, round(f.confidence, 6) AS change FROM final f JOIN events t ON t.user_id = f.location_key
-JOIN events o ON o.event_id = f.earliest_tile_id WHERE f.confidence >= 0.2 AND t.ts >= o.ts""")
+@register("search_verified_change", f"""WITH {CONSENSUS},
+ranks AS (SELECT event_id, user_id, ts, (0.5 * 0.45 + least(value / 100, 1.0) * 0.15 + 0.5 * 0.1) / (0.45 + 0.15 + 0.1) AS prelim FROM events),
+firsts AS (SELECT user_id, arg_max(event_id, (prelim, -event_id)) AS event_id, max(prelim) AS prelim FROM ranks GROUP BY user_id),
+budget AS (SELECT user_id FROM firsts ORDER BY prelim DESC, event_id LIMIT 50)
+SELECT t.event_id AS tile_id, f.location_key, f.change_type, round(f.confidence, 6) AS change FROM final f JOIN budget b ON b.user_id = f.location_key JOIN events t ON t.user_id = f.location_key
+JOIN events o ON o.event_id = f.earliest_tile_id WHERE f.confidence >= 0.2 AND f.change_type <> 'none' AND t.ts >= o.ts""")
 def search_verified_change(spark, sf_dir):
-    from ..config import Settings
+    """Verified change at the 50 best locations, as many as a search may look at."""
     from ..operators.search import verified
 
     tiles = P.tiles(spark, sf_dir).withColumns({"semantic": F.lit(0.5), "quality": F.col("quality_score"), "metadata": F.lit(0.5)})
-    found = temporal.reported(_consensus(spark, sf_dir))
-    out = verified(tiles, found, ["semantic", "quality", "metadata"], Settings(max_change_locations=1_000_000_000))
+    out = verified(tiles, temporal.reported(_consensus(spark, sf_dir)), ["semantic", "quality", "metadata"])
     return out.select("tile_id", "location_key", "change_type", F.round("change", 6).alias("change"))
 
 

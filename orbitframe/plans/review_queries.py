@@ -171,9 +171,9 @@ def cluster_summaries(spark, sf_dir):
     return out.select("cluster_id", "size", F.round("cohesion", 6).alias("cohesion"), F.round("centroid_x", 6).alias("centroid_x"), F.get("representative_tiles", F.lit(0)).alias("best"))
 
 
-@register("cluster_neighbours", """SELECT a.vec_id AS a, CAST(count(*) AS BIGINT) AS n FROM embeddings a JOIN embeddings b ON 1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) <= 0.15 GROUP BY a.vec_id""")
+@register("cluster_neighbours", """SELECT a.vec_id AS a, CAST(count(*) AS BIGINT) AS n FROM embeddings a JOIN embeddings b ON 1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) <= 0.65 GROUP BY a.vec_id""")
 def cluster_neighbours(spark, sf_dir):
-    return clusters.neighbours(P.embeddings(spark, sf_dir), 0.15).groupBy("a").agg(F.count("*").alias("n"))
+    return clusters.neighbours(P.embeddings(spark, sf_dir), 0.65).groupBy("a").agg(F.count("*").alias("n"))
 
 
 @register("cluster_kmeans")
@@ -185,7 +185,7 @@ def cluster_kmeans(spark, sf_dir):
 @register("cluster_dbscan")
 def cluster_dbscan(spark, sf_dir):
     rows = P.embeddings(spark, sf_dir).select("tile_id", "vector", F.col("tile_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
-    return clusters.discover(rows, "dbscan", eps=0.3, min_cluster_size=4)
+    return clusters.discover(rows, "dbscan", eps=0.65, min_cluster_size=4)
 
 
 TEMPLATES = ["newly built structures near a river", "flooding along the coast between 2019 and 2021", "deforestation since 2018", "new road inside the forest", "ships on water before 2020", "expanded mine", "quiet place", "demolished buildings by the lake from 2015"]

@@ -14,10 +14,10 @@ from . import proxies as P
 from .registry import register
 
 BBOX = [-150.0, -60.0, 120.0, 70.0]
-START = dt.datetime(2024, 1, 3)
+START = dt.datetime(2024, 1, 1, 4)
 WHERE = dict(bbox=BBOX, date_from=START, min_quality=0.05, max_cloud=95.0)
 PASSES = """max_x >= -150.0 AND min_x <= 120.0 AND max_y >= -60.0 AND min_y <= 70.0
-         AND acquisition_time >= TIMESTAMP '2024-01-03' AND quality_score >= 0.05 AND cloud_percentage <= 95.0"""
+         AND acquisition_time >= TIMESTAMP '2024-01-01 04:00:00' AND quality_score >= 0.05 AND cloud_percentage <= 95.0"""
 
 POOL = f"""{P.TILES},
 q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
@@ -59,8 +59,11 @@ def search_filtered_ranked(spark, sf_dir):
 @register("search_components", f"""WITH {POOL}
 SELECT tile_id, round(sim, 6) AS sim, round(metadata, 6) AS metadata, round(spatial, 6) AS spatial, round(temporal, 6) AS temporal FROM ranked""")
 def search_components(spark, sf_dir):
-    params = search.SearchParams(top_k=20, where=TileFilter(**WHERE))
-    pool = search.similar(P.tiles(spark, sf_dir), P.embeddings(spark, sf_dir), _first_vector(spark, sf_dir), 60, params.where)
+    """Over a table with the vectors of two models, of which one is searched."""
+    params = search.SearchParams(top_k=20, where=TileFilter(**WHERE), model=("m", "2"))
+    vectors = P.embeddings(spark, sf_dir).withColumn("model_name", F.lit("m"))
+    both = vectors.withColumn("model_version", F.lit("2")).unionByName(vectors.withColumns({"model_version": F.lit("1"), "vector": F.transform("vector", lambda x: -x)}))
+    pool = search.similar(P.tiles(spark, sf_dir), both, _first_vector(spark, sf_dir), 60, params.where, params.model)
     rows, _ = search.components(pool, params)
     return rows.select("tile_id", *[F.round(c, 6).alias(c) for c in ("sim", "metadata", "spatial", "temporal")])
 

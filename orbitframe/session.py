@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and continue from there.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, local use) a temporary one.
+    The folder is ``spark.checkpoint.dir``; only a local session may lack it, and gets a temporary one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
