@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import json
-import tempfile
 import uuid
 import zlib
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import hash_words, tidy
-from .runtime import documents, require
+from .runtime import documents, require, scratch
 
 #: Characters that regular-expression libraries class differently as white space: such texts go to the library whole.
 UNSURE = r"[\x1c-\x1f\x85᠎​-‍﻿]"
@@ -250,7 +249,6 @@ def token_digests(rows: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tokens-")
-    path = f"{shared.rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path)
     return token_offsets(token_digests(read_token_files(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
