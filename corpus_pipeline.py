@@ -1,8 +1,10 @@
-"""From raw documents to token ids: five stages, each a table for the next."""
+"""From raw documents to token ids: five stages, each a table for the next.
+
+Rows with a null id stay: no stage that rejects by id can name them.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orbitframe.llm.decontaminate import drop_contaminated
 from orbitframe.llm.ngram_jaccard import keep_one_of_each
 from orbitframe.llm.pii import redact_stage
+from orbitframe.llm.runtime import scratch
 from orbitframe.llm.sentencepiece_lattice import encode_stage
 from orbitframe.llm.toxicity import reject_toxic
 
@@ -27,8 +30,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over what the one before kept, each written as Parquet and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
