@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.spatial import geojson
 from ..functions.times import iso
 
+# The columns of the export formats, in order.
 SEARCH_COLUMNS = ["rank", "result_id", "tile_id", "scene_id", "acquisition_time", "sensor", "platform", "semantic_score", "quality_score", "metadata_score", "change_score", "final_score", "change_analysis_id", "status", "bbox", "source_path", "source_checksum", "embedding_model", "embedding_version", "preprocessing_version", "provenance_href"]
 CHANGE_COLUMNS = ["analysis_id", "change_type", "confidence", "earliest_supported_time", "before_scene", "after_scene", "before_tile", "after_tile", "before_time", "after_time", "evidence_score", "change_model", "change_model_version", "source_paths", "source_checksums", "provenance_href"]
 
