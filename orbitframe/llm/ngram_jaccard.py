@@ -27,6 +27,10 @@ longest are put aside, the short ones are merged (a heap; a sort of the
 concatenated runs where they are large), candidates found at least T - L times
 are probed in the long lists by binary search, and the exact overlap decides.
 
+Steps 4 and 5 look for links enough to connect what links, not for each. :func:`link_counts`
+counts all of them: there every document of a leader's lists is a query against all
+others, and two documents that meet in several leaders' lists are counted in the first.
+
 Shingles are compared by 64-bit hashes.
 
 Defined results: null and empty texts, and texts without words, have
@@ -41,6 +45,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -204,12 +209,12 @@ def _repeat_links(profile: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, n, shingles); ``key`` tells apart the sets of a repeated id."""
+    """(doc_id, key, n, shingles); ``key``, which is ``hi`` of the profile, tells apart the sets of a repeated id."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [(ids[i], int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), len(s), s.tobytes()) for i, s in shingle_sets(batch.column(1), width)]
+            rows = [(ids[i], int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True), len(s), s.tobytes()) for i, s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "key", "n", "shingles"])
 
     return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, shingles binary")
@@ -360,8 +365,20 @@ def _rest_units(members: DataFrame, total: int) -> DataFrame:
     return index.unionAll(queries).select(F.struct("leader", "step", "block", "ask").alias("unit"), "doc_id", "is_query")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each id; see the module's text."""
+@dataclass
+class Lists:
+    """What steps 1 to 3 give: the profile of all rows, the classes, and the sets and inverted lists of the documents in the join."""
+
+    profile: DataFrame
+    n_docs: int
+    classes: DataFrame
+    sets: DataFrame
+    pairs: DataFrame
+    total: int
+
+
+def _lists(docs: DataFrame, id_col: str, text_col: str, width: int, *columns: str) -> Lists:
+    """Steps 1 to 3; ``pairs`` has the leaders with these columns of the documents in their lists."""
     spark = docs.sparkSession
     docs = require(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     profile = cut(_profiles(docs, width))
@@ -388,10 +405,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = cut(prefix.select("token", "doc_id", "key", "n"))
     drop(often)
     leaders = cut(prefix.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).filter("size > 1"))
-    pairs = cut(spread_join(prefix, leaders, ["token"], "size", total).select("leader", "doc_id", "n").distinct())
+    pairs = cut(spread_join(prefix, leaders, ["token"], "size", total).select("leader", *columns).distinct())
     drop(prefix)
     drop(leaders)
+    return Lists(profile, n_docs, classes, sets, pairs, total)
 
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each id; see the module's text."""
+    at = _lists(docs, id_col, text_col, width, "doc_id", "n")
+    profile, n_docs, classes, sets, pairs, total = at.profile, at.n_docs, at.classes, at.sets, at.pairs, at.total
     first = cut(_search(_leader_units(pairs.filter("leader != doc_id").select("leader", "doc_id").distinct()), sets))
     linked = cut(connected_components(first))
     members = _open_lists(pairs, F.broadcast(linked) if linked.count() <= runtime.BROADCAST_IDS else linked, total)
@@ -413,6 +436,72 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _all_units(pairs: DataFrame, total: int) -> DataFrame:
+    """Every document of a leader's lists as a query against all of them, by pairs of blocks of sizes that can link."""
+    rows = pairs.withColumn("step", F.floor(F.log(F.col("n")) / math.log(SIZE_STEP)).cast("int"))
+    plan = cut(rows.groupBy("leader", "step").agg(F.count("*").alias("n_docs"), _blocks(F.count("*")).alias("blocks")))
+    beside = plan.groupBy("leader").agg(F.collect_list(F.struct("step", "blocks")).alias("steps"), F.sum("n_docs").alias("all")).filter("all > 1")
+    plan = cut(plan.join(beside, "leader").select("leader", "step", "n_docs", "blocks", F.filter("steps", lambda s: F.abs(s["step"] - F.col("step")) <= 1).alias("others")))
+    rows = spread_join(rows, plan, ["leader", "step"], "n_docs", total)
+    rows = rows.select("leader", "doc_id", "key", F.col("step").alias("own_step"), F.pmod(F.xxhash64("doc_id", "key"), "blocks").cast("int").alias("own_block"), F.explode("others").alias("other"))
+    rows = rows.select("leader", "doc_id", "key", "own_step", "own_block", F.col("other.step").alias("step"), F.explode(F.sequence(F.lit(0), F.col("other.blocks") - 1)).alias("block"))
+    own, other = ("own_step", "own_block"), ("step", "block")
+    unit = lambda indexed, asking: F.array(*map(F.col, indexed + asking))
+    sides = F.create_map(F.lit(False), unit(own, other), F.lit(True), unit(other, own))
+    return rows.select("leader", "doc_id", "key", F.explode(sides).alias("is_query", "place")).select(F.struct("leader", "place").alias("unit"), "leader", "doc_id", "key", "is_query")
+
+
+def _count_links(units: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc_id, key, links): the rows of the classes that each class links to, each counted in the first leader that the two share."""
+
+    def run(group: pa.Table) -> pa.Table:
+        leader = group.column("leader")[0].as_py()
+        query = group.column("is_query").to_numpy(zero_copy_only=False)
+        ids, keys, sizes = (group.column(c).to_numpy() for c in ("doc_id", "key", "size"))
+        arrays = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        before = [set(x) for x in group.column("before").to_pylist()]
+        indexed, asked = np.flatnonzero(~query), np.flatnonzero(query)
+        links = np.zeros(len(asked), dtype=np.int64)
+        if len(indexed) and len(asked):
+            index = DivideSkip([arrays[i] for i in indexed])
+            with_leader: dict[int, list[int]] = {}
+            for place, i in enumerate(indexed):
+                for x in before[i]:
+                    if x < leader:
+                        with_leader.setdefault(x, []).append(place)
+            for k, q in enumerate(asked):
+                hits = index.search(arrays[q])
+                counts = (ids[indexed[hits]] != ids[q]) | (keys[indexed[hits]] != keys[q])
+                met = [with_leader[x] for x in before[q] if x in with_leader]
+                if met:
+                    counts &= ~np.isin(hits, np.concatenate(met))
+                links[k] = sizes[indexed[hits]][counts].sum()
+        some = links > 0
+        return pa.table([pa.array(ids[asked][some]), pa.array(keys[asked][some]), pa.array(links[some])], ["doc_id", "key", "links"])
+
+    found = units.join(marked, ["doc_id", "key"]).groupBy("unit").applyInArrow(run, "doc_id long, key long, links long")
+    return found.groupBy("doc_id", "key").agg(F.sum("links").alias("links"))
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``(doc_id, n_links)``: for each id the number of other rows that its text links to.
+
+    No pair leaves a task, but each has to be looked at: the time grows with the number of links. Empty sets have
+    none. Of a repeated id, the row with the most counts, and its other rows are other rows to it.
+    """
+    at = _lists(docs, id_col, text_col, width, "doc_id", "key", "n")
+    own = at.pairs.groupBy("doc_id", "key").agg(F.collect_list("leader").alias("before"))
+    first = at.classes.select(F.col("rep").alias("doc_id"), F.col("hi").alias("key"), "n", "size")
+    marked = cut(at.sets.join(first, ["doc_id", "key", "n"]).join(own, ["doc_id", "key"]).select("doc_id", "key", "size", "shingles", "before"))
+    links = cut(_count_links(_all_units(at.pairs, at.total), marked))
+    for done in (at.pairs, at.sets, marked):
+        drop(done)
+    counted = at.classes.join(links.select(F.col("doc_id").alias("rep"), F.col("key").alias("hi"), "links"), ["rep", "hi"], "left")
+    counted = cut(counted.filter("size > 1 or links is not null").select("hi", "lo", "n", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    rows = spread_join(at.profile, counted, ["hi", "lo", "n"], "size", at.n_docs, "left")
+    return rows.groupBy("doc_id").agg(F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir))
 

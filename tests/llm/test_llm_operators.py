@@ -119,6 +119,47 @@ def test_jaccard_join_without_broadcasts(spark, sf_dir, texts, monkeypatch):
     test_jaccard_join_against_brute_force(spark, sf_dir, texts)
 
 
+def brute_links(rows):
+    """For each id the most other rows that one of its rows links to."""
+    sets, out = [(i, shingles(t or "")) for i, t in rows], defaultdict(int)
+    for k, (i, s) in enumerate(sets):
+        n = sum(1 for j, (_, o) in enumerate(sets) if j != k and s and o and 100 * len(s & o) >= 80 * len(s | o))
+        out[i] = max(out[i], n)
+    return dict(out)
+
+
+def links_of(df):
+    return {r.doc_id: r.n_links for r in ngram_jaccard.link_counts(df).collect()}
+
+
+def test_link_counts_against_brute_force(spark, docs, texts, monkeypatch):
+    want = brute_links(texts.items())
+    assert max(want.values()) > 1
+    assert links_of(docs) == want
+    monkeypatch.setattr(runtime, "BROADCAST_IDS", 0)
+    assert links_of(docs) == want
+
+
+def test_link_counts_of_a_dense_group(spark, monkeypatch):
+    """Many near copies in several blocks, copies of some, and an id with two texts, of which one is another's."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.choice(120, size=int(rng.integers(0, 4)), replace=False):
+            words[k] = f"v{int(rng.integers(0, 5))}"
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[7][1]), (101, rows[7][1]), (102, "alone " * 9), (102, rows[3][1]), (103, None), (104, "q r s t u v")]
+    assert links_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute_links(rows)
+
+
+def test_link_counts_awkward(awkward, empty):
+    assert links_of(awkward) == brute_links((i, t) for i, t, *_ in AWKWARD)
+    assert ngram_jaccard.link_counts(empty).count() == 0
+
+
 def test_jaccard_join_awkward(awkward, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(awkward).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3)
