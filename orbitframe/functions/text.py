@@ -122,3 +122,20 @@ def scene_id(checksum: Column) -> Column:
 
 def tile_id(scene: Column, gx: Column, gy: Column) -> Column:
     return F.concat_ws("_", scene, gx.cast("string"), gy.cast("string"))
+
+
+#: The longest texts kept: of an error of a scene or job, and of a tag. Fixed values.
+LONGEST_ERROR, LONGEST_TAG, LONGEST_JOB_ERROR = 1000, 256, 4000
+
+
+def shortened(text: Column, longest: int = LONGEST_ERROR) -> Column:
+    return F.substring(text, 1, longest)
+
+
+def routed(text: Column, groups: dict[str, list[str]], names: dict[str, list[str]] | None = None) -> Column:
+    """The group that a text is one of the ``names`` of, or else the first with a keyword in it; null if none, or without text."""
+    asked = F.lower(F.trim(text))
+    whole = [asked.isin([n.lower() for n in words]) for words in (names or {}).values()]
+    part = [F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: asked.contains(w)), True) for words in groups.values()]
+    found = [F.when(hit, F.lit(name)) for name, hit in zip([*(names or {}), *groups], whole + part, strict=True)]
+    return F.when(asked != "", F.coalesce(*found))

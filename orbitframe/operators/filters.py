@@ -88,6 +88,11 @@ def scene_list(scenes: DataFrame, where: TileFilter, status: str | None = None,
     return out.limit(limit) if limit is not None else out
 
 
+def scene_total(scenes: DataFrame, where: TileFilter, status: str | None = None) -> DataFrame:
+    """One row: how many scenes all pages of :func:`scene_list` have together."""
+    return scene_list(scenes, where, status).agg(F.count("*").alias("total"))
+
+
 def tiles_of(tiles: DataFrame, scene_id: str) -> DataFrame:
     return tiles.filter(F.col("scene_id") == scene_id).orderBy(F.desc("y_index"), "x_index")
 

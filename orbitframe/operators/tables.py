@@ -121,3 +121,26 @@ def delete_scene(tables: dict[str, DataFrame], scene_ids: DataFrame) -> dict[str
 def scene_quality(tiles: DataFrame) -> DataFrame:
     """Mean quality (0 without tiles' values) and cloud share of each scene's tiles."""
     return tiles.groupBy("scene_id").agg(F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("quality_score"), F.avg("cloud_percentage").alias("cloud_percentage"), F.count("*").alias("tile_count"))
+
+
+def model_list(registry: DataFrame, type: str | None = None, active: bool | None = None) -> DataFrame:
+    """The registered models of a type, of a state, or all, by type and name."""
+    if type:
+        registry = registry.filter(F.col("type") == type)
+    if active is not None:
+        registry = registry.filter(F.col("active") == active)
+    return registry.orderBy("type", "model_name")
+
+
+def job_list(jobs: DataFrame, status: str | None = None, job_type: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest jobs of a status and type; job ids break ties."""
+    for name, value in (("status", status), ("job_type", job_type)):
+        if value:
+            jobs = jobs.filter(F.col(name) == value)
+    return jobs.orderBy(F.desc("created_at"), "job_id").limit(limit)
+
+
+def batch_summary(files: DataFrame, by: list[str]) -> DataFrame:
+    """How many of a batch's files were asked for, ingested, failed (an ``error``), and there before (``duplicate``)."""
+    ok = F.col("error").isNull()
+    return files.groupBy(*by).agg(F.count("*").alias("requested"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.count_if(ok & F.col("duplicate")).alias("duplicates"))

@@ -6,10 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_queries
+from ..functions.text import parse_queries, routed, shortened
 from ..functions.times import day_gap, iso
 from ..operators import search, tables
-from ..operators.filters import TileFilter, scene_list, tiles_of
+from ..operators.filters import TileFilter, scene_list, scene_total, tiles_of
 from . import proxies as P
 from .registry import register
 
@@ -128,3 +128,46 @@ def query_text_parts(spark, sf_dir):
     out = parse_queries(P.table(spark, sf_dir, "orders").select(k.alias("query_id"), text.alias("text")))
     joined = lambda name: F.array_join(name, ",").alias(name)
     return out.select("query_id", joined("change_types"), "change_intent", joined("objects"), joined("context"), "spatial_relation", "temporal_intent", "embedding_text", F.to_date("date_from").alias("date_from"), F.to_date("date_to").alias("date_to"))
+
+
+@register("scene_totals", "SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'F' AND o_totalprice / 1e6 >= 0.05")
+def scene_totals(spark, sf_dir):
+    """How many scenes the pages of ``scene_listing`` have together."""
+    rows = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("acquisition_time"), (F.col("o_totalprice") / 1e6).alias("quality_score"))
+    return scene_total(rows, TileFilter(min_quality=0.05), status="F")
+
+
+@register("model_listing", """SELECT p_name AS model_name, p_partkey AS version, p_type AS type FROM part
+WHERE p_type = (SELECT min(p_type) FROM part) AND p_size >= 10""")
+def model_listing(spark, sf_dir):
+    """Active models of one type: parts of some size are the registry."""
+    part = P.table(spark, sf_dir, "part").select(F.col("p_name").alias("model_name"), F.col("p_partkey").alias("version"), F.col("p_type").alias("type"), (F.col("p_size") >= 10).alias("active"))
+    return tables.model_list(part, part.agg(F.min("type")).first()[0], active=True).drop("active")
+
+
+@register("job_listing", """SELECT o_orderkey AS job_id, o_orderpriority AS job_type FROM orders
+WHERE o_orderstatus = 'O' AND o_orderpriority = (SELECT max(o_orderpriority) FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+def job_listing(spark, sf_dir):
+    """The newest open jobs of one kind: orders are the jobs."""
+    orders = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("job_type"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return tables.job_list(orders, "O", orders.agg(F.max("job_type")).first()[0]).select("job_id", "job_type")
+
+
+@register("batch_summaries", """SELECT l_orderkey AS batch_id, count(*) AS requested, count(*) FILTER (l_returnflag <> 'R') AS succeeded, count(*) FILTER (l_returnflag = 'R') AS failed,
+count(*) FILTER (l_returnflag <> 'R' AND l_linenumber > 3) AS duplicates FROM lineitem GROUP BY l_orderkey""")
+def batch_summaries(spark, sf_dir):
+    """What became of each batch: an order is one, its lines are the files."""
+    files = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.when(F.col("l_returnflag") == "R", F.lit("unreadable")).alias("error"), (F.col("l_linenumber") > 3).alias("duplicate"))
+    return tables.batch_summary(files, ["batch_id"])
+
+
+#: Keywords and whole texts of document groups.
+KEYWORDS = {"licence": ["license", "copyright"], "secret": ["password", "token", "secret"], "contact": ["@"]}
+
+
+@register("document_routes", """SELECT doc_id, CASE WHEN contains(t, 'license') OR contains(t, 'copyright') THEN 'licence' WHEN contains(t, 'password') OR contains(t, 'token') OR contains(t, 'secret') THEN 'secret' WHEN contains(t, '@') THEN 'contact' END AS route, head
+FROM (SELECT doc_id, lower(text) AS t, substring(text, 1, 256) AS head FROM documents)""")
+def document_routes(spark, sf_dir):
+    """The first group of keywords in each whole text, and the text cut as tags are."""
+    docs = P.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", routed(F.col("text"), KEYWORDS).alias("route"), shortened(F.col("text"), 256).alias("head"))
