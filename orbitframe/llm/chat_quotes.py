@@ -11,7 +11,7 @@ DataFrame expressions only.
    meet, so a common line makes one row, not pairs.
 4. *Order.* A message replies to the earlier message of whose text it quotes most at level one (ties:
    the later). Messages that quote nothing known begin a thread. ``thread`` holds the turns from the thread's begin to the
-   message, each padded to ten digits: in its order replies follow what they answer. Threads are
+   message, each as sixteen hexadecimal digits (the sign bit flipped, so negative turns come first): in its order replies follow what they answer. Threads are
    completed by pointer doubling, in as many joins as the logarithm of the deepest one.
 
 Messages stay rows of their own (sorting by ``conv_id, thread`` gives the conversation); none is gathered
@@ -78,7 +78,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     parents = cut(parents.select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked"))
 
     # pointer doubling: each message's thread so far, and the ancestor it goes on from
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    pad = lambda c: F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     threads = cut(parents.filter("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("up"), pad("turn").alias("tail"), F.lit(1).alias("depth")))
     for _ in range(ROUNDS):
         above = threads.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("tail").alias("tail2"), F.col("depth").alias("depth2"))
