@@ -11,7 +11,8 @@ The result is that of the public library for the same model file.
    positions, the path with the largest sum of scores (ties: the longer last piece). For a
    BPE model sums of scores don't give the model's own segmentation, so there the fold is over
    merges: of the edges that join two neighbouring symbols the best-scored one, leftmost
-   in ties, until none does. Characters without a piece are spelt in byte pieces. A fold looks at all edges of a unit in each step,
+   in ties, until none does; Viterbi's path over the same edges and its score come beside it on request
+   (``paths``; the query gives both). Characters without a piece are spelt in byte pieces. A fold looks at all edges of a unit in each step,
    so the few units of over ``LONG_UNIT`` characters (unbroken runs) are encoded by :func:`encode_long` instead, in
    a time that grows with their length only.
 3. *Assembly.* The encodings of the ``DICTIONARY`` most frequent units (a fixed bound) are
@@ -47,6 +48,9 @@ SLICE_ROWS = 512
 UNKNOWN_PENALTY = 10.0
 RESULT = "doc_id long, ids array<int>"
 DECODED = "doc_id long, n_ids long, ids_crc32 long, decoded string"
+#: What ``paths`` adds to either.
+PATH = ", path array<int>, path_score double"
+PATH_DIGEST = ", n_path_ids long, path_crc32 long, path_score double"
 
 
 def default_model() -> str:
@@ -152,6 +156,11 @@ def vocabulary(docs: DataFrame, joints) -> DataFrame:
 
 def best_path(edges: Column, size: Column) -> Column:
     """Ids on the best path through ``edges`` (start, end, score, id) over positions 0..size."""
+    return scored_path(edges, size)["ids"]
+
+
+def scored_path(edges: Column, size: Column) -> Column:
+    """The best path as ``struct<ids, total>``, its ids and the sum of its scores."""
     origin = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("back"), F.lit(0).alias("id")))
     arrive = lambda acc, e: F.struct((F.get(acc, e["start"])["total"] + e["score"]).alias("total"), F.negative(e["start"]).alias("back"), e["id"].alias("id"))
     table = F.aggregate(
@@ -163,7 +172,8 @@ def best_path(edges: Column, size: Column) -> Column:
     def walk(best: Column) -> Column:
         step = lambda acc: F.struct(F.negative(F.get(best, acc["at"])["back"]).alias("at"), F.concat(F.array(F.get(best, acc["at"])["id"]), acc["ids"]).alias("ids"))
         start = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.sequence(F.lit(1), size), start, lambda acc, _: F.when(acc["at"] > 0, step(acc)).otherwise(acc))["ids"]
+        ids = F.aggregate(F.sequence(F.lit(1), size), start, lambda acc, _: F.when(acc["at"] > 0, step(acc)).otherwise(acc))["ids"]
+        return F.struct(ids.alias("ids"), F.get(best, size)["total"].alias("total"))
 
     return let(table, walk)
 
@@ -245,22 +255,31 @@ def encode_long(unit: str, table: dict[str, tuple[int, float]], longest: int, un
     return [table[unit[i : end[i]]][0] if end[i] - i > 1 else spell(unit[i]) for i in range(n) if alive[i]]
 
 
-def _encode_long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``units(unit, n)`` with ``ids``."""
+def _encode_long_units(units: DataFrame, pieces: Pieces, paths: bool) -> DataFrame:
+    """``units(unit, n)`` with ``ids``, and with ``paths`` also ``path`` and ``path_score``."""
     table = {p: (i, s) for i, (p, s, ok) in enumerate(zip(pieces.pieces, pieces.scores, pieces.normal, strict=True)) if ok}
     sent = units.sparkSession.sparkContext.broadcast((table, pieces.longest, pieces.unknown_score, pieces.merges))
 
+    scores = pieces.scores
+
     def run(batches):
+        table, longest, unknown, merges = sent.value
         for batch in _slices(batches):
-            ids = [encode_long(u, *sent.value) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
+            units = batch.column(0).to_pylist()
+            columns = [batch.column(0), batch.column(1), pa.array([encode_long(u, table, longest, unknown, merges) for u in units], pa.list_(pa.int32()))]
+            if paths:
+                best = [encode_long(u, table, longest, unknown, False) for u in units]
+                columns += [pa.array(best, pa.list_(pa.int32())), pa.array([float(sum(scores[i] if i >= 0 else unknown for i in b)) for b in best], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["unit", "n", "ids", "path", "path_score"][: len(columns)])
 
-    return units.mapInArrow(tidy(run), "unit string, n long, ids array<int>")
+    return units.mapInArrow(tidy(run), "unit string, n long, ids array<int>" + PATH * paths)
 
 
-def encode_units(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+def encode_units(units: DataFrame, pieces: Pieces, parts: int, paths: bool = False) -> DataFrame:
     """``units(unit, n)`` with ``ids``; a character without a piece is minus its code point.
 
+    With ``paths`` also Viterbi's ``path`` and its ``path_score``, whatever the model's kind.
+
     Units are dealt out before they explode, in ``parts`` parts, so that their edges need not be shuffled.
     """
     table = F.broadcast(pieces.table(units.sparkSession))  # the model's own fixed size
@@ -276,8 +295,14 @@ def encode_units(units: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
     # a number as the first key makes the sort of the edges cheap
     grouped = edges.groupBy(F.xxhash64("unit").alias("key"), "unit", "n").agg(F.collect_list(edge).alias("edges"))
     fold = merged_path if pieces.merges else best_path
-    folded = grouped.select("unit", "n", fold(F.col("edges"), F.length("unit")).alias("ids"))
-    return folded.unionAll(_encode_long_units(units.filter(length > LONG_UNIT), pieces))
+    ids = fold(F.col("edges"), F.length("unit")).alias("ids")
+    if paths:
+        # named in a step of its own, so that the fold runs once for both columns
+        best = scored_path(F.col("edges"), F.length("unit")).alias("best")
+        folded = grouped.select("unit", "n", ids, best).select("unit", "n", "ids", F.col("best.ids").alias("path"), F.col("best.total").alias("path_score"))
+    else:
+        folded = grouped.select("unit", "n", ids)
+    return folded.unionAll(_encode_long_units(units.filter(length > LONG_UNIT), pieces, paths))
 
 
 def _spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
@@ -287,25 +312,37 @@ def _spelt(ids: list[int], byte_ids: list[int]) -> list[int]:
 
 
 def _packed(encoded: DataFrame, pieces: Pieces) -> tuple[np.ndarray, ...]:
-    """Ascending unit hashes with begins and sizes of their ids, and the ids, of at most DICTIONARY rows: some 24 bytes a unit."""
+    """Ascending unit hashes with begins and sizes of their ids, and the ids, of at most DICTIONARY rows: some 24 bytes a unit.
+
+    Where ``encoded`` has paths, begins, sizes, ids and scores of these follow: some 24 bytes more.
+    """
     byte_ids = pieces.byte_ids
     narrow = np.uint16 if len(pieces.pieces) <= 1 << 16 else np.int32
+    paths = "path" in encoded.columns
+    names = ("hash", "sizes", "flat", "path_sizes", "path_flat", "path_scores")[: 6 if paths else 3]
+    kinds = (np.uint64, np.uint32, narrow, np.uint32, narrow, np.float64)
 
     def run(batches):
         for batch in batches:
             units = batch.column(0).to_pylist()
             points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             edges = np.concatenate(([0], np.cumsum([len(u) for u in units])))
-            ids = [_spelt(i, byte_ids) for i in batch.column(1).to_pylist()]
-            packed = (hash_words(points, edges[:-1], edges[1:]), np.array([len(i) for i in ids], dtype=np.uint32), np.array([k for i in ids for k in i], dtype=narrow))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["hash", "sizes", "flat"])
-
-    rows = encoded.select("unit", "ids").mapInArrow(tidy(run), "hash binary, sizes binary, flat binary").collect()
-    hashes, sizes, flat = (np.frombuffer(b"".join([r[k] for r in rows]), t) for k, t in enumerate((np.uint64, np.uint32, narrow)))
+            packed = [hash_words(points, edges[:-1], edges[1:])]
+            for k in (1, 2)[: 1 + paths]:
+                ids = [_spelt(i, byte_ids) for i in batch.column(k).to_pylist()]
+                packed += [np.array([len(i) for i in ids], dtype=np.uint32), np.array([x for i in ids for x in i], dtype=narrow)]
+            if paths:
+                packed.append(batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names)
+
+    columns = ["unit", "ids", "path", "path_score"][: 4 if paths else 2]
+    rows = encoded.select(*columns).mapInArrow(tidy(run), ", ".join(f"{n} binary" for n in names)).collect()
+    hashes, sizes, flat, *more = (np.frombuffer(b"".join([r[k] for r in rows]), kinds[k]) for k in range(len(names)))
     del rows
     order = np.argsort(hashes, kind="stable")
-    begins = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.uint32)
-    return hashes[order], begins[order], sizes[order], flat
+    begins = lambda sizes: (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.uint32)[order]
+    out = (hashes[order], begins(sizes), sizes[order], flat)
+    return (*out, begins(more[0]), more[0][order], more[1], more[2][order]) if paths else out
 
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -324,20 +361,23 @@ def _lookup(dictionary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[back], (known[at] == distinct)[back]
 
 
-def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
-    """``(doc_id, ids)`` of each row."""
-    docs, assemble = _assembly(docs, model_path, dictionary)
-    return docs.mapInArrow(tidy(assemble), RESULT)
+def encode(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY, paths: bool = False) -> DataFrame:
+    """``(doc_id, ids)`` of each row, with ``paths`` also Viterbi's ``path`` over the whole text and its ``path_score``."""
+    docs, assemble = _assembly(docs, model_path, dictionary, paths)
+    return docs.mapInArrow(tidy(assemble), RESULT + PATH * paths)
+
 
+def round_trip(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY, paths: bool = False) -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass of one worker a task.
 
-def round_trip(docs: DataFrame, model_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
-    """What ``decode(encode(docs))`` gives, in one pass of one worker a task."""
-    docs, assemble = _assembly(docs, model_path, dictionary)
+    With ``paths`` also ``n_path_ids``, ``path_crc32`` and ``path_score`` of Viterbi's path over the whole text.
+    """
+    docs, assemble = _assembly(docs, model_path, dictionary, paths)
     back = _decoder(docs.sparkSession, model_path)
-    return docs.mapInArrow(tidy(lambda batches: back(assemble(batches))), DECODED)
+    return docs.mapInArrow(tidy(lambda batches: back(assemble(batches))), DECODED + PATH_DIGEST * paths)
 
 
-def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
+def _assembly(docs: DataFrame, model_path: str | None, dictionary: int, paths: bool = False):
     """The documents with what their assembly needs, and the function that assembles their batches."""
     spark = docs.sparkSession
     docs = require(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -345,7 +385,7 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
     joints = pieces.joints()
     byte_ids = pieces.byte_ids
     units = cut(vocabulary(docs, joints))
-    encoded = cut(encode_units(units, pieces, max(shuffle_partitions(spark), units.count() // UNITS_A_TASK)))
+    encoded = cut(encode_units(units, pieces, max(shuffle_partitions(spark), units.count() // UNITS_A_TASK), paths))
     size = encoded.count()
     frequent = encoded if size <= dictionary else encoded.orderBy(F.desc("n"), "unit").limit(dictionary)
     sent = spark.sparkContext.broadcast((joints, _packed(frequent, pieces)))
@@ -368,27 +408,37 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int):
             for first, last, joined, points, starts, ends, bounds in unit_runs(batch.column(1).to_pylist(), joints):
                 hashes = hash_words(points, starts, ends)
                 at, there = _lookup(dictionary, hashes)
-                begins, sizes, flat = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), dictionary[3]
-                begins[there], sizes[there] = dictionary[1][at[there]], dictionary[2][at[there]]
+                own: dict[str, list] = {}
                 if not there.all():
-                    own: dict[str, list[int]] = {}
                     for e in extra[first:last]:
-                        own.update((x["unit"], _spelt(x["ids"], byte_ids)) for x in e or ())
-                    more, base = [], len(flat)
-                    for i in np.flatnonzero(~there):
-                        ids = own[joined[starts[i] : ends[i]]]
-                        begins[i], sizes[i] = base + len(more), len(ids)
-                        more += ids
-                    flat = np.concatenate((flat, np.array(more, dtype=np.int32)))
-                values = flat[_ranges(begins, sizes)]
-                edges = np.concatenate(([0], np.cumsum(sizes)))[bounds].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(edges), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+                        own.update((x["unit"], [_spelt(x["ids"], byte_ids)] + ([_spelt(x["path"], byte_ids), x["path_score"]] if paths else [])) for x in e or ())
+                missing = [own[joined[starts[i] : ends[i]]] for i in np.flatnonzero(~there)]
+                columns = [batch.column(0).slice(first, last - first)]
+                for k in (0, 1)[: 1 + paths]:
+                    values, edges = filled(dictionary[1 + 3 * k : 4 + 3 * k], at, there, [m[k] for m in missing])
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges[bounds].astype(np.int32)), pa.array(values, pa.int32())))
+                if paths:
+                    scores = np.zeros(len(at))
+                    scores[there], scores[~there] = dictionary[7][at[there]], [m[2] for m in missing]
+                    row = np.repeat(np.arange(last - first), np.diff(bounds))
+                    columns.append(pa.array(np.bincount(row, weights=scores, minlength=last - first).astype(np.float64)))  # of no units it counts in integers
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "path", "path_score"][: len(columns)])
+
+    def filled(entries, at, there, missing):
+        """The ids of all units one after another, from the dictionary's ``entries`` or else ``missing``, and where each unit's end."""
+        begins, sizes, flat = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), entries[2]
+        begins[there], sizes[there] = entries[0][at[there]], entries[1][at[there]]
+        if missing:
+            own = np.array([len(m) for m in missing])
+            begins[~there], sizes[~there] = len(flat) + np.cumsum(own) - own, own
+            flat = np.concatenate((flat, np.array([i for m in missing for i in m], dtype=np.int32)))
+        return flat[_ranges(begins, sizes)], np.concatenate(([0], np.cumsum(sizes)))
 
     if size > dictionary:
         # rows of one key get the units of all of them, so equal keys do no harm
         key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
-        lost = docs.select(key, "text").mapInArrow(tidy(rest), "key long, unit string").distinct().join(encoded.select("unit", "ids"), "unit")
-        lost = lost.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
+        lost = docs.select(key, "text").mapInArrow(tidy(rest), "key long, unit string").distinct().join(encoded.drop("n"), "unit")
+        lost = lost.groupBy("key").agg(F.collect_list(F.struct(*encoded.drop("n").columns)).alias("extra"))
         docs = docs.select("doc_id", "text", key).join(lost, "key", "left").select("doc_id", "text", "extra")
     return docs, assemble
 
@@ -429,17 +479,25 @@ def _decoder(spark: SparkSession, model_path: str | None):
 
     def run(batches):
         for batch in _slices(batches):
-            rows = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column(1)]
-            columns = [batch.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in rows], pa.int64()), pa.array([decoded(x, *sent.value) for x in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "decoded"])
+            rows = ids_of(batch.column(1))
+            columns = [batch.column(0), *digest(rows), pa.array([decoded(x, *sent.value) for x in rows], pa.string())]
+            if batch.num_columns > 2:
+                columns += [*digest(ids_of(batch.column(2))), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "decoded", "n_path_ids", "path_crc32", "path_score"][: len(columns)])
+
+    def ids_of(column):
+        return [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in column]
+
+    def digest(rows):
+        return pa.array([len(x) for x in rows], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in rows], pa.int64())
 
     return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode every text: ``n_ids``, the crc32 of the ids, and the decoded text's digest."""
-    back = round_trip(documents(spark, sf_dir))
-    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode and decode every text: ``n_ids``, the crc32 of the ids, the decoded text's digest, and Viterbi's path likewise with its score."""
+    back = round_trip(documents(spark, sf_dir), paths=True)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "n_path_ids", "path_crc32", F.round("path_score", 6).alias("path_score"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from orbitframe.llm import chat_quotes, quality_classifier, token_files, toxicity
+from orbitframe.llm import chat_quotes, quality_classifier, sentencepiece_lattice, token_files, toxicity
 
 
 @pytest.fixture(scope="session")
@@ -195,3 +196,33 @@ def test_index_vectors_against_plain_python(docs):
         x = [(v - c) / s for v, c, s in zip(x, net.centre, net.scale, strict=True)]
         hidden = [math.tanh(sum(v * net.w1[i, j] for i, v in enumerate(x)) + net.b1[j]) for j in range(h)]
         assert abs(r.score - 1 / (1 + math.exp(-(sum(v * w for v, w in zip(hidden, net.w2, strict=True)) + net.b2) / 1.7))) < 1e-4
+
+
+# --- 2
+
+def test_viterbi_of_whole_texts_against_dynamic_program(spark, docs):
+    pieces = sentencepiece_lattice.Pieces.load(sentencepiece_lattice.default_model())
+    table = {p: (i, s) for i, (p, s, ok) in enumerate(zip(pieces.pieces, pieces.scores, pieces.normal, strict=True)) if ok}
+    odd = [(-1, None), (-2, ""), (-3, "q漢z 😀😀"), (-4, "e" * 1000 + " end"), (-5, "  two  spaces ")]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).filter("text is null or length(text) < 6000")
+    longest, unknown, want = pieces.longest, pieces.unknown_score, {}
+    for r in rows.collect():
+        text = (" " + r.text).replace(" ", "▁") if r.text else ""
+        best = [0.0] + [-math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                found = table.get(text[start:end], (None, unknown) if end - start == 1 else None)
+                if found:
+                    best[end] = max(best[end], best[start] + found[1])
+        want[r.doc_id] = text, best[-1]
+    byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
+    for small in (False, True):
+        got = {r.doc_id: r for r in sentencepiece_lattice.encode(rows, paths=True, **({"dictionary": 50} if small else {})).collect()}
+        assert got.keys() == want.keys()
+        for k, (text, total) in want.items():
+            assert abs(got[k].path_score - total) < 1e-6 * max(1, abs(total))
+            # the path spells the text
+            assert sentencepiece_lattice.decoded(np.array(got[k].path, dtype=np.int32), pieces.pieces, byte_of) == text.replace("▁", " ")[1:]
+    digests = {r.doc_id: r for r in sentencepiece_lattice.round_trip(rows, paths=True).collect()}
+    for k, r in digests.items():
+        assert (r.n_path_ids, r.path_crc32, r.n_ids) == (len(got[k].path), zlib.crc32(np.array(got[k].path, "<u4").tobytes()), len(got[k].ids))
