@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_quotes, decontaminate, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
+from . import chat_quotes, decontaminate, merkle_manifest, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
@@ -15,8 +15,21 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_secrets": secrets.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op12_merkle_manifest": merkle_manifest.query,
 }
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text."""
+    codes = f"list_transform(range(1, len({text}) + 1), lambda i: CAST(ord(substr({text}, i, 1)) AS BIGINT))"
+    byte = "list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
 SQL = {
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
@@ -45,4 +58,25 @@ held AS (SELECT DISTINCT w.doc_id, w.start, w.n, o.item_id, c.s FROM windows w J
 scored AS (SELECT doc_id, start, n, item_id, sum(w) / any_value(total) AS similarity FROM held JOIN weights USING (s) JOIN totals USING (item_id) GROUP BY doc_id, start, n, item_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS r FROM scored WHERE similarity >= 0.8 - 1e-12)
 SELECT doc_id, item_id, CAST(start AS INT) AS start_word, CAST(n AS INT) AS n_words, round(similarity, 6) AS similarity FROM best WHERE r = 1""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf("text")} AS leaf, {_leaf("replace(text, chr(10), '')")} AS other, {_crc32("CAST(doc_id AS VARCHAR)")} AS crc FROM documents),
+p AS (SELECT *, CASE WHEN crc % 2 = 0 THEN other ELSE leaf END AS start, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+nodes AS (SELECT g, 0 AS lvl, pos, leaf AS h, n FROM p
+  UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM nodes WHERE n > 1 GROUP BY g, lvl, pos // 3),
+sib AS (SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM nodes a JOIN nodes b ON a.g = b.g AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.g, a.lvl, a.pos),
+walk AS (SELECT rid, g, 0 AS lvl, pos, start AS h, '' AS proof FROM p
+  UNION ALL SELECT w.rid, w.g, w.lvl + 1, w.pos // 3, sha256(s.before || w.h || s.after), w.proof || s.before || s.after FROM walk w JOIN sib s ON s.g = w.g AND s.lvl = w.lvl AND s.pos = w.pos),
+own AS (SELECT rid, g, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM walk GROUP BY rid, g),
+tops AS (SELECT g, arg_max(h, lvl) AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes GROUP BY g),
+upper AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM tops
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3),
+above AS (SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM upper a JOIN upper b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.pos),
+climb AS (SELECT o.rid, 0 AS lvl, t.pos, o.h, o.proof, t.subroot FROM own o JOIN tops t ON t.g = o.g
+  UNION ALL SELECT c.rid, c.lvl + 1, c.pos // 3, sha256(a.before || c.h || a.after), c.proof || a.before || a.after, c.subroot FROM climb c JOIN above a ON a.lvl = c.lvl AND a.pos = c.pos),
+done AS (SELECT rid, any_value(subroot) AS subroot, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM climb GROUP BY rid)
+SELECT p.doc_id, p.leaf, e.subroot, r.root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.root AS verified
+FROM p JOIN done e ON e.rid = p.rid CROSS JOIN (SELECT arg_max(h, lvl) AS root FROM upper) r""",
 }
