@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_quotes, decontaminate, merkle_manifest, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
+from . import byte_bpe, chat_quotes, conversation_repair, decontaminate, merkle_manifest, ngram_jaccard, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_secrets": secrets.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_byte_bpe": byte_bpe.query,
     "op12_merkle_manifest": merkle_manifest.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 
 
@@ -30,6 +32,19 @@ def _leaf(text: str) -> str:
     parts = [f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
     return f"sha256({' || '.join(parts)})"
 
+def _more(paths: str, cost: str, letter: str) -> str:
+    """SQL for a path, eight digits of cost and then letters, with one edit more."""
+    return f"lpad(CAST(CAST(substr({paths}, 1, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({paths}, 9) || '{letter}'"
+
+
+#: The step of a row over the best paths s0..s3 by state, as texts that compare by cost and then letters; insertions follow.
+_STEP = f"""SELECT d.name, d.i + 1 AS i, {_more("s0", "4", "D")} AS s0,
+    least({_more("s1", "4", "D")}, CASE WHEN fault < 2 AND initial = 's' THEN {_more("s0", "late", "K")} END) AS s1,
+    least({_more("s2", "4", "D")}, CASE WHEN fault < 2 AND initial = 'u' THEN {_more("least(s0, s1, s3)", "late", "K")} END, CASE WHEN fault < 2 THEN {_more("least(s0, s1, s3)", "3 + late", "R")} END) AS s2,
+    least({_more("s3", "4", "D")}, CASE WHEN fault < 2 AND initial = 'a' THEN {_more("s2", "late", "K")} END, CASE WHEN fault < 2 THEN {_more("s2", "3 + late", "R")} END) AS s3
+  FROM dp d JOIN f ON f.name = d.name AND f.i = d.i + 1"""
+_GIVES = "CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END"
+
 SQL = {
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
@@ -79,4 +94,26 @@ climb AS (SELECT o.rid, 0 AS lvl, t.pos, o.h, o.proof, t.subroot FROM own o JOIN
 done AS (SELECT rid, any_value(subroot) AS subroot, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM climb GROUP BY rid)
 SELECT p.doc_id, p.leaf, e.subroot, r.root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.root AS verified
 FROM p JOIN done e ON e.rid = p.rid CROSS JOIN (SELECT arg_max(h, lvl) AS root FROM upper) r""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit FROM conversations),
+damaged AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS name, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE hit <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+f AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY name ORDER BY i) AS before, CASE WHEN fault = 1 THEN 3 ELSE 0 END AS late FROM (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN row_number() OVER (PARTITION BY name, role, text ORDER BY i) > 1 THEN 3 WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS fault FROM n)),
+dp AS (SELECT DISTINCT name, CAST(0 AS BIGINT) AS i, '00000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '00000003I' AS s2, '00000006II' AS s3 FROM damaged
+  UNION ALL SELECT name, i, s0, s1, s2, least(s3, {_more("s2", "3", "I")}) FROM (SELECT name, i, s0, s1, least(s2, {_more("least(s0, s1, s3)", "3", "I")}) AS s2, s3 FROM ({_STEP}))),
+best AS (SELECT name, CAST(substr(p, 1, 8) AS BIGINT) AS cost, substr(p, 9) AS audit FROM (SELECT name, arg_max(least(s0, s3), i) AS p FROM dp GROUP BY name)),
+w AS (SELECT name, audit, 0 AS k, CAST(1 AS BIGINT) AS i, 0 AS state, CAST(NULL AS VARCHAR) AS done FROM best
+  UNION ALL SELECT name, audit, k + 1, CASE WHEN letter = 'I' THEN i ELSE i + 1 END,
+    CASE WHEN letter = 'D' THEN state WHEN letter = 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE WHEN letter = 'D' THEN done ELSE coalesce(done || chr(10), '') || CASE letter WHEN 'I' THEN {_GIVES} || ':' WHEN 'K' THEN role || ':' || text ELSE {_GIVES} || ':' || text END END
+  FROM (SELECT w.*, substr(audit, k + 1, 1) AS letter, f.role, f.text, f.initial FROM w LEFT JOIN f ON f.name = w.name AND f.i = w.i WHERE k < len(audit))),
+repaired AS (SELECT name, sha256(coalesce(arg_max_null(done, k), '')) AS h FROM w GROUP BY name),
+counts AS (SELECT name, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY name)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS name FROM conversations) a LEFT JOIN counts USING (name) LEFT JOIN best USING (name) LEFT JOIN repaired USING (name)""",
 }

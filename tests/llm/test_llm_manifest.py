@@ -73,7 +73,7 @@ def test_repeated_and_missing_ids(spark, monkeypatch, tmp_path, broadcast):
     assert same(got, by_hand(df.collect()))
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 728, 729, 730, 2188])
+@pytest.mark.parametrize("n", [1, 4, 1458, 2188])
 def test_sizes_about_the_slot_arrays(spark, tmp_path, n):
     rows = [(k, "only" if k % 2 or n < 3 else "other", "en", k, "some\ntext") for k in range(n)]
     df = spark.createDataFrame(rows, SCHEMA)
