@@ -9,7 +9,8 @@ The result is that of the public library for the same rank file and pattern.
    literal map. A map is searched from its begin, so the literal is an array of ``BUCKETS`` small maps, which a crc32 of
    the bytes chooses from. Keys are bytes as characters 0 to 255.
    A step looks at all symbols of its word, so the few words of over ``LONG_WORD`` bytes are merged from a heap by :func:`merged` instead.
-3. *Assembly.* The ids of the most frequent words (``DICTIONARY`` at most) are broadcast; the rest of a document's words are joined to it by the shuffle.
+3. *Assembly.* The ids of the most frequent words (``DICTIONARY`` at most, some 16 bytes each) are broadcast. Documents with other words are
+   put together in a second pass, to which their other words' ids come by a join; only their texts are shuffled.
 4. *Decoding* concatenates the ids' bytes.
 
 Words are told apart by 64-bit hashes in the third step.
@@ -33,10 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import hash_words, tidy
-from .runtime import cut, documents, let, require, shuffle_partitions
+from .runtime import BROADCAST_IDS, cut, documents, let, require, shuffle_partitions
 
 BUCKETS = 1 << 14
-DICTIONARY = 3_000_000
+DICTIONARY = 4_000_000
+#: Steps in which a part of the words of one frequency is chosen by hash.
+SHARES = 1 << 16
 LONG_WORD = 96
 WORDS_A_TASK = 40_000
 PIECE_CHARS = 1 << 18
@@ -254,18 +257,24 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], parts: int) -> DataF
 
 
 def most_frequent(encoded: DataFrame, bound: int) -> DataFrame:
-    """The words with the highest ``n``, at most ``bound``: by a threshold from the counts of each ``n``, so no rows are sorted."""
-    counts = sorted(((r.n, r.words) for r in encoded.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)  # a row a number of tasks
+    """About the ``bound`` words with the highest ``n``, and no more: by a threshold from the counts of each ``n``, so no rows are sorted.
+
+    Of the words at the threshold those with the least hashes are in.
+    """
+    spot = F.pmod(F.xxhash64("word"), F.lit(SHARES))
     held, least = 0, None
-    for n, words in counts:
+    for n, words in sorted(((r.n, r.words) for r in encoded.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):  # a row a number of tasks
         if held + words > bound:
-            break
+            # a hundredth less, as hashes don't fall quite evenly
+            share = int(max(0.0, 0.99 * (bound - held) / words - 0.001) * SHARES)
+            edge = (F.col("n") == n) & (spot < share)
+            return encoded.filter(edge if least is None else (F.col("n") >= least) | edge)
         held, least = held + words, n
-    return encoded.filter(F.col("n") >= least) if least is not None else encoded.limit(0)
+    return encoded
 
 
 def _packed(encoded: DataFrame) -> tuple[np.ndarray, ...]:
-    """Ascending word hashes with begins and sizes of their ids, and the ids: some 24 bytes a word, of DICTIONARY words at most."""
+    """Ascending word hashes, begins and sizes of their ids, and the ids, of DICTIONARY words at most."""
 
     def run(batches):
         for batch in batches:
@@ -299,7 +308,7 @@ def _lookup(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _assembly(docs: DataFrame, ranks: dict[bytes, int], dictionary: int):
-    """The documents with what their assembly needs, and the function from their batches to (ids column, id edges, ids) by piece."""
+    """Parts of the documents, each with the function from its batches to (doc ids, edges of their ids, ids) by piece."""
     spark = docs.sparkSession
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids of over 16 bits")
@@ -319,41 +328,59 @@ def _assembly(docs: DataFrame, ranks: dict[bytes, int], dictionary: int):
                 found = {(keys[first + r], joined[starts[i] : ends[i]]) for r, i in zip(row.tolist(), np.flatnonzero(lost).tolist(), strict=True)}
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], ["key", "word"])
 
-    def assemble(batches):
+    def assemble(batches, rest: bool = False):
+        """Of each piece of a batch the rows all of whose words the dictionary has, or with ``rest`` the others."""
         hashes_of, begins_of, sizes_of, flat_of = sent.value
         for batch in _slices(batches):
-            extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            extra = batch.column(2).to_pylist() if rest else [None] * batch.num_rows
             for first, last, joined, points, starts, ends, bounds in word_runs(batch.column(1).to_pylist()):
                 at, there = _lookup(hashes_of, hash_words(points, starts, ends))
+                row = np.repeat(np.arange(last - first), np.diff(bounds))
+                kept = np.zeros(last - first, dtype=bool)
+                kept[row[~there]] = True
+                kept = kept if rest else ~kept
+                mine = kept[row]
+                at, there, row = at[mine], there[mine], row[mine]
                 begins, sizes, flat = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), flat_of
                 begins[there], sizes[there] = begins_of[at[there]], sizes_of[at[there]]
-                if not there.all():
+                if rest:
                     own = {x["word"]: x["ids"] for e in extra[first:last] for x in e or ()}
-                    missing = [own[joined[starts[i] : ends[i]]] for i in np.flatnonzero(~there)]
-                    counts = np.array([len(m) for m in missing])
+                    missing = [own[joined[a:b]] for a, b in zip(starts[mine][~there].tolist(), ends[mine][~there].tolist(), strict=True)]
+                    counts = np.array([len(m) for m in missing], dtype=np.int64)
                     begins[~there], sizes[~there] = len(flat) + np.cumsum(counts) - counts, counts
                     flat = np.concatenate((flat, np.array([i for m in missing for i in m], dtype=np.uint16)))
-                edges = np.concatenate(([0], np.cumsum(sizes)))[bounds]
-                yield batch.column(0).slice(first, last - first), edges, flat[_ranges(begins, sizes)]
+                tokens = np.bincount(row, weights=sizes, minlength=last - first).astype(np.int64)[kept]
+                yield batch.column(0).slice(first, last - first).filter(pa.array(kept)), np.concatenate(([0], np.cumsum(tokens))), flat[_ranges(begins, sizes)]
 
+    parts = [(docs, assemble)]
     if not whole:
         # rows of one key get the words of all of them, so equal keys do no harm
         key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
         lost = docs.select(key, "text").mapInArrow(tidy(rest), "key long, word string").distinct().join(encoded.drop("n"), "word")
-        lost = lost.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("extra"))
-        docs = docs.select("doc_id", "text", key).join(lost, "key", "left").select("doc_id", "text", "extra")
-    return docs, assemble
+        lost = cut(lost.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("extra")))
+        keys = lost.select("key")
+        keyed = docs.select("doc_id", "text", key)
+        if keys.count() <= BROADCAST_IDS:  # few documents have such words: the texts of the others stay where they are
+            keyed = keyed.join(F.broadcast(keys), "key", "left_semi")
+        parts.append((keyed.join(lost, "key").select("doc_id", "text", "extra"), lambda batches: assemble(batches, rest=True)))
+    return parts
+
+
+def _over(parts, run, schema: str) -> DataFrame:
+    """``run`` over what each part's assembly yields."""
+    outputs = [df.mapInArrow(tidy(lambda batches, put=put: run(put(batches))), schema) for df, put in parts]
+    return outputs[0] if len(outputs) == 1 else outputs[0].unionAll(outputs[1])
 
 
 def encode(docs: DataFrame, rank_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """``(doc_id, ids)`` of each row of ``docs(doc_id, text)``."""
-    docs, assemble = _assembly(docs, load_ranks(rank_path or default_ranks()), dictionary)
+    parts = _assembly(docs, load_ranks(rank_path or default_ranks()), dictionary)
 
-    def run(batches):
-        for keys, edges, ids in assemble(batches):
+    def run(pieces):
+        for keys, edges, ids in pieces:
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return docs.mapInArrow(tidy(run), RESULT)
+    return _over(parts, run, RESULT)
 
 
 def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,16 +413,15 @@ def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, rank_path: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """Digests of each row's ids (little-endian, 32 bits) and of what they decode to, in one pass of one worker a task."""
     ranks = load_ranks(rank_path or default_ranks())
-    docs, assemble = _assembly(docs, ranks, dictionary)
     sent = docs.sparkSession.sparkContext.broadcast(_pieces(ranks))
 
-    def run(batches):
-        for keys, edges, ids in assemble(batches):
+    def run(pieces):
+        for keys, edges, ids in pieces:
             rows = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            digests = [pa.array([hashlib.sha256(b).hexdigest() for b in part]) for part in ((r.astype("<u4").tobytes() for r in rows), (decoded(r, sent.value) for r in rows))]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(edges).astype(np.int64)), *[d.cast(pa.string()) for d in digests]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            digests = [pa.array([hashlib.sha256(b).hexdigest() for b in part], pa.string()) for part in ((r.astype("<u4").tobytes() for r in rows), (decoded(r, sent.value) for r in rows))]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(edges).astype(np.int64)), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(tidy(run), DIGESTS)
+    return _over(_assembly(docs, ranks, dictionary), run, DIGESTS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

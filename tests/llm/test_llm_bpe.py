@@ -74,7 +74,9 @@ def test_encode_and_decode(spark, library):
 
 
 def test_dictionary_by_threshold(spark):
-    rows = spark.createDataFrame([(f"w{k}", k % 5, [k]) for k in range(50)], "word string, n long, ids array<int>")
-    assert {r.n for r in byte_bpe.most_frequent(rows, 25).collect()} == {4, 3}
-    assert byte_bpe.most_frequent(rows, 9).isEmpty()
-    assert byte_bpe.most_frequent(rows, 50).count() == 50
+    rows = spark.createDataFrame([(f"w{k}", k % 5, [k]) for k in range(5000)], "word string, n long, ids array<int>")
+    some = byte_bpe.most_frequent(rows, 2500).groupBy("n").count().collect()
+    counts = {r.n: r["count"] for r in some}
+    assert counts[4] == counts[3] == 1000 and 430 < counts[2] < 500 and set(counts) == {4, 3, 2}
+    assert byte_bpe.most_frequent(rows, 0).isEmpty()
+    assert byte_bpe.most_frequent(rows, 5000).count() == 5000
