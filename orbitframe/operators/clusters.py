@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,14 +15,36 @@ from ..functions.vectors import dot, normalised
 from ..session import cut
 
 
-def bounded_sample(members: DataFrame, cap: int = DEFAULTS.cluster_cap, seed: int = 0) -> DataFrame:
-    """At most ``cap`` members, chosen by a hash of their id: the same ones on every run, all of them up to the cap.
+def bottom_k(members: DataFrame, k: int, by: str | None = None, seed: int = 0, id_col: str = "tile_id") -> DataFrame:
+    """The ``k`` members (of each value of ``by``) with the least hashes of their ids; ties by id. The same ones at any number of partitions.
+
+    Counts by the hash's first 16 bits, combined before the shuffle, say which prefixes are in as a whole; only the one prefix
+    that the bound falls into is sorted, about 1/65536 of the stratum. So nothing is sorted as a whole, and sketches of parts merge by adding counts.
+    """
+    stratum = F.lit(0) if by is None else F.col(by)
+    rows = members.withColumns({"_h": F.xxhash64(F.col(id_col), F.lit(seed)), "_s": F.xxhash64(stratum)})
+    rows = rows.withColumn("_p", F.shiftrightunsigned("_h", 48))
+    counts = rows.groupBy("_s", "_p").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))  # 65 536 rows a stratum at most
+    placed = counts.withColumn("up_to", up_to)
+    last = placed.groupBy("_s").agg(F.max(F.when(F.col("up_to") <= k, F.col("_p"))).alias("whole"), F.min(F.when(F.col("up_to") > k, F.struct(F.col("_p").alias("p"), (k - F.col("up_to") + F.col("n")).alias("room")))).alias("edge"))
+    met = rows.join(last, "_s")
+    whole = met.filter(F.col("_p") <= F.col("whole"))
+    edge = met.filter(F.col("_p") == F.col("edge.p")).withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_p").orderBy("_h", id_col))).filter(F.col("_r") <= F.col("edge.room"))
+    return whole.select(*members.columns).unionByName(edge.select(*members.columns))
+
+
+def bounded_sample(members: DataFrame, cap: int = DEFAULTS.cluster_cap, seed: int = 0, by: str | None = None) -> DataFrame:
+    """At most ``cap`` members (of each value of ``by``), chosen by a hash of their id: the same ones on every run, all of them up to the cap.
 
     Each row says how many members there were (``total_matching``), and whether some were left out (``sampled``).
     """
-    total = members.agg(F.count("*").alias("total_matching"))  # one row
-    chosen = members.orderBy(F.xxhash64("tile_id", F.lit(seed)), "tile_id").limit(cap)
-    return chosen.crossJoin(F.broadcast(total)).withColumn("sampled", F.col("total_matching") > cap)
+    chosen = bottom_k(members, cap, by, seed)
+    if by is None:
+        chosen = chosen.crossJoin(F.broadcast(members.agg(F.count("*").alias("total_matching"))))  # one row
+    else:
+        chosen = chosen.join(members.groupBy(by).agg(F.count("*").alias("total_matching")).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    return chosen.withColumn("sampled", F.col("total_matching") > cap)
 
 
 def kmeans_labels(members: DataFrame, n_clusters: int, seed: int = 0) -> DataFrame:
@@ -121,13 +145,82 @@ def summaries(labelled: DataFrame, representatives: int = DEFAULTS.cluster_repre
     return stats.join(tiles, "cluster_id").orderBy(F.desc("size"), "cluster_id")
 
 
-def hull_candidates(points: DataFrame, by: str, directions: int = 64) -> DataFrame:
-    """(by, x, y): for each group the outermost points in so many directions, which bound its convex hull."""
-    import math
+HULL_SALTS = 32
+#: Points that a task holds before it reduces them to their hulls.
+HULL_ROWS = 1 << 16
+
 
-    angles = [2 * math.pi * k / directions for k in range(directions)]
-    far = [F.max_by(F.struct("x", "y"), F.struct((F.col("x") * math.cos(t) + F.col("y") * math.sin(t)).alias("d"), F.col("x"), F.col("y"))) for t in angles]
-    return points.groupBy(by).agg(F.array_distinct(F.array(*far)).alias("p")).select(by, F.explode("p").alias("p")).select(by, "p.x", "p.y")
+def _left_turn(a, b, c) -> bool:
+    """Whether c is left of the line from a to b, exactly: by doubles where their error can't matter, else by fractions."""
+    left, right = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    if abs(left - right) > 4e-15 * (abs(left) + abs(right)):
+        return left > right
+    (ax, ay), (bx, by), (cx, cy) = (tuple(map(Fraction, p)) for p in (a, b, c))
+    return (bx - ax) * (cy - ay) > (by - ay) * (cx - ax)
+
+
+def monotone_chain(points) -> list[tuple[float, float]]:
+    """The corners of the points' convex hull, counter-clockwise from the least point; one or two points are their own hull."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+    halves = []
+    for run in (points, points[::-1]):
+        half: list[tuple[float, float]] = []
+        for p in run:
+            while len(half) > 1 and not _left_turn(half[-2], half[-1], p):
+                half.pop()
+            half.append(p)
+        halves += half[:-1]
+    return halves
+
+
+def convex_hulls(points: DataFrame, by: str) -> DataFrame:
+    """(by, place, x, y): the corners of each group's convex hull, counter-clockwise from the least point, exact.
+
+    Each task reduces what it reads to the hulls of its groups, which are merged in HULL_SALTS parts of a group and then as a whole, so
+    a task holds corners of hulls, not groups. Points without both coordinates are left out; a collinear group has two corners.
+    """
+    kind = points.schema[by].dataType
+    schema = f"{by} {kind.simpleString()}, x double, y double"
+
+    def partial(batches):
+        held: dict = {}
+        size, arrow = 0, None
+
+        def reduced():
+            rows = [(g, *p) for g, ps in held.items() for p in ps]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], arrow), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], [by, "x", "y"])
+
+        for batch in batches:
+            arrow = batch.column(0).type
+            for g, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.setdefault(g, []).append((x, y))
+            size += batch.num_rows
+            if size > HULL_ROWS:
+                for g in held:
+                    held[g] = monotone_chain(held[g])
+                size = sum(map(len, held.values()))
+                if size > HULL_ROWS // 2:  # many groups or round ones: on to the next step
+                    yield reduced()
+                    held, size = {}, 0
+        if held:
+            for g in held:
+                held[g] = monotone_chain(held[g])
+            yield reduced()
+
+    def merge(rows):
+        corners = monotone_chain(list(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True)))
+        group = rows.column(by).combine_chunks().take(pa.array([0] * len(corners)))
+        return pa.table([group, pa.array(range(len(corners)), pa.int32()), pa.array([p[0] for p in corners], pa.float64()), pa.array([p[1] for p in corners], pa.float64())], [by, "place", "x", "y"])
+
+    placed = f"{by} {kind.simpleString()}, place int, x double, y double"
+    # adding zero makes a negative zero the same point as a positive one
+    clean = points.select(by, (F.col("x").cast("double") + 0.0).alias("x"), (F.col("y").cast("double") + 0.0).alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    parts = clean.mapInArrow(partial, schema)
+    salted = parts.groupBy(by, F.pmod(F.xxhash64("x", "y"), F.lit(HULL_SALTS)).alias("salt")).applyInArrow(merge, placed)
+    return salted.select(by, "x", "y").groupBy(by).applyInArrow(merge, placed)
 
 
 def discover(members: DataFrame, algorithm: str = "kmeans", n_clusters: int = 8, eps: float = 0.15, min_cluster_size: int = 5, cap: int | None = None) -> DataFrame:

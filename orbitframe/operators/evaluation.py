@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.polygons import edges, edges_meet
 from ..session import cut
 
 
@@ -46,10 +47,34 @@ def judged_by_reviews(latest: DataFrame) -> DataFrame:
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
+def _celled(df: DataFrame, prefix: str, cell: float) -> DataFrame:
+    """A row for each grid cell that the box touches, columns prefixed."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    out = df.withColumn("cx", F.explode(span("min_x", "max_x"))).withColumn("cy", F.explode(span("min_y", "max_y")))
+    return out.select("cx", "cy", *[F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float = 1.0) -> DataFrame:
+    """The pairs that meet, columns prefixed ``l_`` and ``r_``, once for each pair of rows.
+
+    Boxes meet by grid cells (an equality join), each pair in the first cell that both touch only; where both sides have ``rings``, their polygons must meet too.
+    """
+    shaped = "rings" in left.columns and "rings" in right.columns
+    if shaped:  # edges once a shape, not once a pair
+        left, right = (df.withColumn("_edges", edges(F.col("rings"))) for df in (left, right))
+    met = _celled(left, "l_", cell).join(_celled(right, "r_", cell), ["cx", "cy"])
+    first = lambda c: F.floor(F.greatest(f"l_{c}", f"r_{c}") / cell)
+    boxes = (F.col("l_min_x") <= F.col("r_max_x")) & (F.col("l_max_x") >= F.col("r_min_x")) & (F.col("l_min_y") <= F.col("r_max_y")) & (F.col("l_max_y") >= F.col("r_min_y"))
+    met = met.filter(boxes & (F.col("cx") == first("min_x")) & (F.col("cy") == first("min_y"))).drop("cx", "cy")
+    return met.filter(edges_meet(F.col("l__edges"), F.col("r__edges"))).drop("l__edges", "r__edges") if shaped else met
+
+
 def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0) -> DataFrame:
-    """``(det_id, truth_id)``, one to one: detections in order of certainty take the first free truth they overlap.
+    """``(det_id, truth_id)``, one to one: detections in order of certainty take the first free truth they meet.
 
-    Detections with the same box are a class, and boxes meet truths in grid cells (an equality join), so pairs are of
+    Shapes are boxes, or where both tables have ``rings``, polygons in them.
+
+    Detections with the same shapes are a class, and shapes meet truths in grid cells (an equality join), so pairs are of
     classes and truths. The k-th most certain detection of a class can have the k-th truth of its list at the earliest,
     and starts there. In each round every detection asks for the truth at its place; a truth asked by detections of several classes keeps
     the most certain one, the others go on by a place, and those behind them in their class stay behind them. A place never passes
@@ -59,17 +84,12 @@ def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0) -> D
     ``detections(det_id, confidence, min_x, ...)``, ``truth(truth_id, min_x, ...)``.
     """
 
-    def celled(df: DataFrame, prefix: str) -> DataFrame:
-        span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-        out = df.withColumn("cx", F.explode(span("min_x", "max_x"))).withColumn("cy", F.explode(span("min_y", "max_y")))
-        return out.select("cx", "cy", *[F.col(c).alias(prefix + c) for c in df.columns])
-
-    found = detections.filter("det_id is not null").groupBy("det_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct(*BOX))).alias("boxes"))
+    shape = [*BOX, "rings"] if "rings" in detections.columns and "rings" in truth.columns else list(BOX)
+    found = detections.filter("det_id is not null").groupBy("det_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct(*shape))).alias("boxes"))
     classes = cut(found.select("boxes").distinct().withColumn("class", F.monotonically_increasing_id()))  # a number for each class, fixed by the cut
     boxes = classes.select("class", F.explode("boxes").alias("b")).select("class", "b.*")
-    met = celled(boxes, "d_").join(celled(truth.filter("truth_id is not null").select("truth_id", *BOX), "t_"), ["cx", "cy"])
-    meets = (F.col("d_min_x") <= F.col("t_max_x")) & (F.col("d_max_x") >= F.col("t_min_x")) & (F.col("d_min_y") <= F.col("t_max_y")) & (F.col("d_max_y") >= F.col("t_min_y"))
-    pairs = met.filter(meets).select(F.col("d_class").alias("class"), F.col("t_truth_id").alias("truth_id")).distinct()
+    met = meeting(boxes, truth.filter("truth_id is not null").select("truth_id", *shape), cell)
+    pairs = met.select(F.col("l_class").alias("class"), F.col("r_truth_id").alias("truth_id")).distinct()
     listed = cut(pairs.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("truth_id"))))
     lengths = listed.groupBy("class").agg(F.count("*").alias("length"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial
 from ..functions.vectors import dot, literal, norm, normalised
-from ..operators import export, search, tables
+from ..operators import batch_search, export, search, tables
+from ..operators.encoders import encode_text
 from ..operators.filters import TileFilter, with_tile_counts
 from . import proxies as P
 from .registry import register
@@ -175,3 +176,49 @@ def grid_cells(spark, sf_dir):
 def footprints_to_wgs84(spark, sf_dir):
     rows = P.table(spark, sf_dir, "customer").select("c_custkey", spatial.to_wgs84(F.lit(3857), F.col("c_acctbal") * 1000, F.col("c_acctbal") * 500).alias("p"))
     return rows.select("c_custkey", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
+#: The parts that the texts of suppliers' queries are composed of, and what the concepts and contexts are called.
+ASKED_FOR = [("buildings", "built structures"), ("water", "water"), ("forest", "vegetation"), ("road", "road"), ("desert", "bare soil"), ("snow", "snow"), ("ships", "vessel")]
+PLACES = [("", ""), (" near a river", " near river"), (" along the coast", " along coast")]
+DIM = 64
+
+
+def _composed(spark, sf_dir):
+    """Suppliers as queries: a text of parts chosen by their keys, and for some of them a date, a box, a quality or a sensor."""
+    pick = lambda values, key: F.get(F.array(*map(F.lit, values)), key.cast("int"))
+    k, some = F.col("s_suppkey"), lambda when, value: F.when(when, F.lit(value))
+    text = F.concat(F.when(k % 5 == 0, F.lit("new ")).otherwise(""), pick([a for a, _ in ASKED_FOR], k % 7), pick([a for a, _ in PLACES], k % 3), F.when(k % 4 == 0, F.lit(" since 2024")).otherwise(""))
+    return P.table(spark, sf_dir, "supplier").select(
+        k.alias("query_id"), text.alias("text"), F.when(k % 2 == 0, F.timestamp_add("DAY", (k % 20).cast("int"), F.lit(dt.datetime(2024, 1, 1)))).alias("date_from"), F.when(k % 5 < 3, (k % 5) / 20.0).alias("min_quality"),
+        F.when(k % 11 == 0, F.lit("CLICK")).alias("sensor"), *[some(k % 3 == 0, v).alias(f"q_{c}") for c, v in zip(spatial.BOX, BBOX, strict=True)],
+    )
+
+
+def _vectors() -> str:
+    # a place adds nothing to a concept that it belongs to
+    rows = [(i, j, encode_text(concept if concept == "water" else concept + place, DIM)) for i, (_, concept) in enumerate(ASKED_FOR) for j, (_, place) in enumerate(PLACES)]
+    return ", ".join(f"({i}, {j}, CAST({v!r} AS DOUBLE[]))" for i, j, v in rows)
+
+
+@register("search_text_batch", f"""WITH {P.TILES},
+v(i, j, vec) AS (VALUES {_vectors()}),
+q AS (SELECT s_suppkey AS query_id, vec, s_suppkey % 5 = 0 OR s_suppkey % 2 = 0 AS dated, s_suppkey % 11 = 0 AS sensed, s_suppkey % 3 = 0 AS boxed,
+    CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(s_suppkey % 20 AS INT) END AS date_from, CASE WHEN s_suppkey % 5 < 3 THEN (s_suppkey % 5) / 20.0 END AS least
+  FROM supplier JOIN v ON s_suppkey % 7 = i AND s_suppkey % 3 = j),
+hits AS (SELECT q.*, t.*, e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), q.vec) AS sim FROM q JOIN tiles t
+    ON (q.date_from IS NULL OR acquisition_time >= q.date_from) AND (least IS NULL OR quality_score >= least) AND (NOT sensed OR lower(sensor) = 'click')
+    AND (NOT boxed OR (max_x >= -150.0 AND min_x <= 120.0 AND max_y >= -60.0 AND min_y <= 70.0)) JOIN embeddings e ON e.vec_id = t.tile_id),
+pool AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 30),
+parts AS (SELECT *, greatest(least(sim, 1.0), 0.0) AS semantic, quality_score AS quality,
+    (CASE WHEN sensed THEN 1.0 ELSE 0.0 END + greatest(least(1 - cloud_percentage / 100, 1.0), 0.0) + greatest(least(valid_pixel_percentage / 100, 1.0), 0.0)) / CASE WHEN sensed THEN 3 ELSE 2 END AS metadata,
+    greatest(0.0, least(max_x, 120.0) - greatest(min_x, -150.0)) * greatest(0.0, least(max_y, 70.0) - greatest(min_y, -60.0)) / ((max_x - min_x) * (max_y - min_y)) AS spatial FROM pool),
+ranked AS (SELECT *, (semantic * 0.45 + quality * 0.15 + metadata * 0.1 + CASE WHEN boxed THEN spatial * 0.1 ELSE 0 END) / (0.7 + CASE WHEN boxed THEN 0.1 ELSE 0 END) AS final_score FROM parts),
+best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, location_key ORDER BY final_score DESC, tile_id) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, tile_id) AS rank FROM best)
+SELECT query_id, CAST(rank AS INT) AS rank, tile_id, location_key, round(semantic, 6) AS semantic, round(final_score, 6) AS final_score, round(0.5 * final_score + 0.5 * least(semantic, quality), 6) AS confidence FROM top WHERE rank <= 10""")
+def search_text_batch(spark, sf_dir):
+    """From the text of every query to its ranked tiles."""
+    out = batch_search.search_texts(_composed(spark, sf_dir), P.tiles(spark, sf_dir), P.embeddings(spark, sf_dir), 10, dim=DIM)
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("query_id", "rank", "tile_id", "location_key", r("semantic"), r("final_score"), r("confidence"))
