@@ -61,28 +61,117 @@ def kmeans_labels(members: DataFrame, n_clusters: int, seed: int = 0) -> DataFra
 
 
 #: Vectors on either side of a block.
-BLOCK = 1024
+BLOCK = 2048
+#: Pivots at most, and vectors that the choice of their number looks at.
+MAX_PIVOTS = 1024
+PLAN_ROWS = 4096
+
+
+class PivotPlan:
+    """Pivots, and which cells and rings a vector lives in and visits within a radius (ClusterJoin, Das Sarma et al., 2014).
+
+    A vector lives in the cell of its nearest pivot. Whoever is within the radius of a vector of cell j is no further than the radius beyond the plane
+    halfway between its own pivot and j's, so it visits only such cells; and as distances to j's pivot differ by
+    the radius at most (triangle inequality), only three rings of the radius' width around that pivot.
+    """
+
+    def __init__(self, pivots: np.ndarray, radius: float):
+        self.pivots, self.radius = pivots, radius * (1 + 1e-9) + 1e-9  # above what rounding can add
+        square = (pivots**2).sum(1)
+        self.square = square
+        self.apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * pivots @ pivots.T, 0))
+
+    def places(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's home cell and ring, and (vector, cell, ring) of its visits."""
+        far = np.maximum((v**2).sum(1)[:, None] + self.square[None, :] - 2 * v @ self.pivots.T, 0)
+        home = far.argmin(1)
+        beyond = far - far[np.arange(len(v)), home][:, None]
+        who, cell = np.nonzero(beyond <= 2 * self.radius * self.apart[home] + 1e-9)
+        ring = np.floor(np.sqrt(far) / self.radius).astype(np.int64)
+        return home, ring[np.arange(len(v)), home], np.repeat(who, 3), np.repeat(cell, 3), (ring[who, cell][:, None] + np.array([-1, 0, 1])).ravel()
+
+    def work(self, v: np.ndarray) -> tuple[float, float]:
+        """(share of all pairs that meet, visits a vector), estimated from the vectors ``v``."""
+        home, ring, _, cell, at = self.places(v)
+        lives, n_lives = np.unique(np.stack([home, ring]), axis=1, return_counts=True)
+        visits, n_visits = np.unique(np.stack([cell, at]), axis=1, return_counts=True)
+        seen = {tuple(k): n for k, n in zip(visits.T.tolist(), n_visits.tolist(), strict=True)}
+        return sum(n * seen.get(tuple(k), 0) for k, n in zip(lives.T.tolist(), n_lives.tolist(), strict=True)) / len(v) ** 2, len(cell) / len(v)
+
+
+def pivot_plan(unit: DataFrame, n: int, radius: float) -> PivotPlan:
+    """As many pivots as make the least work, by an estimate from a sample of bounded size; results don't depend on it."""
+    sample = np.array([r.v for r in bottom_k(unit, PLAN_ROWS).orderBy("tile_id").select("v").collect()], dtype=np.float64)
+    best = None
+    m = 1
+    while m <= min(MAX_PIVOTS, max(1, len(sample) // 4)):
+        plan = PivotPlan(sample[:: len(sample) // m][:m], radius)
+        pairs, visits = plan.work(sample)
+        # a pair costs a product; a visit carries a vector through the shuffle, as dear as some thousand products; a pivot is a product
+        cost = pairs * n + 1000 * visits + m
+        if best is None or cost < best[0]:
+            best = (cost, plan)
+        m *= 4
+    return best[1]
+
+
+def _placed(unit: DataFrame, plan: PivotPlan) -> DataFrame:
+    """(tile_id, v, cell, ring, visits): a row for each vector's home, and a row for each of its visits."""
+    sent = unit.sparkSession.sparkContext.broadcast(plan)
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                piece = batch.slice(low, BLOCK)
+                home, ring, who, cell, at = sent.value.places(np.array(piece.column("v").to_pylist(), dtype=np.float64).reshape(piece.num_rows, -1))
+                rows = piece.take(pa.array(np.concatenate([np.arange(len(home)), who])))
+                more = [pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(np.concatenate([ring, at]).astype(np.int64)), pa.array(np.arange(rows.num_rows) >= len(home))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], ["tile_id", "v", "cell", "ring", "visits"])
+
+    return unit.mapInArrow(run, f"tile_id {unit.schema['tile_id'].dataType.simpleString()}, v array<double>, cell int, ring long, visits boolean")
+
+
+def _planned(members: DataFrame, eps: float):
+    unit = cut(members.select("tile_id", normalised(F.col("vector")).alias("v")))
+    n = unit.count()
+    if not n:
+        return unit, n, None, None
+    plan = pivot_plan(unit, n, (2 * eps) ** 0.5)
+    placed = _placed(unit, plan)
+    # a row for each cell and ring that is anyone's home
+    sizes = cut(placed.groupBy("cell", "ring").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("guests")).filter("homes > 0"))
+    return unit, n, placed, (plan, sizes)
+
+
+def join_work(members: DataFrame, eps: float) -> DataFrame:
+    """One row: ``n`` vectors, ``pairs`` that :func:`neighbours` compares, comparisons with pivots, and ``copies`` of vectors that it shuffles, blocks included."""
+    unit, n, _, more = _planned(members, eps)
+    spark = members.sparkSession
+    if more is None:
+        return spark.createDataFrame([(0, 0, 0, 0)], "n long, pairs long, pivot_pairs long, copies long")
+    plan, sizes = more
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    return sizes.agg(F.lit(n).cast("long").alias("n"), F.sum(F.col("homes") * F.col("guests")).alias("pairs"), F.lit(n * len(plan.pivots)).cast("long").alias("pivot_pairs"), F.sum(F.col("homes") * blocks("guests") + F.col("guests") * blocks("homes")).alias("copies"))
 
 
 def neighbours(members: DataFrame, eps: float) -> DataFrame:
-    """(a, b) with a cosine distance of at most ``eps``, both ways, itself included.
+    """(a, b) with a cosine distance of at most ``eps``, both ways, itself included (a zero vector isn't its own neighbour).
 
-    Exact: vectors are dealt to bands of their projection on a fixed direction; unit vectors within ``eps`` differ by
-    at most sqrt(2 eps) in length, so each band meets itself and the two beside it only. Bands meet in pairs of blocks
-    of bounded size, each pair of vectors in one of them, by a matrix product.
+    Exact, by :class:`PivotPlan`: unit vectors within ``eps`` are sqrt(2 eps) apart at most. Each pair meets once, where ``b`` lives; cells and rings
+    with many vectors are dealt out in blocks of bounded size on either side, and a block is a matrix product. How much the pivots save depends on the
+    data: of vectors in many dimensions without clusters nearly all cells are within a wide radius, and then one pivot and plain blocks remain. :func:`join_work` counts it.
     """
-    width = (2 * eps) ** 0.5
-    unit = members.select("tile_id", normalised(F.col("vector")).alias("v"))
-    # the direction: alternating signs over all dimensions, of unit length
-    side = F.aggregate(F.transform(F.col("v"), lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda acc, x: acc + x) / F.sqrt(F.size("v").cast("double"))
-    banded = cut(unit.withColumn("band", F.floor(side / width)))
-    blocks = max(1, -(-banded.count() // BLOCK))
-    own = F.pmod(F.xxhash64("tile_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = banded.select("tile_id", "v", own.alias("p"), every.alias("q"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1).alias("bands"))
-    left = left.select("tile_id", "v", "p", "q", F.explode("bands").alias("band"), F.lit(True).alias("left"))
-    right = banded.select("tile_id", "v", every.alias("p"), own.alias("q"), "band", F.lit(False).alias("left"))
     kind = members.schema["tile_id"].dataType
+    unit, n, placed, more = _planned(members, eps)
+    if more is None:
+        return unit.select(F.col("tile_id").alias("a"), F.col("tile_id").alias("b")).limit(0)
+    sizes = more[1]
+    met = placed.join(F.broadcast(sizes), ["cell", "ring"])  # a row a cell and ring: some rings of at most MAX_PIVOTS pivots
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("tile_id", F.lit(7)), blocks(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    homes = met.filter("not visits and guests > 0").select("tile_id", "v", "cell", "ring", mine("homes").alias("p"), F.explode(every("guests")).alias("q"), F.lit(False).alias("left"))
+    guests = met.filter("visits").select("tile_id", "v", "cell", "ring", mine("guests").alias("q"), F.explode(every("homes")).alias("p"), F.lit(True).alias("left"))
 
     def run(group: pa.Table) -> pa.Table:
         first = group.column("left").to_numpy(zero_copy_only=False)
@@ -94,10 +183,19 @@ def neighbours(members: DataFrame, eps: float) -> DataFrame:
         near = np.nonzero(1 - v[a] @ v[b].T <= eps)
         return pa.table([ids.take(pa.array(a[near[0]])), ids.take(pa.array(b[near[1]]))], ["a", "b"])
 
-    rows = left.unionByName(right).select(F.struct("band", "p", "q").alias("unit"), "tile_id", "v", "left")
+    rows = guests.unionByName(homes).select(F.struct("cell", "ring", "p", "q").alias("unit"), "tile_id", "v", "left")
     return rows.groupBy("unit").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: their numbers in the order of ``column`` from 0 on, sorted by ranges and numbered by part."""
+    ordered = cut(rows.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    offsets = ordered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_before")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return ordered.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_part", "_before", "_in")
+
+
 def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, rounds: int = 40) -> DataFrame:
     """``(tile_id, cluster_id, is_core)``; noise has -1. Clusters are numbered by their smallest core id.
 
@@ -120,7 +218,7 @@ def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, r
     else:
         raise RuntimeError(f"labels still move after {rounds} rounds")
     border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("root"))
-    roots = label.select(F.col("label").alias("root")).distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("root")) - 1)
+    roots = numbered(label.select(F.col("label").alias("root")).distinct(), "root", "cluster_id")
     tagged = members.select(F.col("tile_id").alias("a")).join(border, "a", "left").join(roots, "root", "left").join(label.select("a", F.lit(True).alias("is_core")), "a", "left")
     return tagged.select(F.col("a").alias("tile_id"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
@@ -229,7 +327,7 @@ def discover(members: DataFrame, algorithm: str = "kmeans", n_clusters: int = 8,
     All members are clustered, unless the caller asks for a :func:`bounded_sample` by ``cap``; ``total_matching`` and ``sampled`` tell.
     """
     cut_to = members if cap is None else bounded_sample(members, cap).drop("total_matching", "sampled")
-    rows = cut_to.persist()
+    rows = cut(cut_to)
     if algorithm == "dbscan":
         labelled = rows.join(dbscan_labels(rows, eps, min_cluster_size).drop("is_core"), "tile_id")
     elif algorithm == "kmeans":

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import catalogue_queries, change_queries, geometry_queries, review_queries, search_queries  # noqa: F401
+from . import catalogue_queries, change_queries, geometry_queries, pixel_queries, review_queries, search_queries  # noqa: F401

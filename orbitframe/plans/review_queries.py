@@ -176,6 +176,55 @@ def cluster_neighbours(spark, sf_dir):
     return clusters.neighbours(P.embeddings(spark, sf_dir), 0.65).groupBy("a").agg(F.count("*").alias("n"))
 
 
+def _near(eps: float) -> str:
+    dot = lambda a, b: f"list_dot_product(CAST({a}.embedding AS DOUBLE[]), CAST({b}.embedding AS DOUBLE[]))"
+    return f"near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON 1 - {dot('a', 'b')} / sqrt({dot('a', 'a')} * {dot('b', 'b')}) <= {eps})"
+
+
+@register("cluster_neighbours_near", f"WITH {_near(0.15)} SELECT a, CAST(count(*) AS BIGINT) AS n FROM near GROUP BY a")
+def cluster_neighbours_near(spark, sf_dir):
+    return clusters.neighbours(P.embeddings(spark, sf_dir), 0.15).groupBy("a").agg(F.count("*").alias("n"))
+
+
+#: Customers as directions in space, by their keys.
+POINTS = "points AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 2001 - 1000 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 2003 - 1001 AS DOUBLE) AS y, CAST(c_custkey * 1299709 % 1999 - 999 AS DOUBLE) AS z FROM customer)"
+
+
+def _directions(spark, sf_dir):
+    k = F.col("c_custkey").cast("long")
+    return P.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tile_id"), F.array((k * 7919 % 2001 - 1000).cast("double"), (k * 104729 % 2003 - 1001).cast("double"), (k * 1299709 % 1999 - 999).cast("double")).alias("vector"))
+
+
+@register("cluster_neighbours_directions", f"""WITH {POINTS}
+SELECT a.id AS a, CAST(count(*) AS BIGINT) AS n FROM points a JOIN points b ON 1 - (a.x * b.x + a.y * b.y + a.z * b.z) / sqrt((a.x * a.x + a.y * a.y + a.z * a.z) * (b.x * b.x + b.y * b.y + b.z * b.z)) <= 0.002 GROUP BY a.id""")
+def cluster_neighbours_directions(spark, sf_dir):
+    """In few dimensions, where pivots tell vectors apart."""
+    return clusters.neighbours(_directions(spark, sf_dir), 0.002).groupBy("a").agg(F.count("*").alias("n"))
+
+
+@register("cluster_join_work")
+def cluster_join_work(spark, sf_dir):
+    """What the radius joins of the three queries compare and copy."""
+    rows = [("embeddings", 0.65, P.embeddings(spark, sf_dir)), ("embeddings", 0.15, P.embeddings(spark, sf_dir)), ("directions", 0.002, _directions(spark, sf_dir))]
+    out = None
+    for name, eps, members in rows:
+        work = clusters.join_work(members, eps).select(F.lit(name).alias("members"), F.lit(eps).alias("eps"), "n", "pairs", "pivot_pairs", "copies", (F.col("pairs") / (F.col("n") * F.col("n"))).alias("share_of_all_pairs"))
+        out = work if out is None else out.unionByName(work)
+    return out
+
+
+@register("cluster_dbscan_labels", f"""WITH RECURSIVE {_near(0.65)},
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4),
+linked AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT a, a AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN linked l ON l.a = r.a),
+label AS (SELECT a, min(root) AS root FROM reach GROUP BY a),
+border AS (SELECT n.a, min(l.root) AS root FROM near n JOIN label l ON l.a = n.b GROUP BY n.a),
+ids AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT root FROM label))
+SELECT vec_id AS tile_id, CAST(coalesce(i.cluster_id, -1) AS INT) AS cluster_id, vec_id IN (FROM core) AS is_core FROM embeddings LEFT JOIN border ON border.a = vec_id LEFT JOIN ids i ON i.root = border.root""")
+def cluster_dbscan_labels(spark, sf_dir):
+    return clusters.dbscan_labels(P.embeddings(spark, sf_dir), 0.65, 4)
+
+
 @register("cluster_kmeans")
 def cluster_kmeans(spark, sf_dir):
     rows = P.embeddings(spark, sf_dir).select("tile_id", "vector", F.col("tile_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
