@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut, let, require, table
+from .runtime import cut, let, require, spread_join, table
 
 MARKS = r"^(?:[ \t]*>)+"
 ATTRIBUTION = r"(?i)^\s*(?:on\b.*|.{1,80}) wrote:\s*$"
@@ -48,11 +48,12 @@ def normalised(text: Column) -> Column:
 
 
 def runs(lines: Column) -> Column:
-    """Runs of lines of one level as ``struct<level, body>``, the lines joined by spaces."""
-    same = lambda acc, x: F.coalesce(F.element_at(acc, -1)["level"] == x["level"], F.lit(False))
-    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.element_at(acc, -1)["body"], x["body"]).alias("body"))))
-    empty = F.array().cast("array<struct<level:int,body:string>>")
-    return F.aggregate(lines, empty, lambda acc, x: F.when((F.size(acc) > 0) & F.when(F.size(acc) > 0, same(acc, x)).otherwise(False), F.when(F.size(acc) > 0, grown(acc, x)).otherwise(acc)).otherwise(F.concat(acc, F.array(x))))
+    """Runs of lines of one level as ``struct<level, body>``, the lines joined by spaces; each line is copied once."""
+    level = lambda a, i: F.get(a, i)["level"]
+    starts = lambda a: F.filter(F.transform(a, lambda _, i: F.when((i == 0) | (level(a, i) != level(a, i - 1)), i)), lambda i: i.isNotNull())
+    body = lambda a, first, last: F.array_join(F.transform(F.slice(a, first + 1, last - first), lambda x: x["body"]), " ")
+    run = lambda a, s: F.transform(s, lambda first, k: F.struct(level(a, first).alias("level"), body(a, first, F.coalesce(F.get(s, k + 1), F.size(a))).alias("body")))
+    return let(lines, lambda a: let(starts(a), lambda s: run(a, s)))
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
@@ -71,8 +72,12 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     ))
     asked = rows.select("conv_id", "turn", F.explode(F.array_distinct(F.concat("passages", "quoted"))).alias("q")).filter(F.length("q.body") >= MIN_QUOTED)
     asked = asked.select("conv_id", "turn", F.col("q.level").alias("level"), F.length("q.body").alias("size"), F.sha2("q.body", 256).alias("hash")).distinct()
+    asked = cut(asked)
     origin = rows.select("conv_id", "turn", F.explode("own").alias("body")).select("conv_id", F.sha2("body", 256).alias("hash"), "turn").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    met = asked.join(origin, ["conv_id", "hash"]).filter("origin < turn")
+    # a line that many messages of a conversation quote is asked for once: its askers are dealt out by how many they are
+    many = asked.groupBy("conv_id", "hash").agg(F.count("*").alias("askers"))
+    origin = cut(many.join(origin, ["conv_id", "hash"]))
+    met = spread_join(asked, origin, ["conv_id", "hash"], "askers", asked.count()).filter("origin < turn")
     votes = met.groupBy("conv_id", "turn", "origin").agg(F.sum(F.when(F.col("level") == 1, F.col("size")).otherwise(0)).alias("weight"), F.count("*").alias("links"))
     parents = votes.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("weight") > 0, F.struct("weight", "origin"))).alias("best"), F.sum("links").alias("n_linked"))
     parents = cut(parents.select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .runtime import cut, documents, let, require, sized, table
+from .runtime import cut, documents, let, require, sized, table, with_row
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -136,6 +136,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(sized(bad), "doc_id", "left_anti")
+    """Pipeline stage: rows that hold a benchmark item go, whatever their ids."""
+    rows = with_row(docs)
+    bad = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(sized(bad), "_row", "left_anti").select(*docs.columns)

@@ -56,7 +56,7 @@ from pyspark.sql.window import Window
 from . import runtime
 from .components import connected_components
 from .kernels import mix, shingle_sets, tidy
-from .runtime import cut, documents, drop, require, shuffle_partitions, sized, spread_join
+from .runtime import cut, documents, drop, require, shuffle_partitions, sized, spread_join, with_row
 
 #: Shingles of a document's ascending hashes that step 2 looks at.
 HALF = 2
@@ -507,6 +507,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies the document with the smallest id stays."""
-    gone = ngram_jaccard_join(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(sized(gone), "doc_id", "left_anti")
+    """Pipeline stage: of each class of near copies one row stays, whatever their ids: the one with the smallest (rows without an id last)."""
+    rows = with_row(docs)
+    classes = ngram_jaccard_join(rows.select("_row", "text"), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    others = cut(classes.filter("component_id <> _row"))
+    members = others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = cut(rows.select("_row", "doc_id").join(sized(members), "_row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row"))["_row"].alias("_row"))
+    gone = members.select("_row").join(sized(first.select("_row")), "_row", "left_anti")
+    return rows.join(sized(gone), "_row", "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,20 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, t
     return rows.join(hot, keys).unionByName(cold)
 
 
+def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a number for each row, the same whenever they are read.
+
+    Of a file table it is the file's number and the row's place in the file, whatever splits the file is read in; other rows are written first.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:  # not read from files
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()))
+    files = sorted(r._path for r in placed.select("_path").distinct().collect())  # a row a file
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_path string, _file long")
+    return placed.join(F.broadcast(numbers), "_path").withColumn(name, F.col("_file") * (1 << 40) + F.col("_place")).drop("_path", "_place", "_file")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it by name inside ``body``.
 

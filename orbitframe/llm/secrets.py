@@ -33,8 +33,8 @@ KEYWORDS = r"password|passwd|secret|token|api_?key"
 ASSIGN = rf"(?i)(?:{KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-IDENTIFIER = r"(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}"
-ENDPOINT = r"(?i)(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh|ftp)://[^\s\"'<>]{3,200}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,100}(?::[0-9]{2,5})?)"
+IDENTIFIER = r"(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}+"
+ENDPOINT = r"(?i)(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh|ftp)://[^\s\"'<>]{3,}+|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}+(?::[0-9]{2,5}+)?)"
 #: A run of 16 characters or more; one with a digit and a letter counts.
 WEAK = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 SCOPE = 300

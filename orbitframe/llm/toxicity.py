@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, mix, pieces, release, tidy, words_of
-from .runtime import documents, require, sized, table
+from .runtime import documents, require, sized, table, with_row
 
 BITS = 20
 MAX_TRAIN = 12_000
@@ -163,6 +163,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored as toxic go."""
-    bad = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id")
-    return docs.join(sized(bad), "doc_id", "left_anti")
+    """Pipeline stage: rows scored as toxic go, whatever their ids."""
+    rows = with_row(docs)
+    scored = score(rows.select(F.col("_row").alias("doc_id"), "text"), fit(docs, table(spark, sf_dir, "labels")))
+    bad = scored.filter(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_row"))
+    return rows.join(sized(bad), "_row", "left_anti").select(*docs.columns)

@@ -674,3 +674,39 @@ def test_pipeline_against_brute_force(spark, sf_dir, docs, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
     plain = [k for k in out if not personal(texts[k])]
     assert plain and all(out[k] == model.encode(texts[k]) for k in plain)
+
+
+def test_pipeline_stages_reject_rows_not_ids(spark, sf_dir, tmp_path):
+    """Of four equal rows one stays, whatever their ids; so it is with rows of one id and different texts, from files or not."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(5, text), (5, text), (None, text), (7, text), (8, "other " + text[::-1]), (8, "short"), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(str(tmp_path / "d"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "d"))):
+        left = [(r.doc_id, r.text) for r in ngram_jaccard.keep_one_of_each(spark, docs, sf_dir).collect()]
+        assert sorted(left, key=repr) == sorted([rows[0], *rows[4:]], key=repr)
+        assert sorted(runtime.with_row(docs).columns) == sorted([*docs.columns, "_row"])
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(1, item), (1, "clean words only here"), (None, item), (None, "fine")], "doc_id long, text string")
+    assert sorted(map(tuple, decontaminate.drop_contaminated(spark, docs, sf_dir).collect()), key=repr) == sorted([(1, "clean words only here"), (None, "fine")], key=repr)
+
+
+def test_secret_parts_have_no_longest_length(spark):
+    user, host = "user=" + "a.b-" * 25, "https://example.org/" + "p/q" * 1700
+    long_secret = "x7Q" * 2000
+    docs = spark.createDataFrame([(1, f"{user} then {long_secret}"), (2, f"{host} and Zz9Zz9Zz9Zz9Zz9Zz9Zz")], "doc_id long, text string")
+    found = {r.doc_id: {(s.kind, s.start, s.end) for s in r.secret_linked} for r in secrets.scan(docs).collect()}
+    assert ("identifier", 0, len(user)) in found[1] and ("weak", len(user) + 6, len(user) + 6 + len(long_secret)) in found[1]
+    assert ("endpoint", 0, len(host)) in found[2] and ("weak", len(host) + 5, len(host) + 25) in found[2]
+
+
+def test_pii_has_thresholds_on_small_tables(spark, docs):
+    model = pii.fit(docs)
+    assert model.trees and set(model.thresholds) == set(pii.KINDS)
+
+
+def test_quotations_of_very_long_messages(spark):
+    lines = "\n".join(f"> quoted {k}\nplain {k}" for k in range(8000))
+    rows = spark.createDataFrame([(1, 0, "user", "quoted 5"), (1, 1, "user", lines), (1, 2, "user", "> plain 7\nyes")], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat_quotes.link_quotes(rows).collect()}
+    assert got[1].n_quoted == 8000 and got[1].parent_turn == 0 and got[2].parent_turn == 1
