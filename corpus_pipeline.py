@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each a table for the next.
 
-Rows with a null id stay: no stage that rejects by id can name them.
+Stages reject rows by their place in the stage's table, so equal ids and rows without one are told apart.
 """
 
 from __future__ import annotations
