@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import export, pixels, temporal
+from ..session import shared_folder
+from ..streaming import change as stream
 from . import proxies as P
 from .registry import register
 
@@ -47,6 +51,15 @@ def change_consensus(spark, sf_dir):
     return out.select("location_key", "change_type", "earliest_tile_id", "n_support", "n_after", "transient", *[F.round(c, 6).alias(c) for c in ("persistence", "agreement", "confidence")])
 
 
+@register("change_stream", f"WITH {CONSENSUS} SELECT location_key, change_type, CAST(n_support AS BIGINT) AS n_support, CAST(n_after AS BIGINT) AS n_after, round(confidence, 6) AS confidence FROM final")
+def change_stream(spark, sf_dir):
+    """The same changes from the events read as a stream, with each location's observations as state."""
+    events = P.observations_of(spark.readStream.schema(P.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*"))  # a pattern, as the source takes a file by a pattern only
+    folder = f"{shared_folder(spark)}/change-stream-{uuid.uuid4().hex}"
+    stream.start(events, f"{folder}/results", f"{folder}/checkpoint", min_quality=0.3, delay="3650 days").awaitTermination()
+    return stream.current(spark, f"{folder}/results").select("location_key", "change_type", "n_support", "n_after", F.round("confidence", 6).alias("confidence"))
+
+
 @register("change_reported", f"WITH {CONSENSUS} SELECT location_key, change_type, round(confidence, 6) AS confidence FROM final WHERE confidence >= 0.2 AND change_type <> 'none'")
 def change_reported(spark, sf_dir):
     return temporal.reported(_consensus(spark, sf_dir)).select("location_key", "change_type", F.round("confidence", 6).alias("confidence"))

@@ -42,9 +42,12 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations with the score and type that a pair ending there would have."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("tile_id"), F.col("user_id").alias("location_key"), F.col("ts").alias("acquisition_time"), F.least(F.col("value") / 100, F.lit(1.0)).alias("quality_score"), (_k() >= 5).alias("usable_for_change"), (_k() / 100).alias("score"), F.col("event_type").alias("change_type"), F.lit(1.0).alias("registration"))
+    return observations_of(table(spark, sf_dir, "events"))
+
+
+def observations_of(events: DataFrame) -> DataFrame:
+    """Observations with the score and type that a pair ending there would have; ``events`` may be a stream."""
+    return events.select(F.col("event_id").alias("tile_id"), F.col("user_id").alias("location_key"), F.col("ts").alias("acquisition_time"), F.least(F.col("value") / 100, F.lit(1.0)).alias("quality_score"), (_k() >= 5).alias("usable_for_change"), (_k() / 100).alias("score"), F.col("event_type").alias("change_type"), F.lit(1.0).alias("registration"))
 
 
 OBSERVATIONS = """observations AS (

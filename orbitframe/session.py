@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; only a local session may lack it, and gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
+
 
-    The folder is ``spark.checkpoint.dir``; only a local session may lack it, and gets a temporary one.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's shared checkpoint folder and continue from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
