@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import cut
 
 ENTITY_TYPES = ("scene", "tile", "embedding", "search_query", "search_result", "change_analysis")
 #: Results lead to tiles, queries and analyses, these to tiles, and tiles to scenes.
@@ -30,15 +33,22 @@ def parent_edges(results: DataFrame, tiles: DataFrame, evidence: DataFrame) -> D
 def ancestors(starts: DataFrame, edges: DataFrame, depth: int = LONGEST_PATH) -> DataFrame:
     """``starts(start_type, start_id)`` with every entity they derive from, themselves included, and its least ``hops``.
 
-    Unrolled to the bounded depth. Going up, only the distinct entities of each level are kept; coming down, each gets what its
-    parents derive from. Entities that many starts share are thus followed once, and all starts meet only in the last join.
+    Unrolled to the bounded depth, each level a written table. Going up, only the distinct entities of each level are kept, and only edges from
+    types that a level has are read; coming down, each gets what its parents derive from. Entities that many starts share are thus followed once, and all starts
+    meet only in the last join.
     """
-    up = edges.select(F.col("child_type").alias("type"), F.col("child_id").alias("id"), "parent_type", "parent_id")
+    up = cut(edges.select(F.col("child_type").alias("type"), F.col("child_id").alias("id"), "parent_type", "parent_id"))
     levels = [starts.select(F.col("start_type").alias("type"), F.col("start_id").cast("string").alias("id")).distinct()]
-    steps_up = []
+    levels[0] = cut(levels[0])
+    steps_up: list[DataFrame] = []
     for _ in range(depth):
-        steps_up.append(up.join(levels[-1], ["type", "id"], "left_semi"))
-        levels.append(steps_up[-1].select(F.col("parent_type").alias("type"), F.col("parent_id").alias("id")).distinct())
+        types = [r.type for r in levels[-1].select("type").distinct().collect()]  # a few names
+        step = cut(up.filter(F.col("type").isin(types)).join(levels[-1], ["type", "id"], "left_semi"))
+        above = cut(step.select(F.col("parent_type").alias("type"), F.col("parent_id").alias("id")).distinct())
+        if above.isEmpty():
+            break
+        steps_up.append(step)
+        levels.append(above)
     own = lambda level: level.select("type", "id", F.col("type").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(0).alias("hops"))
     found = own(levels[-1])
     for level, step in zip(reversed(levels[:-1]), reversed(steps_up), strict=True):
@@ -56,6 +66,13 @@ def steps(reached: DataFrame, records: DataFrame) -> DataFrame:
     return own.unionByName(vectors).distinct().join(records, ["entity_type", "entity_id"])
 
 
+def ordered_steps(reached: DataFrame, records: DataFrame) -> DataFrame:
+    """:func:`steps` with ``step``: a start's records in the order of time (those without one first), type, id and the rest of the record, from 1."""
+    rest = [c for c in records.columns if c not in ("created_at", "entity_type", "entity_id")]
+    order = Window.partitionBy("start_type", "start_id").orderBy(F.asc_nulls_first("created_at"), "entity_type", "entity_id", *rest)
+    return steps(reached, records).withColumn("step", F.row_number().over(order))
+
+
 def summary(reached: DataFrame, records: DataFrame, scenes: DataFrame) -> DataFrame:
     """One row a start: the last non-null value of each attribute in (time, type) order, counts, and ``complete``."""
     order = F.struct(F.col("created_at"), F.col("entity_type"))

@@ -140,7 +140,7 @@ def _edges(spark, sf_dir):
     out = edge("lineitem", "line", "concat_ws('-', l_orderkey, l_linenumber)", "order", "l_orderkey")
     for args in (("orders", "order", "o_orderkey", "customer", "o_custkey"), ("customer", "customer", "c_custkey", "nation", "c_nationkey"), ("nation", "nation", "n_nationkey", "region", "n_regionkey")):
         out = out.unionByName(edge(*args))
-    return out.distinct()
+    return out  # each edge once, as keys are
 
 
 @register("lineage_ancestors", f"""WITH RECURSIVE {EDGES},
@@ -152,6 +152,19 @@ def lineage_ancestors(spark, sf_dir):
     return lineage.ancestors(starts, edges).select("start_id", "entity_type", "entity_id", "hops")
 
 
+@register("lineage_steps", """WITH up AS (SELECT 'order' AS et, o_orderkey AS id, o_orderkey AS start FROM orders UNION ALL SELECT 'customer', o_custkey, o_orderkey FROM orders),
+rec AS (SELECT 'order' AS et, l_orderkey AS id, l_shipdate AS created_at, l_linestatus AS model FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'customer', o_custkey, min(o_orderdate), 'C' FROM orders GROUP BY o_custkey)
+SELECT CAST(start AS VARCHAR) AS start_id, CAST(row_number() OVER (PARTITION BY start ORDER BY created_at NULLS FIRST, up.et, up.id, model) AS INT) AS step, up.et AS entity_type, CAST(up.id AS VARCHAR) AS entity_id, model FROM up JOIN rec ON rec.et = up.et AND rec.id = up.id""")
+def lineage_steps(spark, sf_dir):
+    """The records of each order and its customer, in the order of time."""
+    orders, lines = P.table(spark, sf_dir, "orders"), P.table(spark, sf_dir, "lineitem")
+    reach = lambda kind, c: orders.select(F.lit("order").alias("start_type"), F.col("o_orderkey").cast("string").alias("start_id"), F.lit(kind).alias("entity_type"), F.col(c).cast("string").alias("entity_id"))
+    own = lines.filter("l_linenumber = 1").select(F.lit("order").alias("entity_type"), F.col("l_orderkey").cast("string").alias("entity_id"), F.col("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("model"))
+    of_customer = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at")).select(F.lit("customer").alias("entity_type"), F.col("o_custkey").cast("string").alias("entity_id"), "created_at", F.lit("C").alias("model"))
+    rows = lineage.ordered_steps(reach("order", "o_orderkey").unionByName(reach("customer", "o_custkey")), own.unionByName(of_customer))
+    return rows.select("start_id", "step", "entity_type", "entity_id", "model")
+
+
 @register("lineage_latest", """SELECT 'order' AS start_type, CAST(o_orderkey AS VARCHAR) AS start_id, CAST(count(*) AS BIGINT) AS n_steps, arg_max(l_linestatus, (l_shipdate, l_partkey)) AS embedding_model
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def lineage_latest(spark, sf_dir):
