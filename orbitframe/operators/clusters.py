@@ -223,6 +223,12 @@ def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, r
     return tagged.select(F.col("a").alias("tile_id"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
+def label_counts(labels: DataFrame) -> DataFrame:
+    """One row: members, clusters, cores, and members that no cluster has (noise)."""
+    noise = F.col("cluster_id") < 0
+    return labels.agg(F.count("*").alias("members"), F.countDistinct(F.when(~noise, F.col("cluster_id"))).alias("clusters"), F.count_if("is_core").alias("cores"), F.count_if(noise).alias("noise"))
+
+
 def centroids(labelled: DataFrame) -> DataFrame:
     """(cluster_id, centroid): the unit mean vector of each cluster, by dimension sums that combine before the shuffle."""
     parts = labelled.filter("cluster_id >= 0").select("cluster_id", F.posexplode("vector").alias("d", "x"))

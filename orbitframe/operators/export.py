@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.spatial import geojson
 from ..functions.times import iso
@@ -49,6 +50,12 @@ def search_rows(results: DataFrame) -> DataFrame:
     return out.select(*[pick(c).alias(c) for c in SEARCH_COLUMNS])
 
 
+def evidence_by_time(evidence: DataFrame) -> DataFrame:
+    """``evidence`` with ``place``: the order of an analysis' pairs by the time of the later tile (those without one first), from 1."""
+    order = Window.partitionBy("analysis_id").orderBy(F.asc_nulls_first("after_time"), "after_tile_id")
+    return evidence.withColumn("place", F.row_number().over(order))
+
+
 def change_rows(analyses: DataFrame, evidence: DataFrame, tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """One row for each pair of evidence, with the sources of the analysis joined by semicolons."""
     scene_of = tiles.select("tile_id", "scene_id")

@@ -32,9 +32,14 @@ class SearchParams:
 
 
 def similar(tiles: DataFrame, embeddings: DataFrame, query: Column, k: int, where: TileFilter, model: tuple[str, str] | None = None) -> DataFrame:
-    """The ``k`` tiles that pass the filter and are most similar by the model's vectors: tile columns and ``sim``. Ties go by vector id."""
+    """The ``k`` tiles that pass the filter and are most similar by the model's vectors: tile columns and ``sim``. Ties go by vector id.
+
+    Of vectors with a ``type`` only those of images count.
+    """
     if model is not None:
         embeddings = embeddings.filter((F.col("model_name") == model[0]) & (F.col("model_version") == model[1]))
+    if "type" in embeddings.columns:
+        embeddings = embeddings.filter(F.col("type") == "image")
     vectors = embeddings.select("tile_id", "vector_id", "vector")
     scored = where.apply(tiles).join(vectors, "tile_id").withColumn("sim", dot(F.col("vector"), query)).drop("vector")
     return scored.orderBy(F.desc("sim"), "vector_id").limit(k)

@@ -51,6 +51,21 @@ def change_consensus(spark, sf_dir):
     return out.select("location_key", "change_type", "earliest_tile_id", "n_support", "n_after", "transient", *[F.round(c, 6).alias(c) for c in ("persistence", "agreement", "confidence")])
 
 
+@register("change_onsets", f"""WITH {CONSENSUS},
+seen AS (SELECT location_key, pair, tile_id, acquisition_time, ref_tile_id, ref_time, lag(tile_id) OVER w AS prev, lag(acquisition_time) OVER w AS prev_time FROM pairs WINDOW w AS (PARTITION BY location_key ORDER BY pair))
+SELECT s.location_key, s.tile_id AS earliest_tile_id, s.acquisition_time AS earliest_supported_time, coalesce(prev, ref_tile_id) AS last_unchanged_tile_id, coalesce(prev_time, ref_time) AS last_unchanged_time FROM seen s JOIN onsets o ON o.location_key = s.location_key AND o.onset = s.pair""")
+def change_onsets(spark, sf_dir):
+    out = _consensus(spark, sf_dir)
+    return out.select("location_key", "earliest_tile_id", F.col("earliest_supported_time").cast("timestamp_ntz").alias("earliest_supported_time"), "last_unchanged_tile_id", F.col("last_unchanged_time").cast("timestamp_ntz").alias("last_unchanged_time"))
+
+
+@register("change_evidence", f"WITH {SERIES} SELECT location_key AS analysis_id, tile_id AS after_tile_id, CAST(row_number() OVER (PARTITION BY location_key ORDER BY acquisition_time NULLS FIRST, tile_id) AS INT) AS place FROM pairs")
+def change_evidence(spark, sf_dir):
+    pairs = temporal.pairs(P.observations(spark, sf_dir), min_quality=0.3)
+    evidence = pairs.select(F.col("location_key").alias("analysis_id"), F.col("tile_id").alias("after_tile_id"), F.col("acquisition_time").alias("after_time"))
+    return export.evidence_by_time(evidence).select("analysis_id", "after_tile_id", "place")
+
+
 @register("change_stream", f"WITH {CONSENSUS} SELECT location_key, change_type, CAST(n_support AS BIGINT) AS n_support, CAST(n_after AS BIGINT) AS n_after, round(confidence, 6) AS confidence FROM final")
 def change_stream(spark, sf_dir):
     """The same changes from the events read as a stream, with each location's observations as state."""

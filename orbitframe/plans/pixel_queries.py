@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pixels, registration
+from ..operators import encoders, pixels, registration
 from . import proxies as P
 from .registry import register
 
@@ -183,3 +183,40 @@ cells AS (SELECT tile_id, col // 2 AS x, row // 2 AS y, avg(red) AS r, avg(green
 SELECT tile_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, {', '.join(f'CAST(floor(least(greatest(({c} - low) / greatest(high - low, 1e-6), 0.0), 1.0) * 255) AS INT) AS {c}' for c in 'rgb')} FROM cells JOIN ends USING (tile_id)""")
 def tile_thumbnails(spark, sf_dir):
     return pixels.thumbnails(_images(spark, sf_dir), size=12, tile_size=24)
+
+
+#: Over plain pixels (valid ones if there are fewer than 16): the descriptor's values, straight from the images.
+DESCRIBED = f"""{CLEAR},
+slope AS (SELECT tile_id, row, col, {_slope("bright", "row", "col", "tile_id")} AS gx, {_slope("bright", "col", "row", "tile_id")} AS gy FROM idx),
+many AS (SELECT tile_id, count(*) FILTER (plain) >= 16 AS enough FROM clear GROUP BY tile_id),
+used AS (SELECT c.*, gx, gy, sqrt(gx * gx + gy * gy) AS grad FROM clear c JOIN slope USING (tile_id, row, col) JOIN many USING (tile_id) WHERE CASE WHEN enough THEN plain ELSE valid END),
+st AS (SELECT tile_id, avg(bright) AS brightness, stddev_pop(bright) AS contrast, avg(CASE WHEN grad > 0.04 THEN 1.0 ELSE 0.0 END) AS edge_density, avg(ndvi) AS ndvi, avg(ndwi) AS ndwi, avg(CASE WHEN ndvi > 0.3 THEN 1.0 ELSE 0.0 END) AS veg_frac,
+    avg(CASE WHEN ndwi > 0.1 THEN 1.0 ELSE 0.0 END) AS water_frac, avg(CASE WHEN bright > 0.4 THEN 1.0 ELSE 0.0 END) AS bright_frac, avg(CASE WHEN bright < 0.06 THEN 1.0 ELSE 0.0 END) AS dark_frac, avg(red) AS red, avg(green) AS green, avg(blue) AS blue, avg(nir) AS nir,
+    avg(CASE WHEN ndvi < 0.15 AND ndwi < 0 AND bright > 0.15 THEN 1.0 ELSE 0.0 END) AS built_frac, quantile_cont(grad, 0.8) AS p80 FROM used GROUP BY tile_id),
+ln AS (SELECT tile_id, CASE WHEN count(*) >= 16 THEN sqrt(pow(sum(gx * gx) - sum(gy * gy), 2) + 4 * pow(sum(gx * gy), 2)) / (sum(gx * gx) + sum(gy * gy) + 1e-6) ELSE 0.0 END AS linearity FROM used JOIN st USING (tile_id) WHERE grad > p80 GROUP BY tile_id),
+hist AS (SELECT tile_id, least(floor(bright * 32), 31) AS bin, count(*) AS c FROM used WHERE bright BETWEEN 0 AND 1 GROUP BY 1, 2),
+tx AS (SELECT tile_id, -sum(p * log2(p)) / 5 AS texture FROM (SELECT tile_id, c / sum(c) OVER (PARTITION BY tile_id) AS p FROM hist) GROUP BY tile_id),
+ds AS (SELECT tile_id, [{', '.join(f"coalesce({c}, 0.0)" for c in pixels.DESCRIPTOR)}] AS d FROM st LEFT JOIN ln USING (tile_id) LEFT JOIN tx USING (tile_id))"""
+
+
+def _described(spark, sf_dir):
+    return pixels.descriptors(pixels.with_classes(pixels.with_indices(_images(spark, sf_dir))))
+
+
+@register("tile_descriptors", f"WITH {DESCRIBED} SELECT tile_id, i AS place, round(d[i + 1], 6) AS value FROM ds CROSS JOIN range(0, {len(pixels.DESCRIPTOR)}) r(i)")
+def tile_descriptors(spark, sf_dir):
+    rows = _described(spark, sf_dir).select("tile_id", F.posexplode("descriptor").alias("place", "value"))
+    return rows.select("tile_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
+
+
+_CENTRED = "[" + ", ".join(f"(d[{i + 1}] - {c}) / {s}" for i, (c, s) in enumerate(zip(pixels.CENTRE, pixels.SCALE, strict=True))) + "]"
+
+
+@register("tile_vectors", f"""WITH {DESCRIBED},
+m(j, w) AS (VALUES {', '.join(f'({j}, CAST({[float(v) for v in column]!r} AS DOUBLE[]))' for j, column in enumerate(encoders.projection(32).T))}),
+v AS (SELECT tile_id, j, list_dot_product({_CENTRED}, w) AS x FROM ds CROSS JOIN m)
+SELECT tile_id, CAST(j AS BIGINT) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY tile_id)), 5) AS value FROM v""")
+def tile_vectors(spark, sf_dir):
+    """Descriptors through the fixed projection, as unit vectors."""
+    rows = encoders.encode_descriptors(_described(spark, sf_dir), 32).select("tile_id", F.posexplode("vector").alias("place", "value"))
+    return rows.select("tile_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))

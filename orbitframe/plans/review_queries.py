@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_queries, scene_id
+from ..functions.text import parse_queries
 from ..functions.times import parse_datetime
 from ..operators import clusters, evaluation, lineage, review
 from ..sources import files
@@ -238,6 +238,52 @@ def cluster_dbscan_labels(spark, sf_dir):
     return clusters.dbscan_labels(P.embeddings(spark, sf_dir), 0.65, 4)
 
 
+@register("cluster_noise", f"""WITH {_near(0.65)}, core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), held AS (SELECT DISTINCT a FROM near WHERE b IN (FROM core))
+SELECT CAST(count(*) AS BIGINT) AS members, CAST(count(*) FILTER (vec_id NOT IN (FROM held)) AS BIGINT) AS noise, CAST(count(*) FILTER (vec_id IN (FROM core)) AS BIGINT) AS cores FROM embeddings""")
+def cluster_noise(spark, sf_dir):
+    labels = clusters.dbscan_labels(P.embeddings(spark, sf_dir), 0.65, 4)
+    return clusters.label_counts(labels).select("members", "noise", "cores")
+
+
+@register("review_targets", """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS review_id, l_partkey AS result_id, l_suppkey AS query_id, CASE l_returnflag WHEN 'A' THEN 'accept' WHEN 'R' THEN 'reject' ELSE 'skip' END AS decision FROM lineitem)
+SELECT review_id, CASE WHEN p.p_partkey % 3 <> 0 THEN 'search_result' WHEN p.p_partkey % 9 = 0 THEN 'change_analysis' END AS result_type, CASE WHEN p.p_partkey % 3 <> 0 THEN p.p_partkey % 10 ELSE query_id END AS query_id,
+  CASE WHEN p.p_partkey % 3 <> 0 THEN p.p_size / 50.0 WHEN p.p_partkey % 9 = 0 THEN p.p_size / 100.0 END AS score, CASE WHEN p.p_partkey % 9 = 0 THEN p.p_brand END AS change_type,
+  decision <> 'skip' AND coalesce(CASE WHEN p.p_partkey % 3 <> 0 THEN query_id = p.p_partkey % 10 ELSE p.p_partkey % 9 = 0 END, FALSE) AS valid
+FROM r LEFT JOIN part p ON p.p_partkey = r.result_id""")
+def review_targets(spark, sf_dir):
+    """Reviews of parts: most are search results, a ninth change analyses, the others nothing."""
+    decision = F.when(F.col("l_returnflag") == "A", F.lit("accept")).when(F.col("l_returnflag") == "R", F.lit("reject")).otherwise(F.lit("skip"))
+    rows = P.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"), F.col("l_partkey").alias("result_id"), F.col("l_suppkey").cast("long").alias("query_id"), decision.alias("decision"))
+    part = P.table(spark, sf_dir, "part")
+    results = part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("result_id"), (F.col("p_partkey") % 10).cast("long").alias("query_id"), (F.col("p_size") / 50.0).alias("final_score"), F.lit(None).cast("string").alias("change_analysis_id"))
+    analyses = part.filter("p_partkey % 9 = 0").select(F.col("p_partkey").alias("analysis_id"), (F.col("p_size") / 100.0).alias("confidence"), F.col("p_brand").alias("change_type"))
+    return review.resolve_targets(rows, results, analyses).select("review_id", "result_type", "query_id", "score", "change_type", "valid")
+
+
+@register("review_queue_sensor", """SELECT CAST(o_orderkey AS VARCHAR) AS id, round(o_totalprice / 600000, 6) AS confidence FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
+def review_queue_sensor(spark, sf_dir):
+    """Orders as analyses to review whose evidence has a tile of one sensor; line items are the evidence, their flags the sensors."""
+    o, lines = P.table(spark, sf_dir, "orders"), P.table(spark, sf_dir, "lineitem")
+    analyses = o.select(F.col("o_orderkey").cast("string").alias("analysis_id"), (F.col("o_totalprice") / 600000).alias("confidence"), F.lit("t").alias("change_type"), F.lit("pending_review").alias("status"), F.col("o_orderdate").alias("earliest_supported_time"))
+    evidence = lines.select(F.col("l_orderkey").cast("string").alias("analysis_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("after_tile_id"))
+    tiles = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("tile_id"), F.col("l_returnflag").alias("sensor"), F.col("l_shipdate").alias("acquisition_time"))
+    results = spark.createDataFrame([], "result_id string, tile_id string, final_score double, status string")
+    return review.review_queue(analyses, evidence, results, tiles, item_type="change_analysis", sensor="a").select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@register("change_evaluation", """WITH d AS (SELECT o_orderkey AS id, o_orderpriority AS t, o_orderdate AS day FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT l_orderkey AS id, CASE WHEN l_quantity > 25 THEN '1-URGENT' ELSE '2-HIGH' END AS t, l_shipdate AS day FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
+h AS (SELECT d.t AS found, k.t AS known, CAST(floor((epoch(d.day) - epoch(k.day)) / 86400) AS BIGINT) AS lag FROM d JOIN k USING (id)), s AS (SELECT count(*) AS tp, count(*) FILTER (found = known) AS good, list_sort(list(lag)) AS lags FROM h), n AS (SELECT (SELECT count(*) FROM d) AS nd, (SELECT count(*) FROM k) AS nk)
+SELECT nd AS n_detections, nk AS n_truth, tp, nd - tp AS fp, nk - tp AS fn, round(tp / nd, 6) AS precision, round(tp / nk, 6) AS recall, round(2 * (tp / nd) * (tp / nk) / (tp / nd + tp / nk), 6) AS f1, round(good / tp, 6) AS type_accuracy, CAST(lags[tp // 2 + 1] AS BIGINT) AS median_delay_days FROM s, n""")
+def change_evaluation(spark, sf_dir):
+    """Even orders as detections, first line items of every third order as known changes, matched by order."""
+    o, lines = P.table(spark, sf_dir, "orders"), P.table(spark, sf_dir, "lineitem")
+    d = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("det_id"), F.col("o_orderpriority").alias("change_type"), F.col("o_orderdate").cast("timestamp").alias("earliest_supported_time"))
+    first = lines.filter("l_linenumber = 1 and l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("truth_id")).agg(F.min_by(F.struct("l_quantity", "l_shipdate"), F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("l"))
+    t = first.select("truth_id", F.when(F.col("l.l_quantity") > 25, F.lit("1-URGENT")).otherwise(F.lit("2-HIGH")).alias("change_type"), F.col("l.l_shipdate").cast("timestamp").alias("date"))
+    out = evaluation.change_metrics(d, t, d.select("det_id").join(t.select(F.col("truth_id").alias("det_id")), "det_id").withColumn("truth_id", F.col("det_id")))
+    return out.select("n_detections", "n_truth", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "type_accuracy")], F.col("median_delay_days").cast("long").alias("median_delay_days"))
+
+
 @register("cluster_kmeans")
 def cluster_kmeans(spark, sf_dir):
     rows = P.embeddings(spark, sf_dir).select("tile_id", "vector", F.col("tile_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
@@ -283,9 +329,8 @@ def datetime_parsing(spark, sf_dir):
 
 @register("ingest_identity", "SELECT doc_id, 'scn_' || substr(sha256(text), 1, 20) AS scene_id, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS duplicate FROM documents")
 def ingest_identity(spark, sf_dir):
-    d = P.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
-    first = d.groupBy("checksum").agg(F.min("doc_id").alias("first"))
-    return d.join(first, "checksum").select("doc_id", scene_id(F.col("checksum")).alias("scene_id"), (F.col("doc_id") != F.col("first")).alias("duplicate"))
+    named = files.with_identity(P.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
+    return named.select(F.col("path").alias("doc_id"), "scene_id", "duplicate")
 
 
 @register("ingest_unchanged", "SELECT page_id FROM pages WHERE NOT (page_id % 2 = 0 AND page_id % 4 = 0)")

@@ -60,10 +60,12 @@ def search_filtered_ranked(spark, sf_dir):
 @register("search_components", f"""WITH {POOL}
 SELECT tile_id, round(sim, 6) AS sim, round(metadata, 6) AS metadata, round(spatial, 6) AS spatial, round(temporal, 6) AS temporal FROM ranked""")
 def search_components(spark, sf_dir):
-    """Over a table with the vectors of two models, of which one is searched."""
+    """Over a table with the vectors of two models and of texts, of which one model's image vectors are searched."""
     params = search.SearchParams(top_k=20, where=TileFilter(**WHERE), model=("m", "2"))
     vectors = P.embeddings(spark, sf_dir).withColumn("model_name", F.lit("m"))
-    both = vectors.withColumn("model_version", F.lit("2")).unionByName(vectors.withColumns({"model_version": F.lit("1"), "vector": F.transform("vector", lambda x: -x)}))
+    negative = F.transform("vector", lambda x: -x)
+    both = vectors.withColumns({"model_version": F.lit("2"), "type": F.lit("image")})
+    both = both.unionByName(vectors.withColumns({"model_version": F.lit("1"), "type": F.lit("image"), "vector": negative})).unionByName(vectors.withColumns({"model_version": F.lit("2"), "type": F.lit("text"), "vector": negative}))
     pool = search.similar(P.tiles(spark, sf_dir), both, _first_vector(spark, sf_dir), 60, params.where, params.model)
     rows, _ = search.components(pool, params)
     return rows.select("tile_id", *[F.round(c, 6).alias(c) for c in ("sim", "metadata", "spatial", "temporal")])

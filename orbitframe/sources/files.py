@@ -122,12 +122,12 @@ def benchmark_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def truth_features(spark: SparkSession, path: str) -> DataFrame:
-    """(truth_id, change_type, date, box) of a GeoJSON collection of polygons."""
+    """(truth_id, change_type, date, box, rings) of a GeoJSON collection of polygons."""
     schema = "features ARRAY<STRUCT<geometry:STRUCT<type:STRING,coordinates:ARRAY<ARRAY<ARRAY<DOUBLE>>>>,properties:STRUCT<change_type:STRING,date:STRING>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("truth_id", "f"))
     points = F.flatten("f.geometry.coordinates")
     axis = lambda k: F.transform(points, lambda p: p[k])
-    return rows.select(F.col("truth_id").cast("long").alias("truth_id"), F.col("f.properties.change_type").alias("change_type"), parse_datetime(F.col("f.properties.date")).alias("date"), F.array_min(axis(0)).alias("min_x"), F.array_min(axis(1)).alias("min_y"), F.array_max(axis(0)).alias("max_x"), F.array_max(axis(1)).alias("max_y"))
+    return rows.select(F.col("truth_id").cast("long").alias("truth_id"), F.col("f.properties.change_type").alias("change_type"), parse_datetime(F.col("f.properties.date")).alias("date"), F.array_min(axis(0)).alias("min_x"), F.array_min(axis(1)).alias("min_y"), F.array_max(axis(0)).alias("max_x"), F.array_max(axis(1)).alias("max_y"), F.col("f.geometry.coordinates").alias("rings"))
 
 
 def inside(path: str, roots: list[str]) -> str:
