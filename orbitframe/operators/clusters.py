@@ -154,8 +154,8 @@ def join_work(members: DataFrame, eps: float) -> DataFrame:
     return sizes.agg(F.lit(n).cast("long").alias("n"), F.sum(F.col("homes") * F.col("guests")).alias("pairs"), F.lit(n * len(plan.pivots)).cast("long").alias("pivot_pairs"), F.sum(F.col("homes") * blocks("guests") + F.col("guests") * blocks("homes")).alias("copies"))
 
 
-def neighbours(members: DataFrame, eps: float) -> DataFrame:
-    """(a, b) with a cosine distance of at most ``eps``, both ways, itself included (a zero vector isn't its own neighbour).
+def neighbours(members: DataFrame, eps: float, distances: bool = False) -> DataFrame:
+    """(a, b[, distance]) with a cosine distance of at most ``eps``, both ways, itself included (a zero vector isn't its own neighbour).
 
     Exact, by :class:`PivotPlan`: unit vectors within ``eps`` are sqrt(2 eps) apart at most. Each pair meets once, where ``b`` lives; cells and rings
     with many vectors are dealt out in blocks of bounded size on either side, and a block is a matrix product. How much the pivots save depends on the
@@ -164,7 +164,7 @@ def neighbours(members: DataFrame, eps: float) -> DataFrame:
     kind = members.schema["tile_id"].dataType
     unit, n, placed, more = _planned(members, eps)
     if more is None:
-        return unit.select(F.col("tile_id").alias("a"), F.col("tile_id").alias("b")).limit(0)
+        return unit.select(F.col("tile_id").alias("a"), F.col("tile_id").alias("b"), *([F.lit(0.0).alias("distance")] if distances else [])).limit(0)
     sizes = more[1]
     met = placed.join(F.broadcast(sizes), ["cell", "ring"])  # a row a cell and ring: some rings of at most MAX_PIVOTS pivots
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -177,14 +177,14 @@ def neighbours(members: DataFrame, eps: float) -> DataFrame:
         first = group.column("left").to_numpy(zero_copy_only=False)
         ids = group.column("tile_id").combine_chunks()
         a, b = np.flatnonzero(first), np.flatnonzero(~first)
-        if not len(a) or not len(b):
-            return pa.table([ids.slice(0, 0), ids.slice(0, 0)], ["a", "b"])
         v = np.array(group.column("v").to_pylist(), dtype=np.float64)
-        near = np.nonzero(1 - v[a] @ v[b].T <= eps)
-        return pa.table([ids.take(pa.array(a[near[0]])), ids.take(pa.array(b[near[1]]))], ["a", "b"])
+        apart = 1 - v[a] @ v[b].T if len(a) and len(b) else np.ones((len(a), len(b)))
+        near = np.nonzero(apart <= eps) if apart.size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        columns = [ids.take(pa.array(a[near[0]])), ids.take(pa.array(b[near[1]])), pa.array(apart[near])]
+        return pa.table(columns[: 2 + distances], ["a", "b", "distance"][: 2 + distances])
 
     rows = guests.unionByName(homes).select(F.struct("cell", "ring", "p", "q").alias("unit"), "tile_id", "v", "left")
-    return rows.groupBy("unit").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    return rows.groupBy("unit").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}" + ", distance double" * distances)
 
 
 def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -196,6 +196,90 @@ def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
     return ordered.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_part", "_before", "_in")
 
 
+def components(nodes: DataFrame, linked: DataFrame, rounds: int = 40) -> DataFrame:
+    """``nodes(a)`` with ``label``, the least node that each reaches by ``linked(a, b)``, which holds links both ways and each node's own."""
+    label = cut(nodes.withColumn("label", F.col("a")))
+    for _ in range(rounds):
+        spread = linked.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
+        # follow the label's own label, so that long chains shorten fast
+        jump = cut(spread.join(spread.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.least("label", "next").alias("label")))
+        done = jump.join(label.withColumnRenamed("label", "was"), "a").filter("label <> was").isEmpty()
+        label = jump
+        if done:
+            return label
+    raise RuntimeError(f"labels still move after {rounds} rounds")
+
+
+def reachability_edges(members: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
+    """(a, b, weight), a < b: the mutual reachability of members within ``eps`` that both have ``min_samples`` neighbours there, themselves included.
+
+    It is the largest of the distance and the two core distances, a member's distance to its ``min_samples``-th neighbour.
+    """
+    near = cut(neighbours(members, eps, distances=True))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
+    core = cut(near.withColumn("place", place).filter(F.col("place") == min_samples).select("a", F.col("distance").alias("core")))
+    met = near.filter("a < b").join(core, "a").join(core.select(F.col("a").alias("b"), F.col("core").alias("other")), "b")
+    return met.select("a", "b", F.greatest("distance", "core", "other").alias("weight"))
+
+
+def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """The minimum spanning forest of ``edges(a, b, weight)``, a < b, by Boruvka's rounds; equal weights are in the order of a and b.
+
+    In a round every component picks its least edge to another (an aggregation, combined before its shuffle), components that picks join
+    become one, and of the edges between two components only the least stays. Rounds at least halve the components, and each is a written table.
+    """
+    now = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("weight", "a", "b").alias("e")))
+    picked: list[DataFrame] = []
+    for _ in range(rounds):
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
+        least = cut(both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("to"), F.col("m.e").alias("e")))
+        if least.isEmpty():
+            break
+        picked.append(least.select("e.*").distinct())
+        # two components that pick each other are a root, the smaller one; all others follow their picks there
+        back = least.select(F.col("u").alias("to"), F.col("to").alias("back"))
+        up = cut(least.join(back, "to").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("to")), F.col("u")).otherwise(F.col("to")).alias("root")))
+        for _ in range(rounds):
+            jump = cut(up.join(up.select(F.col("u").alias("root"), F.col("root").alias("next")), "root").select("u", "root", "next"))
+            moved = not jump.filter("root <> next").isEmpty()
+            up = jump.select("u", F.col("next").alias("root"))
+            if not moved:
+                break
+        merged = now.join(up, "u").withColumnRenamed("root", "ru").join(up.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v").filter("ru <> rv")
+        now = cut(merged.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("e").alias("e")))
+    else:
+        raise RuntimeError(f"components left after {rounds} rounds")
+    out = edges.limit(0).select("weight", "a", "b")
+    for p in picked:
+        out = out.unionAll(p)
+    return out.select("a", "b", "weight")
+
+
+def density_levels(members: DataFrame, levels: list[float], min_samples: int = 5, min_cluster_size: int = 5) -> DataFrame:
+    """``(level, root, size, parent)``: the clusters of at least ``min_cluster_size`` members at each distance of ``levels``, and which of the next wider level each lies in.
+
+    Clusters are named by their least member. The forest is built once, within the widest level; the clusters at a level are what its edges up to there join. No task
+    holds all members. A parent of null means that there is no wider level.
+    """
+    levels = sorted(levels)
+    forest = cut(spanning_forest(reachability_edges(members, levels[-1], min_samples)))
+    nodes = cut(forest.select("a").unionAll(forest.select("b")).distinct())
+    found, out = None, None
+    for level in reversed(levels):
+        inside = forest.filter(F.col("weight") <= level)
+        linked = cut(inside.select("a", "b").unionAll(inside.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(nodes.select("a", F.col("a").alias("b"))))
+        label = cut(components(nodes, linked).withColumnRenamed("label", "root"))
+        sizes = label.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") >= min_cluster_size)
+        if found is None:
+            rows = sizes.withColumn("parent", F.lit(None).cast(members.schema["tile_id"].dataType))
+        else:
+            rows = sizes.join(found.select(F.col("a").alias("root"), F.col("root").alias("parent")), "root")
+        rows = rows.select(F.lit(float(level)).alias("level"), "root", "size", "parent")
+        out = rows if out is None else out.unionAll(rows)
+        found = label
+    return out
+
+
 def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, rounds: int = 40) -> DataFrame:
     """``(tile_id, cluster_id, is_core)``; noise has -1. Clusters are numbered by their smallest core id.
 
@@ -205,18 +289,7 @@ def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, r
     near = cut(neighbours(members, eps))
     core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("a")
     linked = cut(near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi"))
-    label = cut(core.withColumn("label", F.col("a")))
-    for _ in range(rounds):
-        spread = linked.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-        # follow the label's own label, so that long chains shorten fast
-        jump = cut(spread.join(spread.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.least("label", "next").alias("label")))
-        moved = jump.join(label.withColumnRenamed("label", "was"), "a").filter("label <> was")
-        done = moved.isEmpty()
-        label = jump
-        if done:
-            break
-    else:
-        raise RuntimeError(f"labels still move after {rounds} rounds")
+    label = components(core, linked, rounds)
     border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("root"))
     roots = numbered(label.select(F.col("label").alias("root")).distinct(), "root", "cluster_id")
     tagged = members.select(F.col("tile_id").alias("a")).join(border, "a", "left").join(roots, "root", "left").join(label.select("a", F.lit(True).alias("is_core")), "a", "left")

@@ -238,6 +238,35 @@ def cluster_dbscan_labels(spark, sf_dir):
     return clusters.dbscan_labels(P.embeddings(spark, sf_dir), 0.65, 4)
 
 
+DENSE = f"""WITH RECURSIVE {POINTS.replace("points AS (", "pts AS (")},
+pair AS (SELECT a.id AS a, b.id AS b, 1 - (a.x * b.x + a.y * b.y + a.z * b.z) / sqrt((a.x * a.x + a.y * a.y + a.z * a.z) * (b.x * b.x + b.y * b.y + b.z * b.z)) AS d FROM pts a JOIN pts b ON TRUE),
+near AS (SELECT * FROM pair WHERE d <= 0.002),
+core AS (SELECT a, d AS c FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 3),
+edge AS (SELECT near.a, near.b, greatest(d, x.c, y.c) AS w FROM near JOIN core x ON x.a = near.a JOIN core y ON y.a = near.b WHERE near.a < near.b)"""
+
+
+@register("cluster_forest", f"""{DENSE},
+e AS (SELECT *, row_number() OVER (ORDER BY w, a, b) AS k FROM edge),
+twice AS (SELECT k, a, b FROM e UNION ALL SELECT k, b, a FROM e),
+reach AS (SELECT k AS goal, a AS at FROM e UNION SELECT r.goal, s.b FROM reach r JOIN twice s ON s.a = r.at AND s.k < r.goal)
+SELECT a, b, round(w, 6) AS weight FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.goal = e.k AND r.at = e.b)""")
+def cluster_forest(spark, sf_dir):
+    """The minimum spanning forest of mutual reachability: an edge is in it if no smaller ones join its ends."""
+    out = clusters.spanning_forest(clusters.reachability_edges(_directions(spark, sf_dir), 0.002, 3))
+    return out.select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@register("cluster_levels", f"""{DENSE}, level(l) AS (VALUES (0.0005), (0.001), (0.002)),
+s AS (SELECT l, a, b FROM edge JOIN level ON w <= l UNION ALL SELECT l, b, a FROM edge JOIN level ON w <= l),
+reach AS (SELECT DISTINCT l, a, a AS root FROM s UNION SELECT r.l, s.b, r.root FROM reach r JOIN s ON s.l = r.l AND s.a = r.a),
+label AS (SELECT l, a, min(root) AS root FROM reach GROUP BY l, a),
+sized AS (SELECT l, root, count(*) AS size FROM label GROUP BY l, root HAVING count(*) >= 3)
+SELECT CAST(l AS DOUBLE) AS level, z.root, CAST(size AS BIGINT) AS size, p.root AS parent FROM sized z LEFT JOIN (SELECT CAST(l / 2 AS DECIMAL(10, 4)) AS below, a, root FROM label) p ON p.below = z.l AND p.a = z.root""")
+def cluster_levels(spark, sf_dir):
+    """The clusters at three distances, and how they nest."""
+    return clusters.density_levels(_directions(spark, sf_dir), [0.0005, 0.001, 0.002], 3, 3)
+
+
 @register("cluster_noise", f"""WITH {_near(0.65)}, core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), held AS (SELECT DISTINCT a FROM near WHERE b IN (FROM core))
 SELECT CAST(count(*) AS BIGINT) AS members, CAST(count(*) FILTER (vec_id NOT IN (FROM held)) AS BIGINT) AS noise, CAST(count(*) FILTER (vec_id IN (FROM core)) AS BIGINT) AS cores FROM embeddings""")
 def cluster_noise(spark, sf_dir):
@@ -260,7 +289,7 @@ def review_targets(spark, sf_dir):
     return review.resolve_targets(rows, results, analyses).select("review_id", "result_type", "query_id", "score", "change_type", "valid")
 
 
-@register("review_queue_sensor", """SELECT CAST(o_orderkey AS VARCHAR) AS id, round(o_totalprice / 600000, 6) AS confidence FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
+@register("review_queue_sensor", """SELECT CAST(o_orderkey AS VARCHAR) AS id, round(o_totalprice / 600000, 4) AS confidence FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
 def review_queue_sensor(spark, sf_dir):
     """Orders as analyses to review whose evidence has a tile of one sensor; line items are the evidence, their flags the sensors."""
     o, lines = P.table(spark, sf_dir, "orders"), P.table(spark, sf_dir, "lineitem")
@@ -268,7 +297,7 @@ def review_queue_sensor(spark, sf_dir):
     evidence = lines.select(F.col("l_orderkey").cast("string").alias("analysis_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("after_tile_id"))
     tiles = lines.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("tile_id"), F.col("l_returnflag").alias("sensor"), F.col("l_shipdate").alias("acquisition_time"))
     results = spark.createDataFrame([], "result_id string, tile_id string, final_score double, status string")
-    return review.review_queue(analyses, evidence, results, tiles, item_type="change_analysis", sensor="a").select("id", F.round("confidence", 6).alias("confidence"))
+    return review.review_queue(analyses, evidence, results, tiles, item_type="change_analysis", sensor="a").select("id", F.round("confidence", 4).alias("confidence"))
 
 
 @register("change_evaluation", """WITH d AS (SELECT o_orderkey AS id, o_orderpriority AS t, o_orderdate AS day FROM orders WHERE o_orderkey % 2 = 0), k AS (SELECT l_orderkey AS id, CASE WHEN l_quantity > 25 THEN '1-URGENT' ELSE '2-HIGH' END AS t, l_shipdate AS day FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
@@ -309,7 +338,8 @@ def _expected() -> str:
 def query_parsing(spark, sf_dir):
     templates = F.array(*map(F.lit, TEMPLATES))
     rows = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.get(templates, (F.col("o_orderkey") % 8).cast("int")).alias("text"))
-    return parse_queries(rows).select("query_id", F.array_join("change_types", ",").alias("change_types"), F.to_date("date_from").alias("date_from"))
+    parsed = rows.join(parse_queries(rows.select("text").distinct()), "text")  # each text once
+    return parsed.select("query_id", F.array_join("change_types", ",").alias("change_types"), F.to_date("date_from").alias("date_from"))
 
 
 @register("scene_metadata", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Sentinel-2A' WHEN 1 THEN 'Sentinel-1B' WHEN 2 THEN 'Landsat-8' ELSE 'PlanetScope' END AS platform,
