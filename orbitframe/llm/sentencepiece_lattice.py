@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import hash_words, tidy
+from .kernels import hash_words, release, tidy
 from .runtime import cut, documents, let, require, shuffle_partitions
 
 SPACE = "▁"
@@ -336,9 +336,14 @@ def _packed(encoded: DataFrame, pieces: Pieces) -> tuple[np.ndarray, ...]:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names)
 
     columns = ["unit", "ids", "path", "path_score"][: 4 if paths else 2]
-    rows = encoded.select(*columns).mapInArrow(tidy(run), ", ".join(f"{n} binary" for n in names)).collect()
-    hashes, sizes, flat, *more = (np.frombuffer(b"".join([r[k] for r in rows]), kinds[k]) for k in range(len(names)))
-    del rows
+    # a part at a time, so that the driver holds the arrays but not all results beside them
+    parts: list[list[np.ndarray]] = [[np.zeros(0, kinds[k])] for k in range(len(names))]
+    for row in encoded.select(*columns).mapInArrow(tidy(run), ", ".join(f"{n} binary" for n in names)).toLocalIterator():
+        for k in range(len(names)):
+            parts[k].append(np.frombuffer(bytes(row[k]), kinds[k]))
+    hashes, sizes, flat, *more = (np.concatenate(parts[k]) for k in range(len(names)))
+    del parts
+    release()
     order = np.argsort(hashes, kind="stable")
     begins = lambda sizes: (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.uint32)[order]
     out = (hashes[order], begins(sizes), sizes[order], flat)
