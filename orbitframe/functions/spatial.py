@@ -110,19 +110,31 @@ def mercator_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
 
 
-def utm_to_wgs84(x: Column, y: Column, zone: Column, north: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of UTM metres, by the series of the inverse transverse Mercator projection."""
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it by name."""
+    return F.transform(F.array(value), body)[0]
+
+
+def utm_to_wgs84(x: Column, y: Column, zone: Column, north: Column) -> Column:
+    """``struct<lon, lat>`` of UTM metres, by the series of the inverse transverse Mercator projection; each step is computed once."""
     e4, e6, ep = E2**2, E2**3, E2 / (1 - E2)
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))
-    mu = F.when(north, y).otherwise(y - 1e7) / K0 / (A * (1 - E2 / 4 - 3 * e4 / 64 - 5 * e6 / 256))
-    p = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu)
-    s, c, t = F.sin(p), F.cos(p), F.pow(F.tan(p), F.lit(2.0))
-    w = 1 - E2 * s * s
-    n, r, g = A / F.sqrt(w), A * (1 - E2) / F.pow(w, F.lit(1.5)), ep * c * c
-    d = (x - 5e5) / (n * K0)
-    lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * g - 4 * g * g - 9 * ep) * F.pow(d, F.lit(4.0)) / 24)
-    lon = (d - (1 + 2 * t + g) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * g + 28 * t - 3 * g * g + 8 * ep + 24 * t * t) * F.pow(d, F.lit(5.0)) / 120) / c
-    return F.degrees(lon) + zone * 6 - 183, F.degrees(lat)
+    arc = A * (1 - E2 / 4 - 3 * e4 / 64 - 5 * e6 / 256)
+    latitude = lambda mu: mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu)
+
+    def parts(p: Column) -> Column:
+        c, w = F.cos(p), 1 - E2 * F.sin(p) * F.sin(p)
+        n, r = A / F.sqrt(w), A * (1 - E2) / F.pow(w, F.lit(1.5))
+        return F.struct(p.alias("p"), c.alias("c"), F.pow(F.tan(p), F.lit(2.0)).alias("t"), (ep * c * c).alias("g"), ((x - 5e5) / (n * K0)).alias("d"), (n * F.tan(p) / r).alias("k"))
+
+    def place(s: Column) -> Column:
+        t, g, d = s["t"], s["g"], s["d"]
+        lat = s["p"] - s["k"] * (d * d / 2 - (5 + 3 * t + 10 * g - 4 * g * g - 9 * ep) * F.pow(d, F.lit(4.0)) / 24)
+        lon = (d - (1 + 2 * t + g) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * g + 28 * t - 3 * g * g + 8 * ep + 24 * t * t) * F.pow(d, F.lit(5.0)) / 120) / s["c"]
+        return F.struct((F.degrees(lon) + zone * 6 - 183).alias("lon"), F.degrees(lat).alias("lat"))
+
+    mu = F.when(north, y).otherwise(y - 1e7) / K0 / arc
+    return _let(mu, lambda m: _let(latitude(m), lambda p: _let(parts(p), place)))
 
 
 def to_wgs84(epsg: Column, x: Column, y: Column) -> Column:
@@ -130,8 +142,8 @@ def to_wgs84(epsg: Column, x: Column, y: Column) -> Column:
     zone = epsg % 100
     utm = F.floor(epsg / 100).isin(326, 327) & zone.between(1, 60)
     mx, my = mercator_to_wgs84(x, y)
-    ux, uy = utm_to_wgs84(x, y, zone, F.floor(epsg / 100) == 326)
-    return F.when(epsg == 4326, F.struct(x.alias("lon"), y.alias("lat"))).when(epsg == 3857, F.struct(mx.alias("lon"), my.alias("lat"))).when(utm, F.struct(ux.alias("lon"), uy.alias("lat")))
+    in_zone = utm_to_wgs84(x, y, zone, F.floor(epsg / 100) == 326)
+    return F.when(epsg == 4326, F.struct(x.alias("lon"), y.alias("lat"))).when(epsg == 3857, F.struct(mx.alias("lon"), my.alias("lat"))).when(utm, in_zone)
 
 
 def bounds_to_wgs84(epsg: Column, left: Column, bottom: Column, right: Column, top: Column, steps: int = 16) -> Column:

@@ -35,13 +35,8 @@ def features(rows: DataFrame, id_col: str, geometry_col: str = "geometry") -> Da
     return rows.select(F.col(id_col).alias("id"), feature.alias("feature"))
 
 
-def write_feature_lines(rows: DataFrame, id_col: str, path: str, geometry_col: str = "geometry") -> None:
-    """A feature a line, in as many files as there are parts: for any number of rows, where :func:`feature_collection` is for few."""
-    features(rows, id_col, geometry_col).select("feature").write.text(path)
-
-
 def feature_collection(rows: DataFrame, id_col: str, order: str, properties: str = "{}") -> DataFrame:
-    """One row with the whole document; for a request's results, which are few."""
+    """One row with the whole document; for a request's results, which are few (:func:`write_features` is for any number)."""
     made = features(rows.select("*"), id_col).join(rows.select(F.col(id_col).alias("id"), F.col(order).alias("_o")), "id")
     sorted_features = F.transform(F.array_sort(F.collect_list(F.struct("_o", "id", "feature"))), lambda x: x["feature"])
     return made.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(sorted_features, ","), F.lit(f'],"properties":{properties}}}')).alias("document"))

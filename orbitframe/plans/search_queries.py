@@ -224,3 +224,25 @@ def search_text_batch(spark, sf_dir):
     out = batch_search.search_texts(_composed(spark, sf_dir), P.tiles(spark, sf_dir), P.embeddings(spark, sf_dir), 10, dim=DIM)
     r = lambda c: F.round(c, 6).alias(c)
     return out.select("query_id", "rank", "tile_id", "location_key", r("semantic"), r("final_score"), r("confidence"))
+
+
+def _utm_sql() -> str:
+    """UTM metres to degrees by the series of the inverse projection, as SQL steps."""
+    a, e2, k0 = spatial.A, spatial.E2, spatial.K0
+    e1, ep = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5), e2 / (1 - e2)
+    arc = a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)
+    return f"""m AS (SELECT *, CASE WHEN north THEN y ELSE y - 1e7 END / {k0} / {arc!r} AS mu FROM b),
+p AS (SELECT *, mu + {3 * e1 / 2 - 27 * e1**3 / 32!r} * sin(2 * mu) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r} * sin(4 * mu) + {151 * e1**3 / 96!r} * sin(6 * mu) AS p FROM m),
+w AS (SELECT *, pow(tan(p), 2) AS t, {ep!r} * cos(p) * cos(p) AS g, {a} / sqrt(1 - {e2} * sin(p) * sin(p)) AS n, {a * (1 - e2)!r} / pow(1 - {e2} * sin(p) * sin(p), 1.5) AS r FROM p),
+d AS (SELECT *, (x - 5e5) / (n * {k0}) AS d FROM w)
+SELECT c_custkey, round(degrees((d - (1 + 2 * t + g) * pow(d, 3) / 6 + (5 - 2 * g + 28 * t - 3 * g * g + {8 * ep!r} + 24 * t * t) * pow(d, 5) / 120) / cos(p)) + zone * 6 - 183, 6) AS lon,
+  round(degrees(p - n * tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * g - 4 * g * g - {9 * ep!r}) * pow(d, 4) / 24)), 6) AS lat FROM d"""
+
+
+@register("footprints_from_utm", f"WITH b AS (SELECT c_custkey, 500000 + CAST(c_acctbal AS DOUBLE) * 20 AS x, 4000000 + CAST(c_custkey % 1000 AS DOUBLE) * 1000 AS y, CAST(1 + c_custkey % 60 AS DOUBLE) AS zone, c_custkey % 2 = 0 AS north FROM customer), {_utm_sql()}")
+def footprints_from_utm(spark, sf_dir):
+    """Points of all UTM zones, of both hemispheres."""
+    k = F.col("c_custkey")
+    epsg = (F.when(k % 2 == 0, 32600).otherwise(32700) + 1 + k % 60).cast("int")
+    rows = P.table(spark, sf_dir, "customer").select("c_custkey", spatial.to_wgs84(epsg, 500000 + F.col("c_acctbal").cast("double") * 20, 4000000 + (k % 1000).cast("double") * 1000).alias("p"))
+    return rows.select("c_custkey", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
