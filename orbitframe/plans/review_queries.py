@@ -238,10 +238,8 @@ def cluster_dbscan_labels(spark, sf_dir):
     return clusters.dbscan_labels(P.embeddings(spark, sf_dir), 0.65, 4)
 
 
-DENSE = f"""WITH RECURSIVE {POINTS.replace("points AS (", "pts AS (")},
-pair AS (SELECT a.id AS a, b.id AS b, 1 - (a.x * b.x + a.y * b.y + a.z * b.z) / sqrt((a.x * a.x + a.y * a.y + a.z * a.z) * (b.x * b.x + b.y * b.y + b.z * b.z)) AS d FROM pts a JOIN pts b ON TRUE),
-near AS (SELECT * FROM pair WHERE d <= 0.002),
-core AS (SELECT a, d AS c FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 3),
+DENSE = f"""WITH RECURSIVE {_near(0.65).replace("SELECT a.vec_id AS a, b.vec_id AS b", "SELECT a.vec_id AS a, b.vec_id AS b, 1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d")},
+core AS (SELECT a, d AS c FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 2),
 edge AS (SELECT near.a, near.b, greatest(d, x.c, y.c) AS w FROM near JOIN core x ON x.a = near.a JOIN core y ON y.a = near.b WHERE near.a < near.b)"""
 
 
@@ -252,19 +250,19 @@ reach AS (SELECT k AS goal, a AS at FROM e UNION SELECT r.goal, s.b FROM reach r
 SELECT a, b, round(w, 6) AS weight FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.goal = e.k AND r.at = e.b)""")
 def cluster_forest(spark, sf_dir):
     """The minimum spanning forest of mutual reachability: an edge is in it if no smaller ones join its ends."""
-    out = clusters.spanning_forest(clusters.reachability_edges(_directions(spark, sf_dir), 0.002, 3))
+    out = clusters.spanning_forest(clusters.reachability_edges(P.embeddings(spark, sf_dir), 0.65, 2))
     return out.select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-@register("cluster_levels", f"""{DENSE}, level(l) AS (VALUES (0.0005), (0.001), (0.002)),
+@register("cluster_levels", f"""{DENSE}, level(l, wider) AS (VALUES (0.6, 0.625), (0.625, 0.65), (0.65, NULL)),
 s AS (SELECT l, a, b FROM edge JOIN level ON w <= l UNION ALL SELECT l, b, a FROM edge JOIN level ON w <= l),
 reach AS (SELECT DISTINCT l, a, a AS root FROM s UNION SELECT r.l, s.b, r.root FROM reach r JOIN s ON s.l = r.l AND s.a = r.a),
 label AS (SELECT l, a, min(root) AS root FROM reach GROUP BY l, a),
-sized AS (SELECT l, root, count(*) AS size FROM label GROUP BY l, root HAVING count(*) >= 3)
-SELECT CAST(l AS DOUBLE) AS level, z.root, CAST(size AS BIGINT) AS size, p.root AS parent FROM sized z LEFT JOIN (SELECT CAST(l / 2 AS DECIMAL(10, 4)) AS below, a, root FROM label) p ON p.below = z.l AND p.a = z.root""")
+sized AS (SELECT l, wider, root, count(*) AS size FROM label JOIN level USING (l) GROUP BY ALL HAVING count(*) >= 3)
+SELECT CAST(z.l AS DOUBLE) AS level, z.root, CAST(size AS BIGINT) AS size, p.root AS parent FROM sized z LEFT JOIN label p ON p.l = z.wider AND p.a = z.root""")
 def cluster_levels(spark, sf_dir):
     """The clusters at three distances, and how they nest."""
-    return clusters.density_levels(_directions(spark, sf_dir), [0.0005, 0.001, 0.002], 3, 3)
+    return clusters.density_levels(P.embeddings(spark, sf_dir), [0.6, 0.625, 0.65], 2, 3)
 
 
 @register("cluster_noise", f"""WITH {_near(0.65)}, core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), held AS (SELECT DISTINCT a FROM near WHERE b IN (FROM core))
