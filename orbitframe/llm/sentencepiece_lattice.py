@@ -15,8 +15,8 @@ The result is that of the public library for the same model file.
    (``paths``; the query gives both). Characters without a piece are spelt in byte pieces. A fold looks at all edges of a unit in each step,
    so the few units of over ``LONG_UNIT`` characters (unbroken runs) are encoded by :func:`encode_long` instead, in
    a time that grows with their length only.
-3. *Assembly.* The encodings of the ``DICTIONARY`` most frequent units (a fixed bound) are
-   broadcast. If there are more units, the rest of a document's units are joined to it by the shuffle.
+3. *Assembly.* The encodings of the most frequent units (``DICTIONARY`` at most, chosen by a threshold on
+   their counts) are broadcast. If there are more units, the rest of a document's units are joined to it by the shuffle.
 
 Units are told apart by 64-bit hashes in the last step.
 
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import most_frequent
 from .kernels import hash_words, release, tidy
 from .runtime import cut, documents, let, require, shuffle_partitions
 
@@ -392,7 +393,7 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int, paths: b
     units = cut(vocabulary(docs, joints))
     encoded = cut(encode_units(units, pieces, max(shuffle_partitions(spark), units.count() // UNITS_A_TASK), paths))
     size = encoded.count()
-    frequent = encoded if size <= dictionary else encoded.orderBy(F.desc("n"), "unit").limit(dictionary)
+    frequent = encoded if size <= dictionary else most_frequent(encoded.withColumnRenamed("unit", "word"), dictionary).withColumnRenamed("word", "unit")
     sent = spark.sparkContext.broadcast((joints, _packed(frequent, pieces)))
 
     def rest(batches):
