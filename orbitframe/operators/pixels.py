@@ -224,7 +224,7 @@ def scored_pairs(stats: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     dv, dw, db, de = (F.col(c) for c in ("d_ndvi", "d_ndwi", "d_brightness", "d_edge"))
     water, built = F.col("water_after") - F.col("water_before"), F.col("built_after") - F.col("built_before")
     line = get("line_after", 0.0) - get("line_before", 0.0)
-    # in the order in which equals win
+    # Fixed: the change types with their weights, in the order in which equals win.
     types = {
         "water_extent_change": 4 * F.abs(water) + 1.5 * F.abs(dw),
         "construction": 1.2 * plus(-dv) + 12 * plus(de) + 4 * plus(built),
