@@ -5,10 +5,11 @@ spans. Beside them high-recall generators propose looser, overlapping candidates
 (spelled-out addresses, bracketed dots, numbers in other groupings or without their prefix). Gradient-boosted
 trees (Spark's own) score each candidate from its format and context.
 
-What they learn doesn't depend on what the base patterns accept: personal values of at most ``MAX_DOCS`` documents (those with the smallest
-id hashes, a documented bound) are re-spelt in ways that no base pattern matches (:func:`respelt`), within
+What they learn doesn't depend on what the base patterns accept: all personal values of all documents
+are re-spelt in ways that no base pattern matches (:func:`respelt`), within
 their own surroundings, and the candidates that cover them are right. Wrong are the same values made invalid (a part over 255, a wrong check digit),
 candidates of another kind over a value, and what the generators propose elsewhere in the documents.
+Candidates of equal features and label are counted, and the trees learn them with their numbers as weights; a third of the documents is held out.
 For each kind the threshold is the lowest score from which on ``PRECISION`` of the held-out candidates are right; a kind
 for which no score reaches it, or with fewer than ``MIN_HELD`` held-out candidates, adds nothing. :attr:`Trees.held` has the held-out precision and recall.
 The trees become one CASE expression, so every text is scored in a single map-only pass.
@@ -16,7 +17,7 @@ The trees become one CASE expression, so every text is scored in a single map-on
 Among overlapping candidates the best-scored one counts, and none that overlaps a base span.
 
 Defined results: null and empty texts have no spans, an empty ``spans`` string and the
-digest of an empty string. Repeated rows are treated each, and so are rows with a null id, which stays null (they aren't learnt from).
+digest of an empty string. Repeated rows are treated each, and so are rows with a null id, which stays null (their text tells whether they are held out).
 Without candidates to learn from nothing is added. Extra columns stay in :func:`redact` and are ignored in the query.
 """
 
@@ -52,8 +53,11 @@ FEATURES = ("kind", "length", "digits", "groups", "dots", "spaces", "dashes", "p
 CONTEXT = 24
 #: Candidates start at most so many places from those they overlap: the longest possible one has room for fewer others.
 NEAR = 400
-MAX_DOCS = 20_000
+#: Features are learnt up to this value: larger ones lie on one side of every split.
+LARGEST = 1000
 TREES, DEPTH = 10, 3
+#: Of at most BINS * BINS different rows the trees' splits look at every one.
+BINS = 256
 PRECISION = 0.98
 #: So many held-out candidates of all kinds stand beside a kind's own when its precision is estimated.
 SHARED = 30
@@ -177,37 +181,47 @@ def _parsed(debug: str) -> list[list]:
     return [build(t) for t in trees]
 
 
-def training_rows(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``(held, label, kind_name, *FEATURES)`` of the candidates to learn from."""
+def training_rows(docs: DataFrame) -> DataFrame:
+    """``(held, label, kind_name, *FEATURES, n)``: the different candidates of all documents to learn from, and how often each is met."""
     docs = require(docs, "doc_id", "text")
-    chosen = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     text = F.col("text")
-    rows = docs.join(F.broadcast(chosen), "doc_id").filter(text.rlike(r"[0-9@]|\(at\)|\[at\]"))  # max_docs ids
-    rows = rows.select("doc_id", "text", base_spans(text).alias("base"))
-    b = F.col("b")
-    own = rows.select("doc_id", S.pieces(text).alias("cut"), F.length("text").alias("size"), F.explode("base").alias("b"))
-    around = own.select("doc_id", b["kind"].alias("kind"), S.part(F.col("cut"), F.greatest(b["start"] - CONTEXT, F.lit(0)), b["start"]).alias("before"), S.part(F.col("cut"), b["end"], F.least(b["end"] + 1, "size")).alias("after"), F.explode(F.transform(F.array(*map(F.lit, range(2))), lambda style: F.array(*respelt(b["kind"], b["text"], style)))).alias("values"))
-    texts = around.select("doc_id", "kind", F.length("before").alias("at"), "before", "after", F.posexplode("values").alias("bad", "value")).filter("value is not null")
-    texts = texts.select("doc_id", "kind", "at", "bad", F.length("value").alias("size"), F.concat("before", "value", "after").alias("text"))
-    c = F.col("c")
-    inside = F.least(c["end"], F.col("at") + F.col("size")) - F.greatest(c["start"], F.col("at"))
-    right = (F.col("bad") == 0) & (c["kind"] == F.col("kind")) & (inside >= F.col("size") * 0.8) & (inside >= (c["end"] - c["start"]) * 0.8)
-    made = texts.select("doc_id", S.pieces(text).alias("cut"), "kind", "bad", "at", "size", F.explode(candidates(text)).alias("c")).select("doc_id", "cut", "c", right.cast("double").alias("label"))
-    other = rows.select("doc_id", S.pieces(text).alias("cut"), F.explode(let(candidates(text), lambda x: S.clear_of(x, F.col("base")))).alias("c"), F.lit(0.0).alias("label"))
-    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
-    return made.unionByName(other).select(held.alias("held"), "label", c["kind"].alias("kind_name"), *[f.cast("double").alias(n) for f, n in zip(features(F.col("cut"), c), FEATURES, strict=True)])
-
-
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Trees:
-    """Learn from the candidates of at most ``max_docs`` documents."""
-    rows = cut(training_rows(docs, max_docs))
+    rows = docs.filter(text.rlike(r"[0-9@]|\(at\)|\[at\]"))
+    held = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(3)), F.lit(3)) == 0
+    rows = rows.select(held.alias("held"), "text", S.pieces(text).alias("cut"), base_spans(text).alias("base"))
+    around = lambda s: (S.part(F.col("cut"), F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"]), S.part(F.col("cut"), s["end"], F.least(s["end"] + 1, F.length("text"))))
+
+    def case(s: Column, bad: Column, value: Column, own: bool) -> Column:
+        """A value in its surroundings; of what isn't a re-spelt one (``own``) the value is the candidate."""
+        before, after = around(s)
+        return F.struct(F.lit(own).alias("own"), s["kind"].alias("kind"), s["rank"].alias("rank"), bad.alias("bad"), F.length(before).alias("at"), F.length(value).alias("size"), F.concat(before, value, after).alias("text"))
+
+    def spellings(b: Column) -> Column:
+        made = [x for style in range(2) for x in zip((False, True), respelt(b["kind"], b["text"], F.lit(style)), strict=True)]
+        return F.filter(F.array(*[case(b, F.lit(bad), value, True) for bad, value in made]), lambda x: x["text"].isNotNull())
+
+    other = let(candidates(text), lambda c: S.clear_of(c, F.col("base")))
+    cases = F.concat(F.flatten(F.transform("base", spellings)), F.transform(other, lambda c: case(c, F.lit(True), c["text"], False)))
+    x, c = F.col("x"), F.col("c")
+    itself = F.array(F.struct(x["at"].alias("start"), x["rank"].alias("rank"), (x["at"] + x["size"]).alias("end"), x["kind"].alias("kind"), x["text"].substr(x["at"] + 1, x["size"]).alias("text"))).cast(f"array<{S.SPAN}>")
+    found = rows.select("held", F.explode(cases).alias("x")).select("held", "x", F.explode(F.when(x["own"], candidates(x["text"])).otherwise(itself)).alias("c"))
+    inside = F.least(c["end"], x["at"] + x["size"]) - F.greatest(c["start"], x["at"])
+    right = ~x["bad"] & (c["kind"] == x["kind"]) & (inside >= x["size"] * 0.8) & (inside >= (c["end"] - c["start"]) * 0.8)
+    names = ["held", "label", "kind_name", *FEATURES]
+    # what a value's surroundings hold beside it is no example: it may be a base span, or cut off
+    table = found.filter(~x["own"] | (inside > 0)).select("held", right.cast("double").alias("label"), c["kind"].alias("kind_name"), *[F.least(f, F.lit(LARGEST)).cast("double").alias(n) for f, n in zip(features(S.pieces(x["text"]), c), FEATURES, strict=True)])
+    return table.groupBy(*names).agg(F.count("*").alias("n")).sortWithinPartitions(*names)
+
+
+def fit(docs: DataFrame) -> Trees:
+    """Learn from the candidates of all documents."""
+    rows = cut(training_rows(docs))
     kinds = {(r.held, r.label) for r in rows.select("held", "label").distinct().collect()}
     if not {(False, 0.0), (False, 1.0)} <= kinds:
         return Trees([], {})
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, maxBins=32).fit(table.filter(~F.col("held")))
-    held = model.transform(table.filter("held")).select("kind_name", "label", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
-    bins = held.groupBy("kind_name", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 100 bins a kind
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.withColumn("weight", F.col("n").cast("double")))
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, maxBins=BINS).fit(table.filter(~F.col("held")))
+    held = model.transform(table.filter("held")).select("kind_name", "label", "n", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
+    bins = held.groupBy("kind_name", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()  # 100 bins a kind
     # a kind with few held-out candidates leans on all kinds together, so that there is a threshold at any size
     count = lambda rows: (sum(r.n for r in rows), sum(r.right for r in rows))
     thresholds, figures = {}, {}

@@ -710,3 +710,12 @@ def test_quotations_of_very_long_messages(spark):
     rows = spark.createDataFrame([(1, 0, "user", "quoted 5"), (1, 1, "user", lines), (1, 2, "user", "> plain 7\nyes")], "conv_id long, turn long, role string, text string")
     got = {r.turn: r for r in chat_quotes.link_quotes(rows).collect()}
     assert got[1].n_quoted == 8000 and got[1].parent_turn == 0 and got[2].parent_turn == 1
+
+
+def test_pii_learns_from_all_documents(spark):
+    # every e-mail address has two other spellings, beside each a valid number that is no example of its own
+    n = 20_400
+    docs = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("Some words 10.0.0.7 before "), F.col("id"), F.lit("@mail.example.com and behind.")).alias("text"))
+    rows = pii.training_rows(docs)
+    assert {(r.kind_name, r.label): r["sum(n)"] for r in rows.groupBy("kind_name", "label").sum("n").collect() if r.kind_name == "email"} == {("email", 1.0): 2 * n}
+    assert rows.filter("held").count() > 0 and pii.fit(docs).thresholds["email"] < 1
