@@ -101,11 +101,15 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each word's bytes."""
     lengths = ends - starts
     out = lengths.astype(np.uint64) * _R
-    order = np.argsort(-np.minimum(lengths, LONG_WORD + 1), kind="stable")
-    by_length = np.minimum(lengths, LONG_WORD + 1)[order]
+    # by descending length; of bytes the stable sort is a radix sort
+    place = (LONG_WORD + 1 - np.minimum(lengths, LONG_WORD + 1)).astype(np.uint8)
+    order = np.argsort(place, kind="stable")
+    longer = np.cumsum(np.bincount(place, minlength=LONG_WORD + 2))  # those of at least LONG_WORD + 1 - k bytes
     start, acc = starts[order], out[order]
-    for k in range(min(int(by_length[0]) if len(by_length) else 0, LONG_WORD)):
-        alive = int(np.searchsorted(-by_length, -k, side="left"))
+    for k in range(LONG_WORD):
+        alive = int(longer[LONG_WORD - k])
+        if not alive:
+            break
         acc[:alive] = (acc[:alive] ^ data[start[:alive] + k].astype(np.uint64)) * np.uint64(0x100000001B3) + _R
     out[order] = acc
     for i in np.flatnonzero(lengths > LONG_WORD):

@@ -21,6 +21,7 @@ empty files and no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import uuid
 import zlib
@@ -40,6 +41,9 @@ END_ID = 0
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 REMEMBERED = 1_500_000
+RECENT = 1 << 15
+#: Added to the kind of a character that UNSURE names.
+ODD = 8
 SLICE_ROWS = 512
 GROUP_CHARS = 1 << 19
 STRING = 256
@@ -53,31 +57,52 @@ def default_tokenizer() -> str:
 
 
 class Pieces:
-    """Ids of pieces by their hashes: sorted arrays that grow by merging."""
+    """Ids of pieces by their hashes: sorted arrays, and shorter ones of the pieces met last, which join them when they have grown."""
 
     def __init__(self):
-        self.hashes, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
-
-    def unknown(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.ones(len(hashes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] != hashes
-
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        self.parts = [self._none(), self._none()]
+        self.flat = np.zeros(1 << 16, np.uint16)
+        self.used = 0
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, ...]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, whether it is known) of each hash."""
+        begins, sizes, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for have, begin, size in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, hashes), len(have) - 1)
+                here = have[at] == hashes
+                begins[here], sizes[here] = begin[at[here]], size[at[here]]
+                known |= here
+        return begins, sizes, known
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Remember ascending ``hashes`` that aren't known; their begins and sizes."""
         sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-        begins = (np.cumsum(sizes) - sizes + len(self.flat)).astype(np.uint32)
-        flat = np.fromiter((k for i in ids for k in i), np.int32, int(sizes.sum()))
+        begins = (np.cumsum(sizes) - sizes + self.used).astype(np.uint32)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
         # two bytes an id for as long as all fit
-        self.flat = np.concatenate((self.flat, flat.astype(np.uint16) if self.flat.dtype == np.uint16 and (not len(flat) or flat.max() < 1 << 16) else flat))
-        order = np.argsort(np.concatenate((self.hashes, hashes)), kind="stable")
-        self.hashes = np.concatenate((self.hashes, hashes))[order]
-        self.begins = np.concatenate((self.begins, begins))[order]
-        self.sizes = np.concatenate((self.sizes, sizes))[order]
-
-    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.hashes, hashes)
-        return self.begins[at].astype(np.int64), self.sizes[at].astype(np.int64)
+        if self.flat.dtype == np.uint16 and len(flat) and flat.max() >= 1 << 16:
+            self.flat = self.flat.astype(np.int32)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(len(flat) + self.used // 4 + (1 << 16), self.flat.dtype)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.parts[1] = self._merged(self.parts[1], (hashes, begins, sizes))
+        if len(self.parts[1][0]) > RECENT + len(self.parts[0][0]) // 8:
+            self.parts = [self._merged(*self.parts), self._none()]
+        return begins, sizes
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
+        return tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True))
 
 
 class Encoder:
@@ -91,7 +116,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         split = json.loads(spec).get("pre_tokenizer") or {}
         self.splits = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not json.loads(spec).get("normalizer")
-        self.unsure = regex.compile(UNSURE).search
+        self.unsure = regex.compile(UNSURE).match
         self.classes = [regex.compile(c).match for c in (r"\p{L}", r"\p{N}", r"\s")]
         self.kinds = np.full(0x110000, 255, dtype=np.uint8)
         self.memory = Pieces()
@@ -100,18 +125,18 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
-        """0 letter, 1 number, 2 white space, 3 other; looked up once for each character met."""
+        """0 letter, 1 number, 2 white space, 3 other, and ODD more if UNSURE names it; looked up once for each character met."""
         kind = self.kinds[points]
         if (kind == 255).any():
             for c in np.unique(points[kind == 255]).tolist():
-                self.kinds[c] = next((k for k, test in enumerate(self.classes) if test(chr(c))), 3)
+                self.kinds[c] = next((k for k, test in enumerate(self.classes) if test(chr(c))), 3) + (ODD if self.unsure(chr(c)) else 0)
             kind = self.kinds[points]
         return kind
 
-    def _starts(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _starts(points: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pattern's pieces start, for texts without apostrophes: runs of one kind, the last white space
         before other characters apart, and, if it is a space, joined to what follows."""
-        kind = self._kinds(points)
         begins = np.ones(len(points), dtype=bool)
         begins[1:] = kind[1:] != kind[:-1]
         own = np.zeros(len(points) + 1, dtype=bool)
@@ -141,7 +166,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        whole = [i for i, t in enumerate(texts) if not self.splits or "'" in t or self.unsure(t)]
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        kind = self._kinds(points)
+        odd = np.flatnonzero(kind >= ODD) if self.splits else offsets[:0]
+        odd = set((np.searchsorted(offsets, odd, side="right") - 1).tolist())
+        whole = [i for i, t in enumerate(texts) if not self.splits or "'" in t or i in odd]
         if whole:
             parts = [np.zeros(0, np.int32)] * len(texts)
             for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
@@ -151,22 +182,19 @@ class Encoder:
             for i, part in zip(rest, np.split(flat, np.cumsum(sizes)[:-1]) if rest else [], strict=True):
                 parts[i] = part
             return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
-        joined = "".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         if not len(points):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        starts = self._starts(points, offsets)
+        starts = self._starts(points, kind, offsets)
         ends = np.append(starts[1:], len(points))
         hashes = hash_words(points, starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.memory.hashes) + len(distinct) > REMEMBERED:
+        if len(self.memory) + len(distinct) > REMEMBERED:
             self.memory = Pieces()
-        new = np.flatnonzero(self.memory.unknown(distinct))
+        begins, sizes, known = self.memory.find(distinct)
+        new = np.flatnonzero(~known)
         if len(new):
             begin, end = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self.memory.add(distinct[new], self._new_ids([joined[a:b] for a, b in zip(begin, end, strict=True)]))
-        begins, sizes = self.memory.get(distinct)
+            begins[new], sizes[new] = self.memory.add(distinct[new], self._new_ids([joined[a:b] for a, b in zip(begin, end, strict=True)]))
         begins, sizes = begins[back], sizes[back]
         stops = np.concatenate(([0], np.cumsum(sizes)))
         places = np.arange(stops[-1]) + np.repeat(begins - stops[:-1], sizes)

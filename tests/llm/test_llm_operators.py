@@ -719,3 +719,23 @@ def test_pii_learns_from_all_documents(spark):
     rows = pii.training_rows(docs)
     assert {(r.kind_name, r.label): r["sum(n)"] for r in rows.groupBy("kind_name", "label").sum("n").collect() if r.kind_name == "email"} == {("email", 1.0): 2 * n}
     assert rows.filter("held").count() > 0 and pii.fit(docs).thresholds["email"] < 1
+
+
+def test_token_memory_of_two_levels(monkeypatch):
+    # pieces met last are kept apart, so that a batch doesn't copy the whole memory; odd characters are found by their kind
+    monkeypatch.setattr(token_files, "RECENT", 4)
+    rng, memory, known = np.random.default_rng(3), token_files.Pieces(), {}
+    for _ in range(60):
+        hashes = np.sort(rng.choice(400, 12, replace=False)).astype(np.uint64)
+        begins, sizes, there = memory.find(hashes)
+        assert there.tolist() == [h in known for h in hashes.tolist()]
+        new = {h: rng.integers(0, 70_000, rng.integers(0, 4)).tolist() for h in hashes[~there].tolist()}
+        known |= new
+        begins[~there], sizes[~there] = memory.add(hashes[~there], list(new.values()))
+        assert [memory.flat[b : b + n].tolist() for b, n in zip(begins, sizes, strict=True)] == [known[h] for h in hashes.tolist()] and len(memory) == len(known)
+        assert len(memory.parts[1][0]) <= 4 + len(memory.parts[0][0]) // 8
+    with open(token_files.default_tokenizer(), encoding="utf-8") as file:
+        encoder = token_files.Encoder(file.read())
+    texts = ["plain words 12", "", "odd\x85space\x1c here", "it's", "a​b ﻿c", "more  words\n\n end "] * 2
+    ids, sizes = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == encoder._library(texts)
