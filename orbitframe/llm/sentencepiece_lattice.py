@@ -11,7 +11,8 @@ The result is that of the public library for the same model file.
    positions, the path with the largest sum of scores (ties: the longer last piece). For a
    BPE model sums of scores don't give the model's own segmentation, so there the fold is over
    merges: of the edges that join two neighbouring symbols the best-scored one, leftmost
-   in ties, until none does; Viterbi's path over the same edges and its score come beside it on request
+   in ties, until none does. Where each piece is merged from better ones, one pass over the edges from the best on
+   makes the same merges (:func:`ranked_path`). Viterbi's path over the same edges and its score come beside it on request
    (``paths``; the query gives both). Characters without a piece are spelt in byte pieces. A fold looks at all edges of a unit in each step,
    so the few units of over ``LONG_UNIT`` characters (unbroken runs) are encoded by :func:`encode_long` instead, in
    a time that grows with their length only.
@@ -27,8 +28,10 @@ Repeated rows are encoded each, and so are rows with a null id, which stays null
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +93,26 @@ class Pieces:
     def unknown_score(self) -> float:
         return min(s for s, n in zip(self.scores, self.normal, strict=True) if n) - UNKNOWN_PENALTY
 
+    def late(self) -> set[str]:
+        """The pieces that merging gives from a part no better than themselves; their edges can begin to fit after worse ones were merged."""
+        score = {p: s for p, s, n in zip(self.pieces, self.scores, self.normal, strict=True) if n}
+        out = set()
+        for piece in score:
+            parts, last = list(piece), [math.inf] * len(piece)
+            while len(parts) > 1:
+                best = max(((score[a + b], -i) for i, (a, b) in enumerate(pairwise(parts)) if a + b in score), default=None)
+                if best is None:
+                    break
+                i = -best[1]
+                if len(parts) == 2 and best[0] >= min(last):
+                    out.add(piece)
+                parts[i : i + 2], last[i : i + 2] = [parts[i] + parts[i + 1]], [best[0]]
+        return out
+
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, s) for i, (p, s, n) in enumerate(zip(self.pieces, self.scores, self.normal, strict=True)) if n]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        late = self.late() if self.merges else ()
+        rows = [(p, i, s, p in late) for i, (p, s, n) in enumerate(zip(self.pieces, self.scores, self.normal, strict=True)) if n]
+        return spark.createDataFrame(rows, "piece string, id int, score double, late boolean")
 
     def joints(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for each character of longer pieces (0: none), and which pairs stand side by side in a piece."""
@@ -208,6 +228,24 @@ def merged_path(edges: Column, size: Column) -> Column:
     return F.transform(kept, lambda x: edge(x["start"], x["end"]))
 
 
+def ranked_path(edges: Column, size: Column) -> Column:
+    """What :func:`merged_path` gives, where no edge is of a late piece (:meth:`Pieces.late`): one look at each edge, from the best on.
+
+    A symbol's parts were merged as they would be in a text of that symbol alone, so a new symbol lets
+    only edges fit that are worse than its own: those passed by need no second look.
+    """
+    ordered = F.sort_array(F.transform(F.filter(edges, lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(F.negative(e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
+
+    def step(ends: Column, e: Column) -> Column:
+        middle = F.get(ends, e["start"])
+        merge = F.transform(ends, lambda end, at: F.when(at == e["start"], e["end"]).when(at == middle, F.lit(-1)).otherwise(end))
+        return F.when(F.get(ends, middle) == e["end"], merge).otherwise(ends)
+
+    ends = F.aggregate(ordered, F.sequence(F.lit(1), size), step)
+    kept = let(ends, lambda ends: F.filter(edges, lambda e: F.get(ends, e["start"]) == e["end"]))
+    return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: e["id"])
+
+
 def encode_long(unit: str, table: dict[str, tuple[int, float]], longest: int, unknown: float, merges: bool) -> list[int]:
     """What the folds give for one unit: merges taken from a heap, or Viterbi with a look back of the longest piece."""
     spell = lambda c: table[c][0] if c in table else -ord(c)
@@ -294,9 +332,9 @@ def encode_units(units: DataFrame, pieces: Pieces, parts: int, paths: bool = Fal
     edges = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | single)
     edge = F.struct("start", (F.col("start") + F.col("len")).alias("end"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), F.coalesce("id", F.negative(F.ascii("piece"))).alias("id"))
     # a number as the first key makes the sort of the edges cheap
-    grouped = edges.groupBy(F.xxhash64("unit").alias("key"), "unit", "n").agg(F.collect_list(edge).alias("edges"))
-    fold = merged_path if pieces.merges else best_path
-    ids = fold(F.col("edges"), F.length("unit")).alias("ids")
+    grouped = edges.groupBy(F.xxhash64("unit").alias("key"), "unit", "n").agg(F.collect_list(edge).alias("edges"), F.max("late").alias("late"))
+    folds = [fold(F.col("edges"), F.length("unit")) for fold in ((merged_path, ranked_path) if pieces.merges else (best_path,))]
+    ids = (F.when(F.col("late"), folds[0]).otherwise(folds[1]) if pieces.merges else folds[0]).alias("ids")
     if paths:
         # named in a step of its own, so that the fold runs once for both columns
         best = scored_path(F.col("edges"), F.length("unit")).alias("best")
@@ -450,7 +488,7 @@ def _assembly(docs: DataFrame, model_path: str | None, dictionary: int, paths: b
 
 
 def decoded(ids: np.ndarray, pieces: list[str], byte_of: dict[int, int]) -> str:
-    """The text of a sequence of ids: pieces joined, byte pieces as UTF-8, the first space dropped."""
+    """The text of a sequence of ids: pieces joined, byte pieces as UTF-8, the first space dropped. Of many rows: :func:`decoded_rows`."""
     ids = ids.tolist()
     if byte_of.keys().isdisjoint(ids):
         text = "".join(map(pieces.__getitem__, ids)).replace(SPACE, " ")
@@ -470,6 +508,30 @@ def decoded(ids: np.ndarray, pieces: list[str], byte_of: dict[int, int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def spellings(pieces: list[str], byte_of: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """The UTF-8 bytes of all pieces one after another with spaces for their sign, where each begins, its size, and which are byte pieces."""
+    spelt = [bytes([byte_of[i]]) if i in byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+    sizes = np.array([len(x) for x in spelt], dtype=np.int64)
+    return np.frombuffer(b"".join(spelt), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, np.isin(np.arange(len(pieces)), list(byte_of))
+
+
+def decoded_rows(rows: list[np.ndarray], spelt: tuple[np.ndarray, ...]) -> list[bytes]:
+    """What :func:`decoded` gives for each row, as UTF-8, the bytes of all rows gathered at once."""
+    data, begins, sizes, spells = spelt
+    ids = np.concatenate([np.zeros(0, np.int32), *rows])
+    edges = np.cumsum([0, *map(len, rows)])
+    joined = data[_ranges(begins[ids], sizes[ids])].tobytes()
+    ends = np.concatenate(([0], np.cumsum(sizes[ids])))[edges].tolist()
+    odd = np.diff(np.concatenate(([0], np.cumsum(spells[ids])))[edges]) > 0
+    out = []
+    for a, b, o in zip(ends[:-1], ends[1:], odd.tolist(), strict=True):
+        text = joined[a:b]
+        if o:  # byte pieces may spell anything
+            text = text.decode("utf-8", "replace").replace(SPACE, " ").encode()
+        out.append(text[1:] if text.startswith(b" ") else text)
+    return out
+
+
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """``encoded(doc_id, ids)`` to ``(doc_id, n_ids, ids_crc32, decoded)``; null ids give an empty text.
 
@@ -481,12 +543,12 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 def _decoder(spark: SparkSession, model_path: str | None):
     pieces = Pieces.load(model_path or default_model())
     byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
-    sent = spark.sparkContext.broadcast((pieces.pieces, byte_of))
+    sent = spark.sparkContext.broadcast(spellings(pieces.pieces, byte_of))
 
     def run(batches):
         for batch in _slices(batches):
             rows = ids_of(batch.column(1))
-            columns = [batch.column(0), *digest(rows), pa.array([decoded(x, *sent.value) for x in rows], pa.string())]
+            columns = [batch.column(0), *digest(rows), pa.array(decoded_rows(rows, sent.value), pa.string())]
             if batch.num_columns > 2:
                 columns += [*digest(ids_of(batch.column(2))), batch.column(3)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "decoded", "n_path_ids", "path_crc32", "path_score"][: len(columns)])

@@ -241,6 +241,45 @@ def test_long_units_are_the_librarys(spark):
             assert list(df.select(fold(F.col("edges"), F.col("n"))).head()[0]) == sentencepiece_lattice.encode_long(unit, table, pieces.longest, pieces.unknown_score, merges)
 
 
+def test_one_look_at_each_edge_gives_the_merges(spark, texts):
+    from pyspark.sql import functions as F
+
+    pieces = sentencepiece_lattice.Pieces.load(sentencepiece_lattice.default_model())
+    late = pieces.late()
+    assert late and all(set(p) == {"▁"} for p in late)  # runs of spaces have one score, so their parts are no better
+    # "bc" is worse than "abc", which can't be made another way: with it a second look would be needed
+    toy = sentencepiece_lattice.Pieces(["a", "b", "c", "d", "bc", "abc", "cd", "bcd"], [-9.0, -9.0, -9.0, -9.0, -3.0, -1.0, -2.0, -4.0], [True] * 8, [0] * 256, True)
+    assert toy.late() == {"abc"}
+    table = {p: (i, x) for i, (p, x, ok) in enumerate(zip(pieces.pieces, pieces.scores, pieces.normal, strict=True)) if ok}
+    rng, longest, unknown = np.random.default_rng(8), pieces.longest, pieces.unknown_score
+    units = sorted({"▁" + w for t in list(texts.values())[:20] for w in t.split() if len(w) < 40} | {"".join(rng.choice(list("etaoinsh"), k)) for k in rng.integers(1, 60, 300)} | {"e" * 30, "q漢z"})[:3000]
+    edges = lambda u: [(a, b, *(table.get(u[a:b], (-ord(u[a]), unknown))[::-1])) for a in range(len(u)) for b in range(a + 1, min(len(u), a + longest) + 1) if u[a:b] in table or b - a == 1]
+    df = spark.createDataFrame([(u, len(u), edges(u)) for u in units], "unit string, n int, edges array<struct<start:int,end:int,score:double,id:int>>")
+    got = {r.unit: list(r.ids) for r in df.select("unit", sentencepiece_lattice.ranked_path(F.col("edges"), F.col("n")).alias("ids")).collect()}
+    assert got == {u: sentencepiece_lattice.encode_long(u, table, longest, unknown, True) for u in units}
+    # units with edges of late pieces are merged with second looks: by the model, and where one look would give a, bc
+    spaces = [f"{' ' * a}x{' ' * b}yes{' ' * (a % 5)}" for a in range(19) for b in (1, 2, 3, 7)]
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
+    rows = {r.doc_id: list(r.ids) for r in sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(spaces)), "doc_id long, text string")).collect()}
+    assert rows == {k: model.encode(t) for k, t in enumerate(spaces)}
+    made = {r.unit: list(r.ids) for r in sentencepiece_lattice.encode_units(spark.createDataFrame([("abc", 1), ("abcd", 1), ("bcd", 1)], "unit string, n long"), toy, 2).collect()}
+    assert made == {"abc": [5], "abcd": [0, 7], "bcd": [7]}
+
+
+def test_rows_are_decoded_as_one_by_one():
+    pieces = sentencepiece_lattice.Pieces.load(sentencepiece_lattice.default_model())
+    byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, len(pieces.pieces), k).astype(np.int32) for k in (0, 1, 40, 0, 300)]
+    rows += [np.where(rng.random(60) < 0.5, rng.choice(pieces.byte_ids, 60), rng.integers(0, len(pieces.pieces), 60)).astype(np.int32) for _ in range(200)]
+    rows += [np.array([pieces.byte_ids[b] for b in x], np.int32) for x in ("▁é😀".encode(), b"\xe2\x96", b" \xff\xf0\x9f", b"")]
+    got = sentencepiece_lattice.decoded_rows(rows, sentencepiece_lattice.spellings(pieces.pieces, byte_of))
+    assert [x.decode() for x in got] == [sentencepiece_lattice.decoded(x, pieces.pieces, byte_of) for x in rows]
+    assert sentencepiece_lattice.decoded_rows([], sentencepiece_lattice.spellings(pieces.pieces, byte_of)) == []
+
+
 def test_pieces_awkward(awkward, empty, nameless):
     back = [(r.doc_id, r.decoded) for r in sentencepiece_lattice.round_trip(nameless, dictionary=3).collect()]
     assert sorted(back, key=repr) == sorted(((k if k % 2 else None, t or "") for k, t in AWKWARD), key=repr)
