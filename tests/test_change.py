@@ -47,7 +47,7 @@ def test_confidence_is_the_same_double_in_any_order_of_rows(spark):
 def coarse(spark, tmp_path_factory):
     """Events with coarse scores and qualities, so that many votes and products tie; at one location three votes of 0.24 tie with one of 0.72."""
     rng, folder = random.Random(5), tmp_path_factory.mktemp("coarse")
-    made = [(rng.choice(["view", "click"]), rng.choice([40, 50, 60, 80, 100]), rng.choice([20, 30, 40, 60])) for _ in range(700 * 5)]
+    made = [(rng.choice(["view", "click", "none"]), rng.choice([40, 50, 60, 80, 100]), rng.choice([20, 30, 40, 60])) for _ in range(700 * 5)]
     made[:3500:700] = [("view", 100, 90), *[("view", 80, 30)] * 3, ("click", 80, 90)]
     rows = [(k, DAY0 + dt.timedelta(hours=k), k % 700, kind, float(value), f'{{"k": {score}}}') for k, (kind, value, score) in enumerate(made)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{folder}/made")
@@ -56,7 +56,7 @@ def coarse(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["change_consensus"])
+@pytest.mark.parametrize("name", ["change_consensus", "change_reported"])
 def test_ties_are_rounded_and_chosen_as_in_sql(spark, coarse, name):
     df, answer = registry.QUERIES[name](spark, coarse), connect(coarse).execute(registry.SQL[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in answer.description], answer.fetchall())
