@@ -56,7 +56,7 @@ def coarse(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["change_consensus", "change_reported"])
+@pytest.mark.parametrize("name", ["change_consensus", "change_reported", "change_stream"])
 def test_ties_are_rounded_and_chosen_as_in_sql(spark, coarse, name):
     df, answer = registry.QUERIES[name](spark, coarse), connect(coarse).execute(registry.SQL[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in answer.description], answer.fetchall())
