@@ -54,19 +54,45 @@ def _celled(df: DataFrame, prefix: str, cell: float) -> DataFrame:
     return out.select("cx", "cy", *[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def meeting(left: DataFrame, right: DataFrame, cell: float = 1.0) -> DataFrame:
-    """The pairs that meet, columns prefixed ``l_`` and ``r_``, once for each pair of rows.
+#: Rows of a shape that are dealt out together.
+SHAPE_ROWS = 1024
 
-    Boxes meet by grid cells (an equality join), each pair in the first cell that both touch only; where both sides have ``rings``, their polygons must meet too.
-    """
-    shaped = "rings" in left.columns and "rings" in right.columns
-    if shaped:  # edges once a shape, not once a pair
-        left, right = (df.withColumn("_edges", edges(F.col("rings"))) for df in (left, right))
+
+def _met_boxes(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """The pairs whose boxes meet, by grid cells (an equality join), each pair in the first cell that both touch only."""
     met = _celled(left, "l_", cell).join(_celled(right, "r_", cell), ["cx", "cy"])
     first = lambda c: F.floor(F.greatest(f"l_{c}", f"r_{c}") / cell)
     boxes = (F.col("l_min_x") <= F.col("r_max_x")) & (F.col("l_max_x") >= F.col("r_min_x")) & (F.col("l_min_y") <= F.col("r_max_y")) & (F.col("l_max_y") >= F.col("r_min_y"))
-    met = met.filter(boxes & (F.col("cx") == first("min_x")) & (F.col("cy") == first("min_y"))).drop("cx", "cy")
-    return met.filter(edges_meet(F.col("l__edges"), F.col("r__edges"))).drop("l__edges", "r__edges") if shaped else met
+    return met.filter(boxes & (F.col("cx") == first("min_x")) & (F.col("cy") == first("min_y"))).drop("cx", "cy")
+
+
+def _by_shape(df: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(shapes with their number ``s`` and edges, blocks of the rows of a shape as an array ``rows``), columns of the blocks prefixed."""
+    shape = [*BOX, "rings"]
+    counted = df.groupBy(*shape).agg(F.count("*").alias("n")).filter("rings is not null")
+    shapes = cut(counted.withColumn("s", F.monotonically_increasing_id()))  # a number for each shape, fixed by the cut
+    rest = [c for c in df.columns if c not in shape]
+    dealt = df.join(shapes, shape).withColumn("p", F.pmod(F.xxhash64(*rest), F.ceil(F.col("n") / SHAPE_ROWS)) if rest else F.lit(0))
+    blocks = dealt.groupBy("s", "p").agg(F.collect_list(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(prefix + c) for c in rest])).alias("rows"))  # some SHAPE_ROWS rows
+    return shapes.withColumn("edges", edges(F.col("rings"))).drop("n"), blocks.select(*[F.col(c).alias(prefix + c) for c in blocks.columns])
+
+
+def _met_polygons(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """The pairs whose polygons meet. Each pair of different shapes is looked at once; their rows are paired by blocks, which are dealt out over all tasks."""
+    (l_shapes, l_blocks), (r_shapes, r_blocks) = _by_shape(left, "l_"), _by_shape(right, "r_")
+    met = _met_boxes(l_shapes, r_shapes, cell)
+    met = cut(met.filter(edges_meet(F.col("l_edges"), F.col("r_edges"))).drop("l_edges", "r_edges"))
+    met = met.join(l_blocks, "l_s").join(r_blocks, "r_s").repartition("l_s", "l_p", "r_s", "r_p")
+    shape = [side + c for side in ("l_", "r_") for c in (*BOX, "rings")]
+    rows = met.select(*shape, "r_rows", F.explode("l_rows").alias("l")).select(*shape, "l", F.explode("r_rows").alias("r"))
+    of = lambda side, df: [F.col(f"{side}_{c}") if c in (*BOX, "rings") else F.col(f"{side}.{side}_{c}") for c in df.columns]
+    return rows.select(*of("l", left), *of("r", right))
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float = 1.0) -> DataFrame:
+    """The pairs that meet, columns prefixed ``l_`` and ``r_``, once for each pair of rows: boxes, or where both sides have ``rings``, polygons in them."""
+    shaped = "rings" in left.columns and "rings" in right.columns
+    return _met_polygons(left, right, cell) if shaped else _met_boxes(left, right, cell)
 
 
 def match_truth(detections: DataFrame, truth: DataFrame, cell: float = 1.0) -> DataFrame:

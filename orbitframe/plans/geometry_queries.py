@@ -49,7 +49,7 @@ met AS (SELECT d, t FROM crossing UNION SELECT CASE side WHEN 'd' THEN id ELSE o
 def truth_polygon_pairs(spark, sf_dir):
     """Which detections meet which truths, as polygons of four shapes."""
     d, t = _shapes(P.table(spark, sf_dir, "customer"), "c_custkey", "det_id"), _shapes(P.table(spark, sf_dir, "supplier"), "s_suppkey", "truth_id")
-    return evaluation.meeting(d, t, cell=8.0).select(F.col("l_det_id").alias("det_id"), F.col("r_truth_id").alias("truth_id"))
+    return evaluation.meeting(d.drop("confidence"), t.drop("confidence"), cell=8.0).select(F.col("l_det_id").alias("det_id"), F.col("r_truth_id").alias("truth_id"))
 
 
 @register("cluster_hulls", """WITH RECURSIVE p AS (SELECT DISTINCT c_nationkey AS nation, CAST(round(c_acctbal * 100) AS BIGINT) AS x, c_custkey % 997 AS y FROM customer),

@@ -127,3 +127,21 @@ def test_rounding_is_exact(spark, digits):
 def test_rounding_keeps_what_isnt_a_number(spark):
     rows = spark.createDataFrame([(None,), (math.nan,), (math.inf,)], "v double").select(round_half_even(F.col("v"), 2).alias("r")).collect()
     assert rows[0].r is None and math.isnan(rows[1].r) and rows[2].r == math.inf
+
+
+def test_equal_shapes_are_looked_at_once(spark, monkeypatch):
+    """Two shapes on either side, many rows of each, and rows that are equal as a whole: pairs of rows come from pairs of shapes."""
+    looked = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda: looked.add(1) or True, "boolean").asNondeterministic()
+    monkeypatch.setattr(evaluation, "edges_meet", lambda a, b, real=evaluation.edges_meet: real(a, b) & look())
+    monkeypatch.setattr(evaluation, "SHAPE_ROWS", 8, raising=False)
+    kind = "array<array<array<double>>>"
+    ell, square, hook = [[[0.0, 0.0], [4.0, 0.0], [4.0, 1.0], [1.0, 1.0], [1.0, 4.0], [0.0, 4.0]]], [[[2.0, 2.0], [3.0, 2.0], [3.0, 3.0], [2.0, 3.0]]], [[[0.5, 0.5], [3.5, 3.5], [0.5, 3.5]]]
+    left = [(k // 2, k % 2 / 2, 0.0, 0.0, 4.0, 4.0, ell) if k % 3 else (k // 2, 0.5, 2.0, 2.0, 3.0, 3.0, square) for k in range(60)] + [(99, 0.5, None, None, None, None, None)]
+    right = [(k, 2.0, 2.0, 3.0, 3.0, square) if k % 2 else (k, 0.5, 0.5, 3.5, 3.5, hook) for k in range(30)]
+    box = "min_x double, min_y double, max_x double, max_y double"
+    met = evaluation.meeting(spark.createDataFrame(left, f"id long, confidence double, {box}, rings {kind}"), spark.createDataFrame(right, f"id long, {box}, rings {kind}"))
+    assert met.columns == ["l_id", "l_confidence", *[f"l_{c}" for c in (*evaluation.BOX, "rings")], "r_id", *[f"r_{c}" for c in (*evaluation.BOX, "rings")]]
+    got = sorted((r.l_id, r.l_confidence, r.l_max_x, r.r_id, r.r_min_x, len(r.r_rings[0])) for r in met.collect())
+    assert got == sorted((a[0], a[1], a[4], b[0], b[1], len(b[5][0])) for a in left[:60] for b in right if not (a[6] is ell and b[5] is square))
+    assert 0 < looked.value <= 4
