@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULTS
 from ..functions.vectors import dot, normalised
-from ..session import cut
+from ..session import cut, dropped, written
 
 
 def bottom_k(members: DataFrame, k: int, by: str | None = None, seed: int = 0, id_col: str = "tile_id") -> DataFrame:
@@ -91,17 +92,22 @@ class PivotPlan:
         return home, ring[np.arange(len(v)), home], np.repeat(who, 3), np.repeat(cell, 3), (ring[who, cell][:, None] + np.array([-1, 0, 1])).ravel()
 
     def work(self, v: np.ndarray) -> tuple[float, float]:
-        """(share of all pairs that meet, visits a vector), estimated from the vectors ``v``."""
-        home, ring, _, cell, at = self.places(v)
-        lives, n_lives = np.unique(np.stack([home, ring]), axis=1, return_counts=True)
-        visits, n_visits = np.unique(np.stack([cell, at]), axis=1, return_counts=True)
-        seen = {tuple(k): n for k, n in zip(visits.T.tolist(), n_visits.tolist(), strict=True)}
-        return sum(n * seen.get(tuple(k), 0) for k, n in zip(lives.T.tolist(), n_lives.tolist(), strict=True)) / len(v) ** 2, len(cell) / len(v)
-
-
-def pivot_plan(unit: DataFrame, n: int, radius: float) -> PivotPlan:
-    """As many pivots as make the least work, by an estimate from a sample of bounded size; results don't depend on it."""
-    sample = np.array([r.v for r in bottom_k(unit, PLAN_ROWS).orderBy("tile_id").select("v").collect()], dtype=np.float64)
+        """(share of all pairs that meet, visits a vector), estimated from the vectors ``v``, some at a time."""
+        parts = [self.places(v[k : k + PLAN_SLICE]) for k in range(0, len(v), PLAN_SLICE)]
+        step = 3 + max(int(max(p[1].max(), p[4].max())) for p in parts)
+        lives, n_lives = np.unique(np.concatenate([p[0] * step + p[1] for p in parts]), return_counts=True)
+        met = visits = 0
+        for p in parts:
+            inside = p[3][p[4] >= 0] * step + p[4][p[4] >= 0]
+            at = np.minimum(np.searchsorted(lives, inside), len(lives) - 1)
+            met += int(n_lives[at[lives[at] == inside]].sum())
+            visits += len(p[3])
+        return met / len(v) ** 2, visits / len(v)
+
+
+def pivot_plan(unit: DataFrame, n: int, radius: float) -> PivotPlan | None:
+    """As many pivots as make the least work, by an estimate from a sample of bounded size; results don't depend on it. None if they leave over a quarter of all pairs."""
+    sample = _matrix(bottom_k(unit, PLAN_ROWS).orderBy("tile_id").select("v").toArrow().column("v"))
     best = None
     m = 1
     while m <= min(MAX_PIVOTS, max(1, len(sample) // 4)):
@@ -110,81 +116,384 @@ def pivot_plan(unit: DataFrame, n: int, radius: float) -> PivotPlan:
         # a pair costs a product; a visit carries a vector through the shuffle, as dear as some thousand products; a pivot is a product
         cost = pairs * n + 1000 * visits + m
         if best is None or cost < best[0]:
-            best = (cost, plan)
+            best = (cost, pairs, plan)
         m *= 4
-    return best[1]
+    return best[2] if best[1] < 0.25 else None
+
+
+def _matrix(vectors) -> np.ndarray:
+    """The rows of an Arrow column of lists of one length."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
 
 
 def _placed(unit: DataFrame, plan: PivotPlan) -> DataFrame:
-    """(tile_id, v, cell, ring, visits): a row for each vector's home, and a row for each of its visits."""
+    """``unit`` with cell, ring, visits: a row for each vector's home, and a row for each of its visits."""
     sent = unit.sparkSession.sparkContext.broadcast(plan)
+    names = [*unit.columns, "cell", "ring", "visits"]
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, BLOCK):
-                piece = batch.slice(low, BLOCK)
-                home, ring, who, cell, at = sent.value.places(np.array(piece.column("v").to_pylist(), dtype=np.float64).reshape(piece.num_rows, -1))
+            for low in range(0, batch.num_rows, PLAN_SLICE):
+                piece = batch.slice(low, PLAN_SLICE)
+                home, ring, who, cell, at = sent.value.places(_matrix(piece.column("v")))
                 rows = piece.take(pa.array(np.concatenate([np.arange(len(home)), who])))
                 more = [pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(np.concatenate([ring, at]).astype(np.int64)), pa.array(np.arange(rows.num_rows) >= len(home))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], ["tile_id", "v", "cell", "ring", "visits"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unit.schema)
+    return unit.mapInArrow(run, f"{kinds}, cell int, ring long, visits boolean")
+
+
+#: Vectors that a plan places at once.
+PLAN_SLICE = 256
+#: Vectors of the left block that are multiplied at once, and pairs whose distances are computed at once.
+ROWS, PAIRS = 512, 1 << 16
+#: Blocks of a partition at most, where all blocks meet: each task holds one partition's.
+HELD = 32
+#: Edges that one task may hold to finish a forest.
+LAST_EDGES = 1 << 20
+
+
+class Block:
+    """Vectors with their ids and what else their table says of them."""
 
-    return unit.mapInArrow(run, f"tile_id {unit.schema['tile_id'].dataType.simpleString()}, v array<double>, cell int, ring long, visits boolean")
+    def __init__(self, key, ids: pa.Array, v: np.ndarray, more: dict[str, np.ndarray]):
+        self.key, self.ids, self.v, self.more = key, ids, v, more
 
 
-def _planned(members: DataFrame, eps: float):
-    unit = cut(members.select("tile_id", normalised(F.col("vector")).alias("v")))
-    n = unit.count()
-    if not n:
-        return unit, n, None, None
-    plan = pivot_plan(unit, n, (2 * eps) ** 0.5)
-    placed = _placed(unit, plan)
-    # a row for each cell and ring that is anyone's home
-    sizes = cut(placed.groupBy("cell", "ring").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("guests")).filter("homes > 0"))
-    return unit, n, placed, (plan, sizes)
+def _near(a: np.ndarray, b: np.ndarray, eps: float, distances: bool):
+    """(i, j, distance or None): the pairs within ``eps``, some at a time.
+
+    Products of single floats, whose error is far below the slack, leave out the others; what is near the bound, or whose distance is asked for, is
+    computed again in doubles, term by term, so that a pair has the same distance from either side and in any block.
+    """
+    slack = (a.shape[1] + 8) * 2.0**-22
+    left, right = a.astype(np.float32), np.ascontiguousarray(b.astype(np.float32).T)
+    for low in range(0, len(a), ROWS):
+        alike = (left[low : low + ROWS] @ right).ravel()
+        found = np.flatnonzero(alike >= 1 - eps - slack)
+        for k in range(0, len(found), PAIRS):
+            at = found[k : k + PAIRS]
+            i, j = np.divmod(at, len(b))
+            i += low
+            if distances:
+                d = 1 - np.einsum("ij,ij->i", a[i], b[j])
+                keep = d <= eps
+                yield i[keep], j[keep], d[keep]
+            else:
+                keep = alike[at] >= 1 - eps + slack
+                ask = np.flatnonzero(~keep)
+                keep[ask] = 1 - np.einsum("ij,ij->i", a[i[ask]], b[j[ask]]) <= eps
+                yield i[keep], j[keep], None
+
+
+def _grown(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the edges of u and v, by place, that make the forest of their order; labels after them), from components ``label``: Boruvka's rounds, earlier edges first."""
+    alive, taken = np.arange(len(u)), []
+    while True:
+        lu, lv = label[u[alive]], label[v[alive]]
+        keep = lu != lv
+        alive, lu, lv = alive[keep], lu[keep], lv[keep]
+        if not len(alive):
+            return np.concatenate([np.zeros(0, np.int64), *taken]), label
+        place = np.arange(len(alive))
+        first = np.full(len(label), len(alive))
+        first[lu[::-1]] = place[::-1]  # of equal ones the last write stays, the earliest edge
+        other = np.full(len(label), len(alive))
+        other[lv[::-1]] = place[::-1]
+        first = np.minimum(first, other)
+        picks = np.flatnonzero(first < len(alive))
+        taken.append(alive[np.unique(first[picks])])
+        up = np.arange(len(label))
+        up[picks] = lu[first[picks]] + lv[first[picks]] - picks
+        pair = picks[(up[up[picks]] == picks) & (picks < up[picks])]  # two that pick each other: the smaller is the root
+        up[pair] = pair
+        while (jump := up[up]).tobytes() != up.tobytes():
+            up = jump
+        label = up[label]
+
+
+def _table(names: list[str], *columns) -> pa.Table:
+    return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names)
+
+
+class Pairs:
+    """(a, b[, distance]) of all pairs."""
+
+    def __init__(self, eps: float, distances: bool):
+        self.eps, self.distances, self.names = eps, distances, ["a", "b", "distance"][: 2 + distances]
+
+    def add(self, a: Block, b: Block, both: bool):
+        for i, j, d in _near(a.v, b.v, self.eps, self.distances):
+            for x, i_, y, j_ in ((a, i, b, j), (b, j, a, i))[: 1 + both]:
+                yield _table(self.names, x.ids.take(pa.array(i_)), y.ids.take(pa.array(j_)), *([d] if self.distances else []))
+
+    def end(self):
+        return iter(())
+
+
+class Counts:
+    """(a, n): neighbours, summed for what a task compares."""
+
+    def __init__(self, eps: float):
+        self.eps, self.held = eps, {}
+
+    def add(self, a: Block, b: Block, both: bool):
+        for x in (a, b):
+            self.held.setdefault(x.key, (x.ids, np.zeros(len(x.ids), np.int64)))
+        for i, j, _ in _near(a.v, b.v, self.eps, False):
+            for x, at in ((a, i), (b, j))[: 1 + both]:
+                self.held[x.key][1][:] += np.bincount(at, minlength=len(x.ids))
+        return iter(())
+
+    def end(self):
+        for ids, n in self.held.values():
+            some = np.flatnonzero(n)
+            yield _table(["a", "n"], ids.take(pa.array(some)), n[some])
+
+
+class Nearest:
+    """(a, distance): the ``k`` least distances, of what a task compares."""
+
+    def __init__(self, eps: float, k: int):
+        self.eps, self.k, self.held = eps, k, {}
+
+    def add(self, a: Block, b: Block, both: bool):
+        for x in (a, b):
+            self.held.setdefault(x.key, [x.ids, np.full((len(x.ids), self.k), np.inf)])
+        for i, j, d in _near(a.v, b.v, self.eps, True):
+            for x, at in ((a, i), (b, j))[: 1 + both]:
+                order = np.lexsort((d, at))
+                who, far = at[order], d[order]
+                rank = np.arange(len(who)) - np.searchsorted(who, who)
+                seen = np.unique(who)
+                found = np.full((len(seen), self.k), np.inf)
+                few = rank < self.k
+                found[np.searchsorted(seen, who[few]), rank[few]] = far[few]
+                best = self.held[x.key][1]
+                best[seen] = np.sort(np.concatenate([best[seen], found], axis=1), axis=1)[:, : self.k]
+        return iter(())
+
+    def end(self):
+        for ids, best in self.held.values():
+            at, k = np.nonzero(np.isfinite(best))
+            yield _table(["a", "distance"], ids.take(pa.array(at)), best[at, k])
+
+
+class Links:
+    """(a, b, border): links of cores that make the same components as all, of what a task compares; and all pairs of another member a with a core b.
+
+    A member that is no core has fewer neighbours than a core, so these are few.
+    """
+
+    names = ["a", "b", "border"]
+
+    def __init__(self, eps: float):
+        self.eps, self.start, self.label = eps, {}, np.zeros(0, np.int64)
+
+    def _rows(self, a: Block, i, b: Block, j, border: bool):
+        return _table(self.names, a.ids.take(pa.array(i)), b.ids.take(pa.array(j)), np.full(len(i), border))
+
+    def add(self, a: Block, b: Block, both: bool):
+        for x in (a, b):
+            if x.key not in self.start:
+                self.start[x.key] = len(self.label)
+                self.label = np.concatenate([self.label, np.arange(len(self.label), len(self.label) + len(x.ids))])
+        for i, j, _ in _near(a.v, b.v, self.eps, False):
+            ca, cb = a.more["core"][i], b.more["core"][j]
+            yield self._rows(a, i[~ca & cb], b, j[~ca & cb], True)
+            if both:
+                yield self._rows(b, j[ca & ~cb], a, i[ca & ~cb], True)
+            i, j = i[ca & cb], j[ca & cb]
+            taken, self.label = _grown(self.label, self.start[a.key] + i, self.start[b.key] + j)
+            yield self._rows(a, i[taken], b, j[taken], False)
+
+    def end(self):
+        return iter(())
+
+
+def _ordered(a, b, weight) -> np.ndarray:
+    """The places of edges in the order of weight, a, b; ids of any kind."""
+    ranks = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    return np.lexsort((ranks[len(a) :], ranks[: len(a)], weight))
+
+
+class Edges:
+    """(a, b, weight), a < b: the minimum spanning forest of mutual reachability, of what a task compares."""
+
+    def __init__(self, eps: float):
+        self.eps, self.start, self.n, self.pool, self.many = eps, {}, 0, [], 0
+
+    def add(self, a: Block, b: Block, both: bool):
+        for x in (a, b):
+            if x.key not in self.start:
+                self.start[x.key] = self.n
+                self.n += len(x.ids)
+        ids = [x.ids.to_numpy(zero_copy_only=False) for x in (a, b)]
+        for i, j, d in _near(a.v, b.v, self.eps, True):
+            x, y, u, v = ids[0][i], ids[1][j], self.start[a.key] + i, self.start[b.key] + j
+            less = (x < y).astype(bool)
+            if both:  # seen once, in this order or the other
+                x, y = np.where(less, x, y), np.where(less, y, x)
+                less = (x < y).astype(bool)
+            weight = np.maximum(d, np.maximum(a.more["core"][i], b.more["core"][j]))
+            self.pool.append([c[less] for c in (x, y, u, v, weight)])
+            self.many += len(self.pool[-1][0])
+            if self.many > max(LAST_EDGES, 2 * self.n):
+                self._reduce()
+        return iter(())
+
+    def _reduce(self):
+        x, y, u, v, weight = (np.concatenate(c) for c in zip(*self.pool, strict=True))
+        order = _ordered(x, y, weight)
+        taken = order[_grown(np.arange(self.n), u[order], v[order])[0]]
+        self.pool, self.many = [[c[taken] for c in (x, y, u, v, weight)]], len(taken)
+
+    def end(self):
+        if self.pool:
+            self._reduce()
+            x, y, _, _, weight = self.pool[0]
+            yield _table(["a", "b", "weight"], x, y, weight)
+
+
+class RadiusJoin:
+    """Who of ``members`` is within a cosine distance of ``eps`` of whom; ``unit`` has their ids and unit vectors.
+
+    Where pivots save enough (:class:`PivotPlan`), each pair meets where its second vector lives; cells and rings with many vectors are dealt out in blocks of bounded size
+    on either side. Else all blocks meet, each two once, and none is shuffled for it: a task reads two partitions of blocks from the shared folder, so the
+    disk taken is that of the vectors once, whatever the number of pairs.
+    """
+
+    def __init__(self, members: DataFrame, eps: float):
+        self.eps, self.kind = eps, members.schema["tile_id"].dataType.simpleString()
+        self.unit = cut(members.select("tile_id", normalised(F.col("vector")).alias("v")).filter("v is not null"))
+        self.n = self.unit.count()
+        self.plan = pivot_plan(self.unit, self.n, (2 * eps) ** 0.5) if self.n else None
+
+    def sizes(self, placed: DataFrame) -> DataFrame:
+        """A row for each cell and ring that is anyone's home."""
+        return cut(placed.groupBy("cell", "ring").agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("guests")).filter("homes > 0"))
+
+    def run(self, make, schema: str, unit: DataFrame | None = None) -> DataFrame:
+        """What ``make()`` gives for all pairs of blocks of ``unit``, some or all of the members with further columns of numbers, of ``schema``."""
+        unit = self.unit if unit is None else unit
+        more = [c for c in unit.columns if c not in ("tile_id", "v")]
+        return self._everywhere(unit, more, make, schema) if self.plan is None else self._by_pivots(unit, more, make, schema)
+
+    def _by_pivots(self, unit: DataFrame, more: list[str], make, schema: str) -> DataFrame:
+        placed = _placed(unit, self.plan)
+        met = placed.join(F.broadcast(self.sizes(placed)), ["cell", "ring"])  # a row a cell and ring: some rings of at most MAX_PIVOTS pivots
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        mine = lambda c: F.pmod(F.xxhash64("tile_id", F.lit(7)), blocks(c)).cast("int")
+        every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+        homes = met.filter("not visits and guests > 0").select(*unit.columns, "cell", "ring", mine("homes").alias("p"), F.explode(every("guests")).alias("q"), F.lit(False).alias("left"))
+        guests = met.filter("visits").select(*unit.columns, "cell", "ring", mine("guests").alias("q"), F.explode(every("homes")).alias("p"), F.lit(True).alias("left"))
+
+        def run(group: pa.Table) -> pa.Table:
+            first = group.column("left").to_numpy(zero_copy_only=False)
+            v, ids = _matrix(group.column("v")), group.column("tile_id").combine_chunks()
+            columns = {c: group.column(c).to_numpy(zero_copy_only=False) for c in more}
+            sides = [Block(k, ids.take(pa.array(at)), v[at], {c: x[at] for c, x in columns.items()}) for k, at in enumerate((np.flatnonzero(first), np.flatnonzero(~first)))]
+            kernel = make()
+            return _joined([*kernel.add(*sides, False), *kernel.end()], schema, ids.type) if len(sides[0].ids) and len(sides[1].ids) else _joined([], schema, ids.type)
+
+        rows = guests.unionByName(homes).select(F.struct("cell", "ring", "p", "q").alias("unit"), *unit.columns, "left")
+        return rows.groupBy("unit").applyInArrow(run, schema)
+
+    def _everywhere(self, unit: DataFrame, more: list[str], make, schema: str) -> DataFrame:
+        # tasks are pairs of partitions: some for each core, and none that holds many blocks
+        side = math.ceil(math.sqrt(4 * unit.sparkSession.sparkContext.defaultParallelism))
+        size = max(64, min(2 * BLOCK, math.ceil(self.n / (2 * side))))
+        parts = max(1, min(math.ceil(self.n / size), max(side, math.ceil(self.n / size / HELD))))
+        kinds = {f.name: f.dataType.simpleString() for f in unit.schema}
+
+        def pack(batches):
+            held, n = [], 0
+
+            def block(table):
+                lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(c).combine_chunks()) for c in ("tile_id", *more)]
+                return pa.RecordBatch.from_arrays([*lists, pa.array([_matrix(table.column("v")).tobytes()], pa.binary())], ["tile_id", *more, "v"])
+
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                while n >= size:
+                    table = pa.Table.from_batches(held)
+                    yield block(table.slice(0, size))
+                    held, n = table.slice(size).to_batches(), n - size
+            if n:
+                yield block(pa.Table.from_batches(held))
+
+        lists = ", ".join(f"{c} array<{kinds[c]}>" for c in ("tile_id", *more))
+        blocks = cut(unit.repartition(parts, "tile_id").mapInArrow(pack, f"{lists}, v binary")).withColumn("p", F.monotonically_increasing_id())
+        prefixed = lambda k: blocks.select(*[F.col(c).alias(k + c) for c in blocks.columns])
+        met = prefixed("l_").join(prefixed("r_").hint("shuffle_replicate_nl"), F.col("l_p") <= F.col("r_p"))
+
+        def opened(batch, row, k):
+            lists = {c: batch.column(k + c).slice(row, 1).flatten() for c in ("tile_id", *more)}
+            v = np.frombuffer(batch.column(k + "v")[row].as_buffer(), np.float64).reshape(len(lists["tile_id"]), -1)
+            return Block(batch.column(k + "p")[row].as_py(), lists["tile_id"], v, {c: lists[c].to_numpy(zero_copy_only=False) for c in more})
+
+        def run(batches):
+            kernel, kind = make(), None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    a, b = opened(batch, row, "l_"), opened(batch, row, "r_")
+                    kind = a.ids.type
+                    yield from _batches(kernel.add(a, b, a.key != b.key), schema, kind)
+            yield from _batches(kernel.end(), schema, kind)
+
+        return met.mapInArrow(run, schema)
+
+
+def _typed(table: pa.Table, schema: str, kind) -> pa.Table:
+    names = {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return table.cast(pa.schema([(n, kind if n in ("a", "b") else names[t]) for n, t in fields]))
+
+
+def _batches(tables, schema: str, kind):
+    for table in tables:
+        if table.num_rows:
+            yield from _typed(table, schema, kind).to_batches()
+
+
+def _joined(tables: list[pa.Table], schema: str, kind) -> pa.Table:
+    names = [f.split()[0] for f in schema.split(", ")]
+    tables = [_typed(t, schema, kind) for t in tables] or [_typed(_table(names, *[pa.array([], kind if n in ("a", "b") else pa.float64()) for n in names]), schema, kind)]
+    return pa.concat_tables(tables).combine_chunks()
 
 
 def join_work(members: DataFrame, eps: float) -> DataFrame:
-    """One row: ``n`` vectors, ``pairs`` that :func:`neighbours` compares, comparisons with pivots, and ``copies`` of vectors that it shuffles, blocks included."""
-    unit, n, _, more = _planned(members, eps)
-    spark = members.sparkSession
-    if more is None:
-        return spark.createDataFrame([(0, 0, 0, 0)], "n long, pairs long, pivot_pairs long, copies long")
-    plan, sizes = more
+    """One row: ``n`` vectors, ``pairs`` that :func:`neighbours` compares (both ways, of which blocks that all meet compute one), comparisons with pivots, and ``copies`` of vectors that it shuffles, blocks included."""
+    join = RadiusJoin(members, eps)
+    spark, kinds = members.sparkSession, "n long, pairs long, pivot_pairs long, copies long"
+    if join.plan is None:
+        return spark.createDataFrame([(join.n, join.n * join.n, 0, join.n)], kinds)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK)
-    return sizes.agg(F.lit(n).cast("long").alias("n"), F.sum(F.col("homes") * F.col("guests")).alias("pairs"), F.lit(n * len(plan.pivots)).cast("long").alias("pivot_pairs"), F.sum(F.col("homes") * blocks("guests") + F.col("guests") * blocks("homes")).alias("copies"))
+    sizes = join.sizes(_placed(join.unit, join.plan))
+    return sizes.agg(F.lit(join.n).cast("long").alias("n"), F.sum(F.col("homes") * F.col("guests")).alias("pairs"), F.lit(join.n * len(join.plan.pivots)).cast("long").alias("pivot_pairs"), F.sum(F.col("homes") * blocks("guests") + F.col("guests") * blocks("homes")).alias("copies"))
 
 
 def neighbours(members: DataFrame, eps: float, distances: bool = False) -> DataFrame:
     """(a, b[, distance]) with a cosine distance of at most ``eps``, both ways, itself included (a zero vector isn't its own neighbour).
 
-    Exact, by :class:`PivotPlan`: unit vectors within ``eps`` are sqrt(2 eps) apart at most. Each pair meets once, where ``b`` lives; cells and rings
-    with many vectors are dealt out in blocks of bounded size on either side, and a block is a matrix product. How much the pivots save depends on the
-    data: of vectors in many dimensions without clusters nearly all cells are within a wide radius, and then one pivot and plain blocks remain. :func:`join_work` counts it.
+    Exact, by :class:`RadiusJoin`. How much pivots save depends on the data: of vectors in many dimensions without clusters nearly all cells are
+    within a wide radius, and then all blocks meet. :func:`join_work` counts it. Who only counts neighbours takes :func:`neighbour_counts`.
     """
-    kind = members.schema["tile_id"].dataType
-    unit, n, placed, more = _planned(members, eps)
-    if more is None:
-        return unit.select(F.col("tile_id").alias("a"), F.col("tile_id").alias("b"), *([F.lit(0.0).alias("distance")] if distances else [])).limit(0)
-    sizes = more[1]
-    met = placed.join(F.broadcast(sizes), ["cell", "ring"])  # a row a cell and ring: some rings of at most MAX_PIVOTS pivots
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("tile_id", F.lit(7)), blocks(c)).cast("int")
-    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
-    homes = met.filter("not visits and guests > 0").select("tile_id", "v", "cell", "ring", mine("homes").alias("p"), F.explode(every("guests")).alias("q"), F.lit(False).alias("left"))
-    guests = met.filter("visits").select("tile_id", "v", "cell", "ring", mine("guests").alias("q"), F.explode(every("homes")).alias("p"), F.lit(True).alias("left"))
-
-    def run(group: pa.Table) -> pa.Table:
-        first = group.column("left").to_numpy(zero_copy_only=False)
-        ids = group.column("tile_id").combine_chunks()
-        a, b = np.flatnonzero(first), np.flatnonzero(~first)
-        v = np.array(group.column("v").to_pylist(), dtype=np.float64)
-        apart = 1 - v[a] @ v[b].T if len(a) and len(b) else np.ones((len(a), len(b)))
-        near = np.nonzero(apart <= eps) if apart.size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        columns = [ids.take(pa.array(a[near[0]])), ids.take(pa.array(b[near[1]])), pa.array(apart[near])]
-        return pa.table(columns[: 2 + distances], ["a", "b", "distance"][: 2 + distances])
-
-    rows = guests.unionByName(homes).select(F.struct("cell", "ring", "p", "q").alias("unit"), "tile_id", "v", "left")
-    return rows.groupBy("unit").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}" + ", distance double" * distances)
+    join = RadiusJoin(members, eps)
+    return join.run(lambda: Pairs(eps, distances), f"a {join.kind}, b {join.kind}" + ", distance double" * distances)
+
+
+def neighbour_counts(members: DataFrame, eps: float) -> DataFrame:
+    """(a, n): how many rows of :func:`neighbours` each member with any has. Pairs are counted where they are compared, not written."""
+    return _counts(RadiusJoin(members, eps))
+
+
+def _counts(join: RadiusJoin) -> DataFrame:
+    eps = join.eps
+    return join.run(lambda: Counts(eps), f"a {join.kind}, n long").groupBy("a").agg(F.sum("n").alias("n"))
 
 
 def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -211,15 +520,34 @@ def components(nodes: DataFrame, linked: DataFrame, rounds: int = 40) -> DataFra
 
 
 def reachability_edges(members: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
-    """(a, b, weight), a < b: the mutual reachability of members within ``eps`` that both have ``min_samples`` neighbours there, themselves included.
+    """(a, b, weight), a < b: edges that have the minimum spanning forest of mutual reachability within ``eps`` among them.
 
-    It is the largest of the distance and the two core distances, a member's distance to its ``min_samples``-th neighbour.
+    An edge is between members within ``eps`` that both have ``min_samples`` neighbours there, themselves included. It weighs the largest of the distance and the two core distances,
+    a member's distance to its ``min_samples``-th neighbour. Each task gives the forest of the edges it sees (what is the largest on a cycle there is so among all edges), so
+    rows are as many as members, times the tasks that see a member, whatever the number of pairs.
     """
-    near = cut(neighbours(members, eps, distances=True))
-    place = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    core = cut(near.withColumn("place", place).filter(F.col("place") == min_samples).select("a", F.col("distance").alias("core")))
-    met = near.filter("a < b").join(core, "a").join(core.select(F.col("a").alias("b"), F.col("core").alias("other")), "b")
-    return met.select("a", "b", F.greatest("distance", "core", "other").alias("weight"))
+    join = RadiusJoin(members.filter("tile_id is not null"), eps)
+    least = join.run(lambda: Nearest(eps, min_samples), f"a {join.kind}, distance double")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("distance"))
+    core = least.withColumn("place", place).filter(F.col("place") == min_samples).select(F.col("a").alias("tile_id"), F.col("distance").alias("core"))
+    return join.run(lambda: Edges(eps), f"a {join.kind}, b {join.kind}, weight double", cut(join.unit.join(core, "tile_id")))
+
+
+def _finished(edges: DataFrame, schema: str, rows) -> DataFrame:
+    """What ``rows(table)`` gives of at most LAST_EDGES edges, in one task."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            yield from rows(pa.Table.from_batches(held)).to_batches()
+
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def _places(*columns) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The ids in all columns in order, and each column as places among them."""
+    ids, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return ids, np.split(at, np.cumsum([len(c) for c in columns])[:-1])
 
 
 def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -227,48 +555,72 @@ def spanning_forest(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     In a round every component picks its least edge to another (an aggregation, combined before its shuffle), components that picks join
     become one, and of the edges between two components only the least stays. Rounds at least halve the components, and each is a written table.
+    When at most LAST_EDGES edges are left, one task of that bounded size ends it.
     """
-    now = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("weight", "a", "b").alias("e")))
-    picked: list[DataFrame] = []
+    now = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("weight", "a", "b").alias("e")))
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def last(table: pa.Table) -> pa.Table:
+        a, b, w, u, v = (table.column(c).to_numpy() for c in ("a", "b", "weight", "u", "v"))
+        ids, (u, v) = _places(u, v)
+        order = _ordered(a, b, w)
+        return table.select(["a", "b", "weight"]).take(pa.array(order[_grown(np.arange(len(ids)), u[order], v[order])[0]]))
+
+    out = edges.limit(0).select("weight", "a", "b")
     for _ in range(rounds):
+        if now.count() <= LAST_EDGES:
+            ended = _finished(now.select("e.a", "e.b", "e.weight", "u", "v"), f"a {kind}, b {kind}, weight double", last)
+            return out.unionByName(ended).select("a", "b", "weight")
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
-        least = cut(both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("to"), F.col("m.e").alias("e")))
-        if least.isEmpty():
-            break
-        picked.append(least.select("e.*").distinct())
+        least = written(both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m")).select("u", F.col("m.v").alias("to"), F.col("m.e").alias("e")))
+        out = out.unionAll(least.select("e.*").distinct())
         # two components that pick each other are a root, the smaller one; all others follow their picks there
         back = least.select(F.col("u").alias("to"), F.col("to").alias("back"))
-        up = cut(least.join(back, "to").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("to")), F.col("u")).otherwise(F.col("to")).alias("root")))
+        up = written(least.join(back, "to").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("to")), F.col("u")).otherwise(F.col("to")).alias("root")))
         for _ in range(rounds):
-            jump = cut(up.join(up.select(F.col("u").alias("root"), F.col("root").alias("next")), "root").select("u", "root", "next"))
+            jump = written(up.join(up.select(F.col("u").alias("root"), F.col("root").alias("next")), "root").select("u", "root", "next"))
             moved = not jump.filter("root <> next").isEmpty()
-            up = jump.select("u", F.col("next").alias("root"))
+            dropped(up)
+            up = written(jump.select("u", F.col("next").alias("root")))
+            dropped(jump)
             if not moved:
                 break
         merged = now.join(up, "u").withColumnRenamed("root", "ru").join(up.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v").filter("ru <> rv")
-        now = cut(merged.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("e").alias("e")))
-    else:
-        raise RuntimeError(f"components left after {rounds} rounds")
-    out = edges.limit(0).select("weight", "a", "b")
-    for p in picked:
-        out = out.unionAll(p)
-    return out.select("a", "b", "weight")
+        before, now = now, written(merged.groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("e").alias("e")))
+        dropped(before, up)
+    raise RuntimeError(f"components left after {rounds} rounds")
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes(a)`` with ``label``, the least node that each reaches by ``links(a, b)``; at most LAST_EDGES links and nodes in one task, more by rounds."""
+    loops = nodes.select("a", F.col("a").alias("b"))
+    linked = links.select("a", "b").unionAll(loops)
+    if linked.count() > LAST_EDGES:
+        return components(nodes, cut(linked.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))))
+    kind = nodes.schema["a"].dataType.simpleString()
+
+    def last(table: pa.Table) -> pa.Table:
+        ids, (u, v) = _places(*(table.column(c).to_numpy() for c in ("a", "b")))
+        label = _grown(np.arange(len(ids)), u, v)[1]
+        least = np.full(len(ids), len(ids))
+        least[label[::-1]] = np.arange(len(ids))[::-1]  # the first of each component in the order of ids
+        return _table(["a", "label"], pa.array(ids, table.schema.field("a").type), pa.array(ids[least[label]], table.schema.field("a").type))
+
+    return _finished(linked, f"a {kind}, label {kind}", last)
 
 
 def density_levels(members: DataFrame, levels: list[float], min_samples: int = 5, min_cluster_size: int = 5) -> DataFrame:
     """``(level, root, size, parent)``: the clusters of at least ``min_cluster_size`` members at each distance of ``levels``, and which of the next wider level each lies in.
 
     Clusters are named by their least member. The forest is built once, within the widest level; the clusters at a level are what its edges up to there join. No task
-    holds all members. A parent of null means that there is no wider level.
+    holds more than LAST_EDGES members. A parent of null means that there is no wider level.
     """
     levels = sorted(levels)
-    forest = cut(spanning_forest(reachability_edges(members, levels[-1], min_samples)))
-    nodes = cut(forest.select("a").unionAll(forest.select("b")).distinct())
+    forest = written(spanning_forest(reachability_edges(members, levels[-1], min_samples)))
+    nodes = written(forest.select("a").unionAll(forest.select("b")).distinct())
     found, out = None, None
     for level in reversed(levels):
-        inside = forest.filter(F.col("weight") <= level)
-        linked = cut(inside.select("a", "b").unionAll(inside.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(nodes.select("a", F.col("a").alias("b"))))
-        label = cut(components(nodes, linked).withColumnRenamed("label", "root"))
+        label = written(_labelled(nodes, forest.filter(F.col("weight") <= level)).withColumnRenamed("label", "root"))
         sizes = label.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") >= min_cluster_size)
         if found is None:
             rows = sizes.withColumn("parent", F.lit(None).cast(members.schema["tile_id"].dataType))
@@ -284,15 +636,21 @@ def dbscan_labels(members: DataFrame, eps: float = 0.15, min_samples: int = 5, r
     """``(tile_id, cluster_id, is_core)``; noise has -1. Clusters are numbered by their smallest core id.
 
     Core points have ``min_samples`` neighbours, themselves included; cores within ``eps`` share a cluster, and
-    a border point goes to the smallest cluster near it.
+    a border point goes to the smallest cluster near it. Pairs are compared twice, to count neighbours and to link cores, and aren't written: each task
+    gives as many links as join the cores it sees (:class:`Links`).
     """
-    near = cut(neighbours(members, eps))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("a")
-    linked = cut(near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi"))
+    join = RadiusJoin(members.filter("tile_id is not null"), eps)
+    counts = cut(_counts(join))
+    core = counts.filter(F.col("n") >= min_samples).select("a")
+    several = counts.filter("n > 1").select(F.col("a").alias("tile_id"), (F.col("n") >= min_samples).alias("core"))  # others have no neighbour beside themselves
+    found = written(join.run(lambda: Links(eps), f"a {join.kind}, b {join.kind}, border boolean", cut(join.unit.join(several, "tile_id"))))
+    links = found.filter("not border").select("a", "b")
+    linked = cut(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(core.select("a", F.col("a").alias("b"))))
     label = components(core, linked, rounds)
-    border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("root"))
+    border = found.filter("border").select("a", "b").join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("root"))
     roots = numbered(label.select(F.col("label").alias("root")).distinct(), "root", "cluster_id")
-    tagged = members.select(F.col("tile_id").alias("a")).join(border, "a", "left").join(roots, "root", "left").join(label.select("a", F.lit(True).alias("is_core")), "a", "left")
+    placed = label.select("a", F.col("label").alias("root"), F.lit(True).alias("is_core")).unionAll(border.select("a", "root", F.lit(False).alias("is_core")))
+    tagged = members.select(F.col("tile_id").alias("a")).join(placed, "a", "left").join(roots, "root", "left")
     return tagged.select(F.col("a").alias("tile_id"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
