@@ -99,3 +99,13 @@ def test_plan_of_many_dimensions_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert pairs > 0.9 and peak < 150e6
+
+
+def test_levels_take_few_jobs(spark):
+    """What the driver keeps grows with the jobs."""
+    rng = np.random.default_rng(2)
+    df = table(spark, rng.normal(size=(1500, 8)), False).filter("vector is not null")
+    spark.sparkContext.setJobGroup("levels", "levels")
+    clusters.density_levels(df, [0.05, 0.1, 0.2], 2, 3).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) < 80
