@@ -66,6 +66,19 @@ def test_case_is_what_it_says(spark, case):
 
 
 @pytest.mark.parametrize("text", [False, True])
+def test_dbscan_against_brute_force(spark, case, text):
+    vectors, far, eps, least = made(case)
+    near = far <= eps
+    core = near.sum(1) >= least
+    root, _ = joined(len(far), [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if core[a] and core[b]])
+    ids = {r: k for k, r in enumerate(sorted({root[k] for k in np.flatnonzero(core)}))}
+    want = [(ids[min(root[b] for b in np.flatnonzero(near[a] & core))] if (near[a] & core).any() else -1, bool(core[a])) for a in range(len(far))]
+    rows = clusters.dbscan_labels(table(spark, vectors, text), eps, least).collect()
+    got = {int(str(r.tile_id).lstrip("t") or 0): (r.cluster_id, r.is_core) for r in rows}
+    assert len(rows) == len(far) + 1 and got.pop(9000) == (-1, False)
+    assert [got[k] for k in range(len(far))] == want and len(ids) > 3 and (-1, False) in want
+
+
 @pytest.mark.parametrize("by_rounds", [False, True])
 def test_forest_and_levels_against_brute_force(spark, case, monkeypatch, by_rounds):
     if by_rounds:
@@ -109,3 +122,12 @@ def test_levels_take_few_jobs(spark):
     clusters.density_levels(df, [0.05, 0.1, 0.2], 2, 3).collect()
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) < 80
+
+
+def test_links_are_few_where_pairs_are_many(spark):
+    """DBSCAN's links of one group of copies: about as many as members, not as their pairs."""
+    df = spark.range(3000).select(F.col("id").alias("tile_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    join = clusters.RadiusJoin(df, 0.1)
+    links = join.run(lambda: clusters.Links(0.1), "a long, b long, border boolean", join.unit.withColumn("core", F.lit(True)))
+    assert 2999 <= links.count() < 3000 * 2 * 8
+    assert clusters.label_counts(clusters.dbscan_labels(df, 0.1, 4)).first()[:] == (3000, 1, 3000, 0)
