@@ -186,7 +186,7 @@ def cluster_summaries(spark, sf_dir):
 
 @register("cluster_neighbours", """SELECT a.vec_id AS a, CAST(count(*) AS BIGINT) AS n FROM embeddings a JOIN embeddings b ON 1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) <= 0.65 GROUP BY a.vec_id""")
 def cluster_neighbours(spark, sf_dir):
-    return clusters.neighbours(P.embeddings(spark, sf_dir), 0.65).groupBy("a").agg(F.count("*").alias("n"))
+    return clusters.neighbour_counts(P.embeddings(spark, sf_dir), 0.65)
 
 
 def _near(eps: float) -> str:
@@ -212,7 +212,7 @@ def _directions(spark, sf_dir):
 SELECT a.id AS a, CAST(count(*) AS BIGINT) AS n FROM points a JOIN points b ON 1 - (a.x * b.x + a.y * b.y + a.z * b.z) / sqrt((a.x * a.x + a.y * a.y + a.z * a.z) * (b.x * b.x + b.y * b.y + b.z * b.z)) <= 0.002 GROUP BY a.id""")
 def cluster_neighbours_directions(spark, sf_dir):
     """In few dimensions, where pivots tell vectors apart."""
-    return clusters.neighbours(_directions(spark, sf_dir), 0.002).groupBy("a").agg(F.count("*").alias("n"))
+    return clusters.neighbour_counts(_directions(spark, sf_dir), 0.002)
 
 
 @register("cluster_join_work")

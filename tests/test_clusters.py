@@ -102,6 +102,14 @@ def test_forest_and_levels_against_brute_force(spark, case, monkeypatch, by_roun
     assert {(r.level, r.root, r.size, r.parent) for r in clusters.density_levels(df, levels, least, 3).collect()} == expected and len(expected) > 4
 
 
+def test_counts_are_those_of_the_pairs(spark, case):
+    vectors, far, eps, _ = made(case)
+    got = {r.a: r.n for r in clusters.neighbour_counts(table(spark, vectors, False), eps).collect()}
+    assert got == {k: n for k, n in enumerate((far <= eps).sum(1).tolist()) if n}
+    pairs = {(r.a, r.b): r.distance for r in clusters.neighbours(table(spark, vectors, False), eps, True).collect()}
+    assert set(pairs) == set(zip(*(x.tolist() for x in np.nonzero(far <= eps)), strict=True)) and all(pairs[b, a] == d for (a, b), d in pairs.items())
+
+
 def test_plan_of_many_dimensions_takes_little_memory():
     """The driver's part for 4096 vectors that visit every cell."""
     rng = np.random.default_rng(1)
