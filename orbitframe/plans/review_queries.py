@@ -196,7 +196,7 @@ def _near(eps: float) -> str:
 
 @register("cluster_neighbours_near", f"WITH {_near(0.15)} SELECT a, CAST(count(*) AS BIGINT) AS n FROM near GROUP BY a")
 def cluster_neighbours_near(spark, sf_dir):
-    return clusters.neighbours(P.embeddings(spark, sf_dir), 0.15).groupBy("a").agg(F.count("*").alias("n"))
+    return clusters.neighbour_counts(P.embeddings(spark, sf_dir), 0.15)
 
 
 #: Customers as directions in space, by their keys.

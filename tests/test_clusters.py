@@ -132,6 +132,12 @@ def test_levels_take_few_jobs(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) < 80
 
 
+def test_blocks_that_all_meet_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 40)
+    work = clusters.join_work(table(spark, made("blocks")[0], False).filter("vector is not null"), 0.45).first()
+    assert work.n == 700 and work.pairs == 700 * 700 and work.copies == 700
+
+
 def test_links_are_few_where_pairs_are_many(spark):
     """DBSCAN's links of one group of copies: about as many as members, not as their pairs."""
     df = spark.range(3000).select(F.col("id").alias("tile_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
