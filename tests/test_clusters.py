@@ -1,6 +1,7 @@
 """Clusters without tables of pairs: reductions by block against brute force, in both ways that vectors meet."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -145,3 +146,13 @@ def test_links_are_few_where_pairs_are_many(spark):
     links = join.run(lambda: clusters.Links(0.1), "a long, b long, border boolean", join.unit.withColumn("core", F.lit(True)))
     assert 2999 <= links.count() < 3000 * 2 * 8
     assert clusters.label_counts(clusters.dbscan_labels(df, 0.1, 4)).first()[:] == (3000, 1, 3000, 0)
+
+
+def test_summaries_of_a_large_group_of_copies(spark, tmp_path):
+    """The tables that DBSCAN leaves in the shared folder grow with members and not with their pairs (9 000 000 here, some 100 MB)."""
+    rows = spark.range(3000).select(F.col("id").alias("tile_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    taken = lambda: sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).resolve().rglob("part-*"))
+    before = taken()
+    assert [(r["size"], r.total_matching) for r in clusters.discover(rows, "dbscan", eps=0.1, min_cluster_size=4).collect()] == [(3000, 3000)]
+    assert taken() - before < 20e6
