@@ -156,3 +156,11 @@ def test_summaries_of_a_large_group_of_copies(spark, tmp_path):
     before = taken()
     assert [(r["size"], r.total_matching) for r in clusters.discover(rows, "dbscan", eps=0.1, min_cluster_size=4).collect()] == [(3000, 3000)]
     assert taken() - before < 20e6
+
+
+def test_noise_against_brute_force(spark, case):
+    vectors, far, eps, least = made(case)
+    core = (far <= eps).sum(1) >= least
+    held = (far <= eps)[:, core].any(1)
+    row = clusters.label_counts(clusters.dbscan_labels(table(spark, vectors, False), eps, least)).first()
+    assert (row.members, row.noise, row.cores) == (701, int((~held).sum()) + 1, int(core.sum())) and row.noise > 5
